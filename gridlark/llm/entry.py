@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridlark.llm import mixing, sketches
+from gridlark.llm import mixing, ngram_join, sketches
 from gridlark.llm.tables import table
 
 
@@ -14,5 +14,13 @@ def op5_fingerprints(spark, sf_dir):
     return sketches.query(spark, sf_dir)
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op5_fingerprints": op5_fingerprints}
-ORACLES: dict[str, str] = {}
+def op6_ngram_jaccard(spark, sf_dir):
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op2_mixing": op2_mixing,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
+}
+ORACLES = {"op6_ngram_jaccard": ngram_join.SQL}
