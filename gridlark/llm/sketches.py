@@ -86,7 +86,7 @@ def with_next(docs: DataFrame, carry: str = "text", rows_per_range: int = 5_000)
     heads = ids.groupBy("range").agg(F.max("doc_id").alias("head"))
     by_range = Window.partitionBy(F.lit(0)).orderBy(F.col("range").asc_nulls_last())  # a row per range: at most 16,385
     ends = heads.select("head", F.coalesce(F.lead("range").over(by_range), F.first("range").over(by_range)).alias("of"))
-    ghosts = ids.join(ends, ids["doc_id"].eqNullSafe(ends["head"])).groupBy("of", "doc_id").agg(F.min(F.coalesce(carry, F.lit(""))).alias(carry))
+    ghosts = ids.join(F.broadcast(ends), ids["doc_id"].eqNullSafe(ends["head"])).groupBy("of", "doc_id").agg(F.min(F.coalesce(carry, F.lit(""))).alias(carry))
     rows = ids.withColumn("ghost", F.lit(False)).unionByName(ghosts.select("doc_id", carry, F.col("of").alias("range"), F.lit(True).alias("ghost")))
     return rows.withColumn("next", F.lead(F.coalesce(carry, F.lit(""))).over(in_order(carry)))
 
