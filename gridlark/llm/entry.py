@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from gridlark.llm import mixing, ngram_join, sketches
+from gridlark.llm import mixing, ngram_join, packing, quality_gam, sketches, toxicity
 from gridlark.llm.tables import table
 
 
+def op1_quality_gam(spark, sf_dir):
+    return quality_gam.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark, sf_dir):
+    return toxicity.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -18,9 +26,16 @@ def op6_ngram_jaccard(spark, sf_dir):
     return ngram_join.components(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_quality_gam": op1_quality_gam,
     "op2_mixing": op2_mixing,
     "op5_fingerprints": op5_fingerprints,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op8_packing": op8_packing,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES = {"op6_ngram_jaccard": ngram_join.SQL}
