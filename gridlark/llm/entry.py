@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridlark.llm import mixing, ngram_join, packing, quality_gam, sketches, toxicity
+from gridlark.llm import brown_lm, mixing, mpeg_audio, ngram_join, packing, quality_gam, sketches, toxicity, warc, wordpiece
 from gridlark.llm.tables import table
 
 
@@ -30,12 +30,32 @@ def op8_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_mpeg_audio(spark, sf_dir):
+    return mpeg_audio.op3(table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark, sf_dir):
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark, sf_dir):
+    return warc.op7(table(spark, sf_dir, "pages"))
+
+
+def op9_brown_lm(spark, sf_dir):
+    return brown_lm.op9(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op2_mixing": op2_mixing,
+    "op3_mpeg_audio": op3_mpeg_audio,
+    "op4_token_counts": op4_token_counts,
     "op5_fingerprints": op5_fingerprints,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_warc": op7_warc,
     "op8_packing": op8_packing,
+    "op9_brown_lm": op9_brown_lm,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES = {"op6_ngram_jaccard": ngram_join.SQL}
+ORACLES = {"op6_ngram_jaccard": ngram_join.SQL, "op7_warc": warc.SQL}
