@@ -6,15 +6,18 @@ the short inverted lists in a heap and probing the long ones for what the merge
 search over Spark:
 
 1. Equal sets collapse to their smallest document (a digest of the set; no join of texts).
-2. The short lists. Shingles are ordered by hash, and of a set's first ``n - ceil(0.8 n) + 1 + c`` shingles at least ``c + 1``
-   must be shared with a partner. Only these prefixes form lists; lists of one document go, and so do documents that share
-   too few shingles of their prefix with all others together. No other document can link.
-3. Rounds over the lists that are left: one document of each list (the hub, another each round) is the query, the list's
-   documents that aren't in its component are the candidates. A candidate asks the hub it meets in most lists. Blocks of
-   one query and a bounded number of candidates run DivideSkip over whole sets, and links join components.
-4. When what is left to pair is linear in the lists, every remaining pair of a list whose documents lie in different
-   components, and that shares enough of the prefixes, is searched in the same way. No pair that could change a component
-   is left out, and pairs inside a component are never made.
+2. Shingles are ordered by hash. Of a set's first ``n - ceil(0.8 n) + 1 + c`` shingles at least ``c + 1`` must be shared with
+   a partner, so documents that share fewer of them with all others together go. Most documents have no near copy and end
+   here; no other document can link.
+3. The short lists. Of what is left, whole sets are counted. Of a set's ``n - ceil(0.8 n) + 1`` rarest shingles at least one
+   must be shared: these, less those that no other document has, are its lists. Common lines and passages are in no list.
+4. Rounds over the lists: one document of each list (the hub: in the first round the one with fewest shingles of its own) is
+   the query, the list's documents that aren't in its component are the candidates. A candidate asks the hub it meets in
+   most lists. Blocks of one query and a bounded number of candidates run DivideSkip over whole sets, and links join
+   components. Lists whose documents are in one component are done with.
+5. When what is left to pair is linear in the lists, or a round has changed little, every remaining pair of a list whose
+   documents lie in different components is searched in the same way. No pair that could change a component is left out, and
+   pairs inside a component are never made.
 
 Hot lists are summed up before they are shuffled, and large groups of copies fall into many blocks.
 """
@@ -35,9 +38,11 @@ from pyspark.sql import functions as F
 from gridlark.llm.tables import fold, written
 
 #: A link needs PERCENT * |A or B| <= 100 * |A and B|. The prefix reaches EXTRA percent of the set beyond the least.
-PERCENT, EXTRA = 80, 10
+PERCENT, EXTRA = 80, 5
 #: Documents in a block beside its query.
 BLOCK = 64
+#: Rounds of hubs at most, before all that is left is paired. More would only save work.
+ROUNDS = 6
 #: Ids that are sent to all executors at most, 16 bytes each; with more of them the documents are shuffled instead.
 BROADCAST_IDS = 4_000_000
 
@@ -144,20 +149,19 @@ def _prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], names=["doc_id", "n", "digest", "prefix"])
 
 
-def _lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shingle, doc, n, first, met) of each prefix; ``first``: of its shingle in this batch, ``met``: the batch has others."""
+def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, doc, first, met) of each prefix; ``first``: of its shingle in this batch, ``met``: the batch has others."""
     for b in batches:
-        prefix = b.column(2)
-        sizes = np.diff(prefix.offsets.to_numpy())
+        prefix = b.column(1)
         tokens = prefix.flatten().to_numpy(zero_copy_only=False)
-        docs, n = (np.repeat(b.column(k).to_numpy(zero_copy_only=False), sizes) for k in (0, 1))
+        docs = np.repeat(b.column(0).to_numpy(zero_copy_only=False), np.diff(prefix.offsets.to_numpy()))
         order = np.argsort(tokens, kind="stable")
-        tokens, docs, n = tokens[order], docs[order], n[order]
+        tokens, docs = tokens[order], docs[order]
         first = np.ones(len(tokens), bool)
         first[1:] = tokens[1:] != tokens[:-1]
         met = ~first
         met[:-1] |= ~first[1:]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tokens, docs, n, first, met)], names=["shingle", "doc", "n", "first", "met"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tokens, docs, first, met)], names=["shingle", "doc", "first", "met"])
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +202,7 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def joined(components: DataFrame, links: DataFrame) -> DataFrame:
-    """``components`` (doc, comp) with the components of linked documents joined under the smallest.
+    """``components`` (doc, n, comp) with the components of linked documents joined under the smallest.
 
     Each component hooks onto its smallest linked one, chains of hooks are halved until they end, and the links between
     what is left are taken again. The tables in between lie in the shared folder.
@@ -212,7 +216,7 @@ def joined(components: DataFrame, links: DataFrame) -> DataFrame:
             if not hooks.join(up, "root").head(1):
                 break
             hooks = written(hooks.join(up, "root", "left").select("u", F.coalesce("above", "root").alias("root")), "ngram-hooks")
-        components = components.join(hooks.withColumnRenamed("u", "comp"), "comp", "left").select("doc", F.coalesce("root", "comp").alias("comp"))
+        components = components.join(hooks.withColumnRenamed("u", "comp"), "comp", "left").select("doc", "n", "odd", F.coalesce("root", "comp").alias("comp"))
         to = lambda c: hooks.select(F.col("u").alias(c), F.col("root").alias(f"{c}_root"))
         moved = edges.join(to("u"), "u", "left").join(hooks.select(F.col("u").alias("v"), F.col("root").alias("v_root")), "v", "left")
         edges = written(_oriented(moved.select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))), "ngram-edges")
@@ -245,60 +249,88 @@ def components(docs: DataFrame) -> DataFrame:
     nothing: they are their own component. Rows of one id are one document, and repeated rows come out as often as they
     are. A null id is kept; it takes the component of its copies, if any. An empty table gives an empty result.
     """
-    made = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_prefixes, "doc_id long, n long, digest binary, prefix array<long>"), "ngram-prefixes")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    made = written(docs.mapInArrow(_prefixes, "doc_id long, n long, digest binary, prefix array<long>"), "ngram-prefixes")
     members = made.select("doc_id", "n", "digest")
-    equal = members.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc"))
-
-    # one row for each set: the aggregate keeps one of its rows' arrays, whichever it meets, as they are all the same
-    each = made.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    lists = each.filter("doc is not null").select("doc", "n", "prefix").mapInArrow(_lists, "shingle long, doc long, n long, first boolean, met boolean")
-    lists = written(shared_lists(lists), "ngram-lists")
-    alive = lists.groupBy("doc").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
-    alive = written(alive.filter(F.col("shared") >= 1 + F.floor(F.ceil(F.col("n") * PERCENT / 100) * EXTRA / 100)).select("doc"), "ngram-alive")
-    count = alive.count()
-    few = F.broadcast(alive) if count <= BROADCAST_IDS else alive
-    lists = written(lists.join(few, "doc", "left_semi"), "ngram-lists")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(few, "doc", "left_semi")
+    equal = members.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("times"))
+    equal = written(equal, "ngram-equal")
+    copies = members.join(equal.filter("times > 1"), "digest").filter("doc_id <> doc").select("doc_id").distinct()
+    each = made.filter("n > 0 and doc_id is not null").join(small(written(copies, "ngram-copies")), "doc_id", "left_anti").select(F.col("doc_id").alias("doc"), "prefix")
+    shared = shared_rows(each.mapInArrow(_shared, "shingle long, doc long, first boolean, met boolean")).groupBy("doc").agg(F.count(F.lit(1)).alias("shared"))
+    enough = F.col("shared") >= 1 + F.floor(F.ceil(F.col("n") * PERCENT / 100) * EXTRA / 100)
+    alive = written(shared.join(members, F.col("doc") == F.col("doc_id")).filter(enough).select("doc").distinct(), "ngram-alive")
+    texts = docs.withColumnRenamed("doc_id", "doc").join(small(alive), "doc", "left_semi")
     sets = written(texts.mapInArrow(_sets, "doc long, shingles array<long>").dropDuplicates(["doc"]), "ngram-sets")
+    lists = written(rare_lists(sets), "ngram-lists")
+    comp = written(lists.groupBy("doc").agg(F.first("n").alias("n"), F.first("odd").alias("odd")).withColumn("comp", F.col("doc")), "ngram-components")
+    comp = grown(comp, lists.select("shingle", "doc", "rest"), sets)
 
-    comp = alive.select("doc", F.col("doc").alias("comp"))
-    for turn in range(12):
-        now = lists.join(comp, "doc")
-        heads = now.groupBy("shingle").agg(
-            F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64(F.lit(turn), "doc").alias("order"), F.col("doc").alias("query"), F.col("n").alias("m"), F.col("comp").alias("to"))).alias("hub")
-        )
-        heads = heads.filter("low <> high").select("shingle", "size", "hub.query", "hub.m", "hub.to")
-        open_lists = written(now.join(heads, "shingle"), "ngram-open")
-        # rows that pairing within the lists would make, those inside a component left out
-        within = open_lists.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"), F.first("size").alias("size"))
-        pairs, rows = within.agg(F.sum(F.col("k") * (F.col("size") - F.col("k"))) / 2, F.sum("k")).first()
-        if not rows:
-            break
-        if pairs <= 4 * rows + 100_000 or turn == 11:
-            comp = joined(comp, verified(cross_pairs(open_lists), sets))
-            break
-        asked = open_lists.filter(F.col("comp") != F.col("to")).filter(fits("n", "m")).groupBy("doc", "query").agg(F.count(F.lit(1)).alias("meets"))
-        asked = asked.groupBy("doc").agg(F.max(F.struct("meets", "query")).alias("best")).select("best.query", "doc")
-        comp = joined(comp, verified(asked, sets))
-
-    out = members.join(equal, "digest", "left").join(comp.withColumnRenamed("doc", "of").withColumnRenamed("comp", "root"), F.col("doc") == F.col("of"), "left")
+    out = members.join(equal.drop("times"), "digest", "left").join(comp.select(F.col("doc").alias("of"), F.col("comp").alias("root")), F.col("doc") == F.col("of"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "doc")).alias("component_id"))
 
 
-def shared_lists(lists: DataFrame) -> DataFrame:
-    """(shingle, doc, n) of the shingles that two or more documents have.
+def small(ids: DataFrame) -> DataFrame:
+    """A written table of ids, sent to all executors if its rows are few enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def shared_rows(prefixes: DataFrame) -> DataFrame:
+    """(doc) for each shingle of its prefix that another document has too.
 
     Of a shingle, each batch sends one row at most to be counted; its other rows are known to be shared and stay.
     """
-    counted = lists.filter("first").withColumn("batches", F.count(F.lit(1)).over(Window.partitionBy("shingle")))
-    return lists.filter("not first").select("shingle", "doc", "n").unionByName(counted.filter("met or batches > 1").select("shingle", "doc", "n"))
+    firsts = prefixes.filter("first").select("shingle", "doc", "met").withColumn("batches", F.count(F.lit(1)).over(Window.partitionBy("shingle")))
+    return prefixes.filter("not first").select("doc").unionByName(firsts.filter("met or batches > 1").select("doc"))
+
+
+def rare_lists(sets: DataFrame) -> DataFrame:
+    """(shingle, doc, n, rest, odd): each document's rarest shared shingles, as far as a link must lie in one.
+
+    ``rest``: its shared shingles from this one on; ``odd``: the share of its shingles that no other has.
+    """
+    rows = sets.select("doc", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
+    frequent = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    own = Window.partitionBy("doc")
+    rows = rows.join(frequent, "shingle").withColumn("shared", F.count(F.lit(1)).over(own))
+    rows = rows.filter(F.col("shared") >= F.ceil(F.col("n") * PERCENT / 100)).withColumn("place", F.row_number().over(own.orderBy("df", "shingle")))
+    return rows.filter(F.col("place") <= F.col("shared") - F.ceil(F.col("n") * PERCENT / 100) + 1).select("shingle", "doc", "n", (F.col("shared") - F.col("place") + 1).alias("rest"), (1 - F.col("shared") / F.col("n")).alias("odd"))
+
+
+def grown(comp: DataFrame, lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """``comp`` (doc, n, odd, comp) with all links between documents of one list."""
+    few, last = comp.count() <= BROADCAST_IDS, None
+    sent = lambda df: F.broadcast(df) if few else df
+    for turn in range(ROUNDS + 1):
+        order = F.struct(F.col("odd") if turn == 0 else F.lit(0.0), F.xxhash64(F.lit(turn), "doc"))
+        heads = lists.join(sent(comp), "doc").groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("doc", order).alias("query"))
+        lists = written(lists.join(heads.filter("low <> high").select("shingle", "query"), "shingle"), "ngram-open")
+        within = lists.join(sent(comp), "doc").groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
+        within = within.groupBy("shingle").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("inside"))
+        # rows that pairing within the lists would make, those inside a component left out
+        pairs, rows = within.agg(F.sum(F.col("size") * F.col("size") - F.col("inside")) / 2, F.sum("size")).first()
+        if not rows:
+            return comp
+        if turn == ROUNDS or pairs <= rows or (last and pairs > 0.8 * last):
+            return joined(comp, verified(cross_pairs(lists.join(sent(comp), "doc")), sets))
+        last = pairs
+        hub = comp.select(F.col("doc").alias("query"), F.col("n").alias("m"), F.col("comp").alias("to"))
+        asked = lists.filter("doc <> query").groupBy("doc", "query").agg(F.count(F.lit(1)).alias("meets")).join(sent(comp), "doc").join(sent(hub), "query")
+        asked = asked.filter(F.col("comp") != F.col("to")).filter(fits("n", "m")).groupBy("doc").agg(F.max_by("query", F.struct("meets", "query")).alias("query"))
+        comp, lists = joined(comp, verified(asked.select("query", "doc"), sets)), lists.select("shingle", "doc", "rest")
+    return comp
 
 
 def cross_pairs(lists: DataFrame) -> DataFrame:
-    """(query, doc) of different components that share enough of their prefixes."""
-    own = lists.select("shingle", F.col("doc").alias("query"), F.col("n").alias("m"), F.col("comp").alias("to"))
-    both = own.join(lists.select("shingle", "doc", "n", "comp"), "shingle").filter("comp <> to and doc > query").filter(fits("n", "m"))
-    return both.groupBy("query", "doc").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("m").alias("m")).filter(F.col("shared") >= 1 + F.floor(F.least("n", "m") * EXTRA / 100)).select("query", "doc")
+    """(query, doc) of one list and of different components, whose sizes allow a link.
+
+    Shingles are in one order in all sets, so where a pair's first common one stands, what is left on either side must reach
+    the overlap that the pair needs.
+    """
+    own = lists.select("shingle", F.col("doc").alias("query"), F.col("n").alias("m"), F.col("comp").alias("to"), F.col("rest").alias("left"))
+    other = lists.select(F.col("shingle").alias("s"), "doc", "n", "comp", "rest")
+    reach = (100 + PERCENT) * F.least("left", "rest") >= PERCENT * (F.col("n") + F.col("m"))
+    meet = (F.col("shingle") == F.col("s")) & (F.col("comp") != F.col("to")) & (F.col("doc") > F.col("query")) & fits("n", "m") & reach
+    return own.join(other, meet).select("query", "doc").distinct()
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
