@@ -8,6 +8,7 @@ joined and cut at the sequence length, and the last, shorter rest is cut at powe
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -23,6 +24,14 @@ SIZE, WINDOWS, END = 4096, 16, 2
 GROUP = 64
 WIDTH = 4  # bytes of a token id
 _LEFT = 1 << 62
+#: Words of visible Latin letters and signs are cut here, by the vocabulary's own pattern, and their parts go to its merges;
+#: other words go through the whole tokenizer.
+_LATIN = re.compile("[!-~\u00a1-\u024f]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\\d\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\\s\\w]|_)+")
+#: Visible bytes stand for themselves, the others for the code points from 256 on, in order.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+_SPECIAL = b"<|"
 
 
 class Encoder(dict):
@@ -31,17 +40,32 @@ class Encoder(dict):
     def __init__(self, path: str, most: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.parts = Tokenizer.from_file(path), most, {}
+        self.model = self.tokenizer.model
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        out = b"".join(i.to_bytes(WIDTH, "little") for i in ids)
+        text = word.decode("utf-8")
+        if _LATIN.fullmatch(text) and _SPECIAL not in word and _LATIN.fullmatch(text := text.lower()):
+            out = b"".join([self.parts.get(part) or self.part(part) for part in _PARTS.findall(text)])
+        else:
+            out = b"".join([i.to_bytes(WIDTH, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
         if len(self) < self.most and len(word) < 64:
             self[word] = out
         return out
 
+    def part(self, part: str) -> bytes:
+        """Ids of what the vocabulary's pattern cuts out of a lower-case word."""
+        symbols = part if part.isascii() else "".join(map(_BYTES.__getitem__, part.encode("utf-8")))
+        out = b"".join([t.id.to_bytes(WIDTH, "little") for t in self.model.tokenize(symbols)])
+        if len(self.parts) < self.most and len(part) < 64:
+            self.parts[part] = out
+        return out
+
     def of(self, text: str | None, end: int = END) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").encode("utf-8").split())) + end.to_bytes(WIDTH, "little")
+        raw = (text or "").encode("utf-8")
+        if _SPECIAL not in raw:  # the vocabulary is lower case, but for its special tokens
+            raw = raw.lower()
+        return b"".join(map(self.__getitem__, raw.split())) + end.to_bytes(WIDTH, "little")
 
 
 _ENCODERS: dict[str, Encoder] = {}

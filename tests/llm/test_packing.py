@@ -7,7 +7,7 @@ from gridlark.llm import packing
 from gridlark.llm.tables import local_path
 
 DOCS = "doc_id long, text string, length string"
-TEXTS = [None, "", " \t\n", "Hello, World!", "it's we'll DON'T", "a b c　d", "İstanbul ΣΑΣ ǅ", "é ̈x", "<|endoftext|> x<|startoftext|>y", "日本語 テキスト 12345", "!!! ??? ...", "x" * 3000, "\x1c\x1d a\x85b", "ﬁ ½ ①"]
+TEXTS = [None, "", " \t\n", "Hello, World!", "it's we'll DON'T", "a b c　d", "İstanbul ΣΑΣ ǅ", "é ̈x", "<|endoftext|> x<|startoftext|>y", "日本語 テキスト 12345", "!!! ??? ...", "x" * 3000, "\x1c\x1d a\x85b", "ﬁ ½ ①", "x²y³ ªº 1½2 _a_b__ ßÄÖ ÿ¡¿ ǅ Ǆ Ɐ don't's İx ŉ", "".join(map(chr, range(33, 700)))]
 
 
 @pytest.fixture(scope="module")
