@@ -1 +1 @@
-"""Placeholder."""
+"""Operators over tables: each takes DataFrames and gives DataFrames."""

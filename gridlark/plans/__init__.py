@@ -1 +1 @@
-"""Placeholder."""
+"""Views over a table, their saved form, and the query catalogue."""

@@ -1 +1 @@
-"""Placeholder."""
+"""Reading and writing delimited text, JSON lines and Parquet."""
