@@ -139,8 +139,8 @@ def search(query: np.ndarray, members: list[np.ndarray]) -> list[int]:
 def _prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, n, digests, prefixes = b.column(0), [], [], []
-        for words in fold(b.column(1).to_pylist()):
-            s = shingle_set(words)
+        for text in b.column(1).to_pylist():
+            s = shingle_set(fold(text))
             n.append(len(s))
             digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             prefixes.append(s[: prefix_length(len(s))])
@@ -166,7 +166,7 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [shingle_set(w) for w in fold(b.column(1).to_pylist())]
+        sets = [shingle_set(fold(t)) for t in b.column(1).to_pylist()]
         ends = np.cumsum([0, *map(len, sets)])
         flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], names=["doc", "shingles"])

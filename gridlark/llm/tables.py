@@ -43,9 +43,9 @@ def whole(text: str = "text"):
     return F.coalesce(F.col(text), F.lit(""))
 
 
-def fold(texts) -> list[list[bytes]]:
-    """Words of each text, A-Z lower-cased, cut at ASCII blanks. ``bytes`` methods do exactly that."""
-    return [[] if t is None else t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+def fold(text: str | None) -> list[bytes]:
+    """Words of a text, A-Z lower-cased, cut at ASCII blanks. ``bytes`` methods do exactly that."""
+    return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
 
 
 def crc_mod(column: str, modulus: int):

@@ -13,7 +13,7 @@ DOCS = "doc_id long, text string, n string, comp long"
 def brute(data, width=5):
     sets = {}
     for i, t in data:
-        w = fold([t])[0]
+        w = fold(t)
         sets[i] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
     root = {i: i for i in sets}
 
