@@ -44,7 +44,7 @@ def half_away(x: Column, digits: Column | int = 0) -> Column:
 
 
 def fixed(cell: Column, digits: int) -> Column:
-    """A numeric text cell with ``digits`` decimals; empty is 0, other text stays."""
+    """A numeric text cell with ``digits`` decimals; empty is 0, other text stays. Halves of the decimal number go up."""
     value = full(cell)
     return F.when(F.trim(F.coalesce(cell, F.lit(""))) == "", "0").when(value.isNull(), cell).otherwise(F.format_string(f"%.{digits}f", value))
 

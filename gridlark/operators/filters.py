@@ -101,17 +101,22 @@ def as_number(value: str) -> float | None:
 
 
 def condition(df: DataFrame, c: Condition) -> Column:
-    """One comparison. An unknown column, or a cell that isn't a number where the value is one, is false for every operator."""
+    """One comparison. An unknown column, or a cell that isn't a number where the value is one, is false for every operator.
+
+    It may be null instead of false: AND and OR keep that apart from true, and a negation is of the whole filter."""
     name = resolve(df, c.column)
     if name is None:
         return F.lit(False)
     value = as_number(c.value)
     if value is not None:
-        return F.coalesce(compare(number(df, name), c.op, F.lit(value)), F.lit(False))
+        return compare(number(df, name), c.op, F.lit(value))
     days = span(c.value) if kind(df, name) == "date" else None
     if days:
         found = _within(quoted(name), c.op, *days)
         return found if c.op != "!=" else F.coalesce(found, F.lit(True))
+    if dict(df.dtypes)[name] == "string" and c.value:  # as a scan takes it: a missing cell is empty, so less than any text
+        found = compare(quoted(name), c.op, F.lit(c.value))
+        return found | quoted(name).isNull() if c.op in ("!=", "<", "<=") else found
     return compare(text(df, name), c.op, F.lit(c.value))
 
 

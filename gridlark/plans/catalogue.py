@@ -160,10 +160,10 @@ def view_page(spark, d):
 # ------------------------------------------------------------------------------------------------------------ formulas
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS charge FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS charge FROM lineitem")
 def cf_arith(spark, d):
     out = formulas.compute(t(spark, d, "lineitem"), "charge", "l_extendedprice * (1 - l_discount) * (1 + l_tax)")
-    return rounded(out.select(*LINE, "charge"), charge=4)
+    return rounded(out.select(*LINE, "charge"), charge=6)
 
 
 @query("SELECT c_custkey, sign(c_acctbal) * floor(abs(c_acctbal) * 10 + 0.5) / 10 AS r FROM customer")
@@ -556,7 +556,7 @@ def type_inference(spark, d):
     return spark.createDataFrame(list(kinds.items()), "column string, type string")
 
 
-@query("SELECT o_orderkey, printf('%.1f', o_totalprice) AS price, strftime(o_orderdate, '%d.%m.%Y') AS day FROM orders")
+@query("SELECT o_orderkey, CAST(CAST(round(CAST(o_totalprice AS DECIMAL(18, 2)), 1) AS DECIMAL(18, 1)) AS VARCHAR) AS price, strftime(o_orderdate, '%d.%m.%Y') AS day FROM orders")
 def format_number_date(spark, d):
     df = t(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("string").alias("price"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
     return edit.format_cells(df, {"price": numbers.fixed(F.col("price"), 1), "day": formatted(F.col("day"), "%d.%m.%Y")})
