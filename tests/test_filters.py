@@ -98,6 +98,7 @@ def test_ranges_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.createDataFrame(SALES, "id int, total double, status string, day date").write.parquet(path)
     df = filters.apply(spark.read.parquet(path), "day >= 2025-Q3 AND total > 100 AND status = open").select("id", "status")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(day,2025-07-01)" in plan and "GreaterThan(total,100.0)" in plan and "EqualTo(status,open)" in plan
 
