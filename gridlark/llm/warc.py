@@ -120,7 +120,8 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.withColumn("digest", F.sha1(payload)).withColumn("n_bytes", F.length(payload))
     first = rows.filter(F.col("n_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("times"))
-    first = first.filter("times > 1").select(F.col("digest").alias("of"), "first")
+    # written, so that the pages are dealt out for the join alone, where Spark can split a payload that very many of them have
+    first = written(first.filter("times > 1").select(F.col("digest").alias("of"), "first"), "warc-copies")
     own = F.col("page_id").eqNullSafe(F.col("first")) | (F.col("n_bytes") < least)
     return rows.join(first, F.col("digest") == F.col("of"), "left").withColumn("refers_to", F.when(~own, F.col("first"))).drop("digest", "of", "first", "n_bytes")
 
