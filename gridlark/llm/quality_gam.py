@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.tables import crc_mod
+from gridlark.llm.tables import crc_mod, least_hashed
 
 #: Labelled rows that a fit takes at most.
 FIT_ROWS = 20_000
@@ -162,7 +162,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, pair_rounds: int = 40,
 def labelled(docs: DataFrame, labels: DataFrame, column: str, modulus: int, held: int, rows: int, seed: int = 5) -> DataFrame:
     """(text, label) of at most ``rows`` labelled rows whose id isn't held out, the same ones on every run."""
     ids = labels.filter(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).filter(crc_mod("doc_id", modulus) != held)
-    ids = ids.groupBy("doc_id").agg(F.max(column).alias("label")).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows)
+    ids = least_hashed(ids.groupBy("doc_id").agg(F.max(column).alias("label")), rows, labels.count(), seed, "doc_id")
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # of a bounded number of ids
 
 

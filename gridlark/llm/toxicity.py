@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.tables import crc_mod, written
+from gridlark.llm.tables import crc_mod, least_hashed, written
 
 #: Confirmed toxic rows, rows of unknown kind, and features that a fit takes at most.
 FIT_TOXIC, FIT_UNKNOWN, FEATURES = 5_000, 15_000, 4_096
@@ -96,10 +96,10 @@ class Model:
 
 def sample(docs: DataFrame, labels: DataFrame, n_toxic: int, n_unknown: int, seed: int = 3) -> DataFrame:
     """(doc_id, text, toxic): confirmed toxic rows, and rows taken without a look at labels; none is held out."""
-    order = F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id")
     own = F.col("doc_id").isNotNull() & (crc_mod("doc_id", 3) != 1)
-    toxic = labels.filter("toxic = 1").filter(own).select("doc_id").distinct().orderBy(*order).limit(n_toxic)
-    unknown = docs.filter(own).select("doc_id").distinct().orderBy(*order).limit(n_unknown)
+    toxic, unknown = labels.filter("toxic = 1").filter(own).select("doc_id"), docs.filter(own).select("doc_id")
+    toxic = least_hashed(toxic.distinct(), n_toxic, toxic.count(), seed, "doc_id")
+    unknown = least_hashed(unknown.distinct(), n_unknown, docs.count(), seed, "doc_id")
     ids = toxic.withColumn("toxic", F.lit(True)).unionByName(unknown.withColumn("toxic", F.lit(False)))
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # of a bounded number of ids
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.tables import written
+from gridlark.llm.tables import least_hashed, written
 
 #: Records that the dictionary is built from at most, bytes it sees of each, and its size.
 SAMPLES, SAMPLE_BYTES, DICTIONARY = 1_000, 16_384, 65_536
@@ -128,7 +128,8 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
 
 def archives(pages: DataFrame, least: int = 0, level: int = 3, samples: int = SAMPLES, limit: int = ARCHIVE, seed: int = 11) -> DataFrame:
     """(archive, records, content): ``pages`` (page_id, url, html, others) as archives. An empty table gives none."""
-    sample = pages.select("page_id", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html"), "url").orderBy(F.xxhash64(F.lit(seed), "page_id"), "page_id", "html").limit(samples)
+    sample = pages.select("page_id", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html"), "url")
+    sample = least_hashed(sample, samples, pages.count(), seed, "page_id", "url")
     raw = dictionary([record(r["page_id"], r["url"], r["html"].encode()) for r in sample.toLocalIterator()])
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
