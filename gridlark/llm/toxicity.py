@@ -26,6 +26,8 @@ FIT_TOXIC, FIT_UNKNOWN, FEATURES = 5_000, 15_000, 4_096
 #: A feature must be so much commoner in toxic texts than in unknown ones, and by so many standard errors. Otherwise the many
 #: words of a long text would add up.
 LIFT, APART = 2.0, 4.0
+#: Share of the toxic texts that must have a feature, and their least number: rarer ones are told apart by chance.
+SUPPORT, LEAST = 0.02, 3
 #: First letters of a word that are features beside the word itself.
 STEMS = (4, 5)
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -136,7 +138,7 @@ def learn(docs: DataFrame, labels: DataFrame, n_toxic: int = FIT_TOXIC, n_unknow
     both = (F.col("t") + F.col("u")) / (a + b)
     apart = (rate_t - rate_u) / F.sqrt(both * (1 - both) + 1e-9)
     counts = rows.mapInArrow(counted, "feature string, in_toxic long, in_unknown long").groupBy("feature").agg(F.sum("in_toxic").alias("t"), F.sum("in_unknown").alias("u"))
-    telling = (rate_t >= LIFT * rate_u) & (apart >= APART * (1 / a + 1 / b) ** 0.5)
+    telling = (F.col("t") >= max(LEAST, SUPPORT * a)) & (rate_t >= LIFT * rate_u) & (apart >= APART * (1 / a + 1 / b) ** 0.5)
     best = counts.filter(telling).select("feature", apart.alias("apart")).orderBy(F.desc("apart"), "feature").limit(n_features).collect()
     index = {r["feature"]: i for i, r in enumerate(best)}
 
