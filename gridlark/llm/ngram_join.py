@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlark.llm.tables import fold, written
+from gridlark.llm.tables import fold, slices, written
 
 #: A link needs PERCENT * |A or B| <= 100 * |A and B|. The prefix reaches EXTRA percent of the set beyond the least.
 PERCENT, EXTRA = 80, 5
@@ -137,7 +137,7 @@ def search(query: np.ndarray, members: list[np.ndarray]) -> list[int]:
 
 
 def _prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         ids, n, digests, prefixes = b.column(0), [], [], []
         for text in b.column(1).to_pylist():
             s = shingle_set(fold(text))
@@ -165,7 +165,7 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         sets = [shingle_set(fold(t)) for t in b.column(1).to_pylist()]
         ends = np.cumsum([0, *map(len, sets)])
         flat = np.concatenate(sets) if sets else np.empty(0, np.int64)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.tables import local_path, written
+from gridlark.llm.tables import local_path, slices, written
 
 SIZE, WINDOWS, END = 4096, 16, 2
 #: Partitions whose leftovers one task merges: at most GROUP * WINDOWS * SIZE tokens.
@@ -37,7 +37,7 @@ _SPECIAL = b"<|"
 class Encoder(dict):
     """Ids of words as bytes. ASCII blanks end a word for the tokenizer, so words are encoded on their own and remembered."""
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 200_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.parts = Tokenizer.from_file(path), most, {}
@@ -155,7 +155,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, windows: in
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = encoder(path), Packer(size, windows)
         number, base = 0, TaskContext.get().partitionId() << 32
-        for b in batches:
+        for b in slices(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = encode.of(text, end)
                 packer.place(doc_id, 0, len(ids) // WIDTH, ids)

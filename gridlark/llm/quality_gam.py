@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.tables import crc_mod, least_hashed
+from gridlark.llm.tables import crc_mod, least_hashed, slices
 
 #: Labelled rows that a fit takes at most.
 FIT_ROWS = 20_000
@@ -185,7 +185,7 @@ def scored(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFram
     model = learn(docs, labels, rows)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = np.array([features(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()], float).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x), pa.float64())], names=[*b.schema.names, "_score"])
 

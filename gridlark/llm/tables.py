@@ -57,6 +57,13 @@ def least_hashed(rows: DataFrame, n: int, total: int, seed: int, *columns: str)
     return rows.orderBy(h, *columns).limit(n)
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches cut into such of at most ``rows`` rows, so that a task has few texts as Python objects at a time."""
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the id as decimal text, modulo ``modulus``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.tables import crc_mod, least_hashed, written
+from gridlark.llm.tables import crc_mod, least_hashed, slices, written
 
 #: Confirmed toxic rows, rows of unknown kind, and features that a fit takes at most.
 FIT_TOXIC, FIT_UNKNOWN, FEATURES = 5_000, 15_000, 4_096
@@ -123,7 +123,7 @@ def learn(docs: DataFrame, labels: DataFrame, n_toxic: int = FIT_TOXIC, n_unknow
                 c.clear()
             return batch
 
-        for b in batches:
+        for b in slices(batches):
             for text, toxic in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 seen[toxic].update(words(text))
                 if sum(map(len, seen.values())) > most:
@@ -162,7 +162,7 @@ def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = model.scorer()
-        for b in batches:
+        for b in slices(batches):
             scores = [one(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, "_score"])
 
