@@ -6,6 +6,8 @@ Rows are dealt out by ranges of the order, sorted there, and shifted by what the
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,3 +45,25 @@ def ranked(df: DataFrame, value: Column, name: str, parts: int | None = None) ->
     ranks = running(counts, [F.col("_value").desc()], F.col("_count"), "_before", parts).select(F.col("_value").alias("_of"), "_before")
     out = rows.join(ranks, F.col("_value") == F.col("_of"), "left")
     return out.withColumn(name, F.coalesce(F.col("_before") + 1, F.lit(0)).cast("double")).drop("_value", "_of", "_before")
+
+
+def quantiles(df: DataFrame, value: Column, shares: Sequence[float], by: Sequence[Column] = (), parts: int | None = None) -> DataFrame:
+    """(``_key0``.., q) for each group of ``by``, or for all rows: the values at ``shares``, from 0 to 1, of the way through the
+    group, between neighbours in proportion; null where the group has no value. Equal values are counted, and the counts added
+    up by ranges, so no task sees a group whole."""
+    keys = [f"_key{i}" for i in range(len(by))]
+    counts = df.select(*[b.alias(k) for b, k in zip(by, keys, strict=True)], value.alias("_v")).groupBy(*keys, "_v").agg(F.count("_v").alias("_n"))
+    rows = running(counts, [F.col(c) for c in (*keys, "_v")], F.col("_n"), "_before", parts)
+    groups = rows.groupBy(*keys).agg(F.min("_before").alias("_start"), F.sum("_n").alias("_all"))
+    if keys:
+        groups = groups.withColumnsRenamed({k: f"_of{k}" for k in keys})
+        rows = rows.join(groups, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in keys]))
+    else:
+        rows = rows.crossJoin(F.broadcast(groups))  # one row
+    first = F.col("_before") - F.col("_start")
+    places = [F.lit(float(p)) * (F.col("_all") - 1) for p in shares]
+    at = lambda place: F.max(F.when((first <= place) & (place < first + F.col("_n")), F.col("_v")))
+    ends = [f(r) for r in places for f in (F.floor, F.ceil)]
+    out = rows.groupBy(*keys).agg(F.max("_all").alias("_all"), *[at(e).alias(f"_e{i}") for i, e in enumerate(ends)])
+    between = lambda lo, hi, r: F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (r - F.floor(r)))
+    return out.select(*keys, F.array(*[between(F.col(f"_e{2 * i}"), F.col(f"_e{2 * i + 1}"), r) for i, r in enumerate(places)]).alias("q"))

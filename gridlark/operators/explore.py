@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlark.functions.columns import kind, quoted, required, text
 from gridlark.functions.dates import bucket
 from gridlark.functions.numbers import number
-from gridlark.functions.order import numbered
+from gridlark.functions.order import numbered, quantiles
 
 
 def numeric_columns(df: DataFrame, hidden: Sequence[str] = ()) -> list[str]:
@@ -109,10 +109,10 @@ def axis_scales(df: DataFrame, axes: dict[str, int]) -> DataFrame:
 
 def five_numbers(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
     """min, q1, median, q3, max; of each group of ``by`` if that is given."""
-    p = F.percentile(number(df, required(df, column)), [0.0, 0.25, 0.5, 0.75, 1.0]).alias("p")
-    rows = df.groupBy(quoted(required(df, by))).agg(p) if by else df.agg(p)
-    keys: list[Column] = [quoted(required(df, by))] if by else []
-    return rows.select(*keys, *[F.col("p")[i].alias(n) for i, n in enumerate(("min", "q1", "median", "q3", "max"))])
+    keys = [quoted(required(df, by))] if by else []
+    rows = quantiles(df, number(df, required(df, column)), [0.0, 0.25, 0.5, 0.75, 1.0], keys)
+    named = [F.col("_key0").alias(required(df, by))] if by else []
+    return rows.select(*named, *[F.col("q")[i].alias(n) for i, n in enumerate(("min", "q1", "median", "q3", "max"))])
 
 
 def donut(df: DataFrame, column: str, k: int = 8) -> DataFrame:

@@ -2,20 +2,21 @@
 
 ``round(price * qty, 2)``, ``if(qty > 0, revenue / qty, 0)``, ``col_pct(total)``: comparison, sum, product and sign in rising
 precedence, doubles throughout, undefined values spread. ``col_*`` are aggregates of a column over the view, ``col_*_all`` over
-the whole table; all that a formula needs of either are taken in one pass.
+the whole table; all that a formula needs of either are taken in one pass, and another for each column with percentiles.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.functions.columns import kind, quoted, resolve, text
 from gridlark.functions.numbers import half_away, number, prefix
-from gridlark.functions.order import ranked
+from gridlark.functions.order import quantiles, ranked
 
 _TOKEN = re.compile(r"\s*(?:(?P<number>\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+)|`(?P<quoted>[^`]*)`|(?P<name>[^\W\d]\w*)|(?P<op>==|!=|<=|>=|[-+*/(),<>=]))")
 ARITY = {"round": (1, 2), "abs": (1, 1), "floor": (1, 1), "ceil": (1, 1), "mod": (2, 2), "pow": (2, 2), "if": (3, 3), "empty": (1, 1)}
@@ -128,16 +129,31 @@ def aggregates(node: Node) -> list[tuple]:
     return list(dict.fromkeys(own + [x for a in node.args for x in aggregates(a)]))
 
 
-def scalar(df: DataFrame, fn: str, column: str, share: float | None) -> Column:
-    """One aggregate over all rows of ``df``; 0 where there is nothing to take it of."""
+def scalar(df: DataFrame, fn: str, column: str) -> Column:
+    """One aggregate over all rows of ``df``, but for medians and percentiles; 0 where there is nothing to take it of."""
     x = number(df, column, prefix)
     made = {
         "sum": F.sum(x), "avg": F.avg(x), "min": F.min(x), "max": F.max(x), "count": F.count(x).cast("double"), "pct": F.sum(x),
-        "median": F.median(x), "percentile": F.percentile(x, (share or 0) / 100), "stddev": F.stddev_pop(x), "var": F.var_pop(x),
+        "stddev": F.stddev_pop(x), "var": F.var_pop(x),
     }[fn]
     return F.coalesce(made, F.lit(0.0))
 
 
+def scalars(df: DataFrame, wanted: dict[tuple, str]) -> DataFrame:
+    """One row of aggregates over all rows of ``df``. ``wanted``: (function, column, percentile, ..) -> name."""
+    plain, shares = [], {}
+    for key, name in wanted.items():
+        if key[0] in ("median", "percentile"):
+            shares.setdefault(key[1], {})[name] = (50 if key[0] == "median" else key[2] or 0) / 100
+        else:
+            plain.append(scalar(df, *key[:2]).alias(name))
+    rows = [df.agg(*plain)] if plain else []
+    for of, named in shares.items():
+        q = quantiles(df, number(df, of, prefix), list(named.values()))
+        rows.append(q.select(*[F.coalesce(F.col("q")[i], F.lit(0.0)).alias(name) for i, name in enumerate(named)]))
+    return reduce(DataFrame.crossJoin, rows)  # of one row each
+
+
 def column(df: DataFrame, node: Node, names: dict[tuple, str]) -> Column:
     """The node as a Column of doubles; null is undefined. ``names``: columns that hold the aggregates."""
     args = [column(df, a, names) for a in node.args]
@@ -183,11 +199,10 @@ def compute(view: DataFrame, name: str, source: str, base: DataFrame | None = No
     out, names, base = view, {}, base if base is not None else view
     for everything in (False, True):
         of, wanted = (base if everything else view), [x for x in aggregates(node) if x[3] == everything]
-        scalars = [x for x in wanted if x[0] != "rank"]
         for x in wanted:
             names[x] = f"_agg{len(names)}"
-        if scalars:  # one row
-            out = out.crossJoin(F.broadcast(of.agg(*[scalar(of, *x[:3]).alias(names[x]) for x in scalars])))
+        if once := {x: names[x] for x in wanted if x[0] != "rank"}:
+            out = out.crossJoin(F.broadcast(scalars(of, once)))  # one row
         for x in wanted:
             if x[0] == "rank" and not everything:
                 out = ranked(out, number(view, x[1], prefix), names[x])

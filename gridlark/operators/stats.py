@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridlark.functions.columns import quoted, required, text
 from gridlark.functions.dates import bucket
 from gridlark.functions.numbers import number
-from gridlark.functions.order import numbered
+from gridlark.functions.order import numbered, quantiles
 
 BINS, BLOCKS = 30, 20
 
@@ -19,10 +19,11 @@ def summary(df: DataFrame, column: str) -> DataFrame:
     c = required(df, column)
     x, valid = number(df, c), F.trim(text(df, c)) != ""
     total, filled = F.count(F.lit(1)), F.count_if(valid)
-    return df.agg(
+    row = df.agg(
         total.alias("total"), filled.alias("valid"), (total - filled).alias("empty"), F.try_divide(filled * 100.0, total).alias("valid_pct"),
-        F.count_distinct(F.when(valid, text(df, c))).alias("n_unique"), F.sum(x).alias("sum"), F.try_divide(F.sum(x), filled).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.median(x).alias("median"),
+        F.count_distinct(F.when(valid, text(df, c))).alias("n_unique"), F.sum(x).alias("sum"), F.try_divide(F.sum(x), filled).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"),
     )
+    return row.crossJoin(quantiles(df, x, [0.5]).select(F.col("q")[0].alias("median")))  # of one row each
 
 
 def frequencies(df: DataFrame, column: str) -> DataFrame:
@@ -83,8 +84,8 @@ def percentiles(df: DataFrame, column: str) -> DataFrame:
     """One row: p1 to p99, iqr, stddev (of a sample), mean."""
     x = number(df, required(df, column))
     points = (1, 5, 10, 25, 50, 75, 90, 95, 99)
-    row = df.agg(F.percentile(x, [p / 100 for p in points]).alias("p"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("stddev"), F.avg(x).alias("mean"))
-    return row.select(*[F.col("p")[i].alias(f"p{p}") for i, p in enumerate(points)], (F.col("p")[5] - F.col("p")[3]).alias("iqr"), "stddev", "mean")
+    row = df.agg(F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("stddev"), F.avg(x).alias("mean")).crossJoin(quantiles(df, x, [p / 100 for p in points]))  # of one row each
+    return row.select(*[F.col("q")[i].alias(f"p{p}") for i, p in enumerate(points)], (F.col("q")[5] - F.col("q")[3]).alias("iqr"), "stddev", "mean")
 
 
 def blocks(df: DataFrame, column: str, n: int = BLOCKS, order_by: str | None = None) -> DataFrame:
