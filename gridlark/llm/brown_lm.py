@@ -1,10 +1,18 @@
 """Language-model scoring with Brown class-based n-grams.
 
-A word's probability is that of its class after the class before, times that of the word in its class. Units - the commonest
-words, and for all others buckets of word endings - are assigned to classes by exchange: a unit moves to the class that gains
-most mutual information between neighbouring classes, until a sweep moves few. Counts of words and of neighbouring units come
-from all training documents. Only tables of a fixed size reach the driver (units by units, and the commonest words); the rest
-of the vocabulary stays a Spark table, which the rare words of the scored texts are joined with.
+A word's probability is that of its class after the class before, times that of the word in its class. Every word that the
+training documents have at least ``LEAST`` times is assigned to a class by its own neighbours; rarer and unseen words share
+the class of a bucket of word endings. The clustered vocabulary grows with the corpus:
+
+1. Neighbouring words are counted block by block into a Spark table of pairs.
+2. The commonest words and the buckets, a matrix of a fixed size, are assigned on the driver by exchange: a unit moves to the
+   class that gains most mutual information between neighbouring classes, until a sweep moves few.
+3. All other words start in the class of their ending and are moved in sweeps over the table of pairs. A sweep adds up each
+   word's neighbours by class and puts it where they are likeliest, given the class table of the sweep before (Uszkoreit and
+   Brants 2008 move words in parallel likewise). Sweeps end when the mutual information no longer rises; the best stays.
+
+Of the vocabulary, nine bytes a clustered word (a 64-bit hash and its class) are held on the driver and in each task, the
+counts stay in Spark tables. Two clustered words would share a class unasked only if their hashes were equal.
 """
 
 from __future__ import annotations
@@ -16,25 +24,35 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.llm.tables import crc_mod, fold, written
 
-#: Commonest words that all tasks get; words that are units themselves; buckets of endings; classes.
+#: Commonest words that all tasks get; words of the driver's exchange; buckets of endings; classes.
 COMMON, HEADS, TAILS, CLASSES = 200_000, 512, 512, 64
+#: Occurrences from which on a word is assigned by its own neighbours; sweeps over all words at most.
+LEAST, SWEEPS = 3, 4
+#: Nats a pair of neighbours by which a sweep must raise the mutual information for another to follow.
+RISE = 0.02
 #: The end of a text, as a token: no word can be a blank.
 END = b"\n"
 ENDING = 3
 PRIOR = 0.5
-#: Texts that a task scores at a time.
-ROWS = 256
+#: Texts that a task scores at a time; tokens, and pairs, that it counts at a time; units whose neighbours are added up at a time.
+ROWS, TOKENS, PAIRS, PART = 256, 400_000, 2_000_000, 1 << 14
 
 
-def tail_unit(word: bytes) -> int:
-    """The unit of a word that is none itself: the bucket of its last letters."""
-    return HEADS + zlib.crc32(word[-ENDING:]) % TAILS
+def ending(word: bytes) -> int:
+    """The bucket of a word's last letters."""
+    last = word[-ENDING:] if word.isascii() else word.decode("utf-8", "surrogatepass")[-ENDING:].encode("utf-8", "surrogatepass")
+    return zlib.crc32(last) % TAILS
+
+
+def digests(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
 def plogp(x):
@@ -91,24 +109,39 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = 10, fixe
     return of
 
 
+class Units:
+    """Numbers of words: the place of a clustered word's hash among the sorted ones, then the buckets of endings."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = hashes
+
+    def __len__(self) -> int:
+        return len(self.hashes) + TAILS
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        hashes = digests(words)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        for i in np.flatnonzero(self.hashes[at] != hashes).tolist():
+            at[i] = len(self.hashes) + ending(words[i])
+        return at
+
+
 class Model:
     """Classes of units, log10 probabilities of transitions, and denominators of words in their classes."""
 
-    def __init__(self, heads: dict[bytes, int], of: np.ndarray, bigrams: np.ndarray, tokens: np.ndarray, types: np.ndarray, classes: int) -> None:
-        member = np.zeros((len(of), classes))
-        member[np.arange(len(of)), of] = 1
-        between = member.T @ bigrams @ member
-        self.heads, self.of = heads, of
-        self.step = np.log10((between + PRIOR) / (between.sum(1, keepdims=True) + PRIOR * classes))
-        room = (tokens @ member) + PRIOR * ((types @ member) + 1)
-        self.room = np.log10(room)
-        self.end = classes - 1
+    def __init__(self, units: Units, of: np.ndarray, between: np.ndarray, tokens: np.ndarray, types: np.ndarray) -> None:
+        self.units, self.of = units, of
+        self.step = np.log10((between + PRIOR) / (between.sum(1, keepdims=True) + PRIOR * len(between)))
+        self.room = np.log10(tokens + PRIOR * (types + 1))
+        self.end = len(between) - 1
         self.room[self.end] = 0.0  # the end is sure in its class
         self.first = self.end  # a text begins where another has ended
 
+    def classes_of(self, words: list[bytes]) -> np.ndarray:
+        return self.of[self.units.of(words)].astype(np.int64)
+
     def class_of(self, word: bytes) -> int:
-        unit = self.heads.get(word)
-        return int(self.of[tail_unit(word) if unit is None else unit])
+        return int(self.classes_of([word])[0])
 
 
 def word_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
@@ -138,54 +171,190 @@ def sent_to_all(df: DataFrame, value):
     return df.sparkSession.sparkContext.broadcast(value)
 
 
-def unit_bigrams(docs: DataFrame, heads: dict[bytes, int]) -> np.ndarray:
-    """Counts of neighbouring units over ``docs``; the end is before the first word and after the last."""
-    size, known = HEADS + TAILS, sent_to_all(docs, heads)
+def vocabulary(counts: DataFrame, least: int = LEAST) -> tuple[Units, np.ndarray]:
+    """The units of ``counts``, and of each unit its row in the driver's exchange: a head's, or that of its ending."""
+    word = F.col("word") != F.lit(bytearray(END))
+    best = [bytes(r["word"]) for r in counts.filter(word).orderBy(F.desc("n"), "word").limit(HEADS - 1).collect()]
+    heads = digests([*best, END])
+
+    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(digests(words)), pa.array([ending(w) for w in words], pa.int32())], names=["hash", "ending"])
+
+    rest = counts.filter(word & (F.col("n") >= least)).select("word").mapInArrow(hashed, "hash long, ending int").toArrow()
+    hashes, at = np.unique(np.concatenate([heads, rest.column("hash").to_numpy()]), return_index=True)
+    row = np.concatenate([np.arange(len(best)), [HEADS - 1], HEADS + rest.column("ending").to_numpy()])[at]
+    return Units(hashes), np.concatenate([row, HEADS + np.arange(TAILS)]).astype(np.int32)
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Arrays of 32-bit numbers, compressed byte by byte: Spark passes them on as one cell."""
+    planes = np.stack([c.astype(np.int32) for c in columns]).view(np.uint8).reshape(len(columns), -1, 4).transpose(0, 2, 1)
+    return pa.compress(np.ascontiguousarray(planes).data, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, columns: int, rows: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * columns * rows, codec="zstd", asbytes=True), np.uint8).reshape(columns, 4, rows)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int32)[..., 0].astype(np.int64)
+
+
+def unit_pairs(docs: DataFrame, units: Units) -> DataFrame:
+    """Neighbouring units of ``docs`` and their counts, packed block by block; the end is before the first word and after the last."""
+    sent = sent_to_all(docs, units)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, total, end = _Units(known.value), np.zeros(size * size, np.int64), known.value[END]
+        units, known, stream = sent.value, {}, [END]
+
+        def out() -> pa.RecordBatch:
+            if len(known) > TOKENS:
+                known.clear()
+            new = list(set(stream).difference(known))
+            known.update(zip(new, units.of(new).tolist(), strict=True))
+            u = np.fromiter(map(known.__getitem__, stream), np.int64, len(stream))
+            pair, n = np.unique(u[:-1] * len(units) + u[1:], return_counts=True)
+            del stream[1:]
+            data = packed(np.diff(pair // len(units), prepend=0), pair % len(units), n)
+            return pa.RecordBatch.from_arrays([pa.array([len(n)]), pa.array([data], pa.binary())], names=["rows", "data"])
+
         for b in batches:
-            for words in map(fold, b.column(0).to_pylist()):
-                u = np.array([end, *map(units.__getitem__, words), end], np.int64)
-                np.add.at(total, u[:-1] * size + u[1:], 1)
+            for start in range(0, b.num_rows, ROWS):
+                for words in map(fold, b.column(0).slice(start, ROWS).to_pylist()):
+                    stream += words
+                    stream.append(END)
+                    if len(stream) > TOKENS:
+                        yield out()
+        if len(stream) > 1:
+            yield out()
+
+    return docs.select("text").mapInArrow(count, "rows long, data binary")
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[np.ndarray]:
+    """(a, b, n) of many packed blocks together, about ``most`` pairs."""
+    held, rows = [], 0
+    for batch in batches:
+        for size, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            block = unpacked(data.as_py(), 3, size)
+            block[0] = np.cumsum(block[0])
+            held.append(block)
+            rows += size
+            if rows >= most:
+                yield np.concatenate(held, axis=1)
+                held, rows = [], 0
+    if held:
+        yield np.concatenate(held, axis=1)
+
+
+def group_bigrams(pairs: DataFrame, group: np.ndarray, size: int) -> np.ndarray:
+    """Counts of neighbouring groups of units, ``size`` by ``size``."""
+    sent = sent_to_all(pairs, group)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, group = np.zeros(size * size), sent.value
+        for a, b, n in _blocks(batches, 1):
+            total += np.bincount(group[a].astype(np.int64) * size + group[b], n, size * size)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["pair", "n"])
 
-    found = docs.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    found = pairs.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * size)
     out[found.column("pair").to_numpy()] = found.column("n").to_numpy()
     return out.reshape(size, size)
 
 
-class _Units(dict):
-    """Units of words, remembered within bounds."""
+def neighbours(pairs: DataFrame, of: np.ndarray, moving: np.ndarray, classes: int) -> DataFrame:
+    """(part, rows, data): for the units of a part that may move, how often each class comes after them (slot: the class) and
+    before them (slot: ``classes`` more), packed as (unit, slot, count). A part has several rows, which add up."""
+    sent = sent_to_all(pairs, (of, moving))
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, moving = sent.value
+        for a, b, n in _blocks(batches, PAIRS):
+            left, right = moving[a], moving[b]
+            key = np.concatenate([a[left] * 2 * classes + of[b[left]], b[right] * 2 * classes + classes + of[a[right]]])
+            key, at = np.unique(key, return_inverse=True)
+            n = np.bincount(at, np.concatenate([n[left], n[right]]), len(key))
+            unit, slot = key // (2 * classes), key % (2 * classes)
+            edges = np.append(np.flatnonzero(np.diff(unit // PART, prepend=-1)), len(unit)).tolist()
+            for i, j in zip(edges, edges[1:], strict=False):
+                data = packed(np.diff(unit[i:j] % PART, prepend=0), slot[i:j], n[i:j])
+                yield pa.RecordBatch.from_arrays([pa.array([int(unit[i]) // PART]), pa.array([j - i]), pa.array([data], pa.binary())], names=["part", "rows", "data"])
+
+    return pairs.mapInArrow(count, "part long, rows long, data binary")
+
+
+def best_classes(found: DataFrame, between: np.ndarray) -> pa.Table:
+    """(unit, of): the class, other than the last, in which the unit's neighbours are likeliest by the class table ``between``."""
+    classes = len(between)
+    total = between + PRIOR
+    link = np.log(total) - np.log(total.sum(1, keepdims=True)) - np.log(total.sum(0, keepdims=True))
+    sent = sent_to_all(found, np.vstack([link.T, link])[:, : classes - 1])  # a row for each slot, a column for each class
+
+    def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gain, part, total = sent.value, None, np.zeros(PART * 2 * classes)
+
+        def out() -> pa.RecordBatch:
+            matrix = total.reshape(PART, -1)
+            unit = np.flatnonzero(matrix.any(1))
+            of = (matrix[unit] @ gain).argmax(1)
+            total[:] = 0
+            return pa.RecordBatch.from_arrays([pa.array((part * PART + unit).astype(np.int32)), pa.array(of.astype(np.int32))], names=["unit", "of"])
+
+        for batch in batches:  # in order of parts; one may go on in the next batch
+            for p, size, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if part is not None and p != part:
+                    yield out()
+                part = p
+                unit, slot, n = unpacked(data.as_py(), 3, size)
+                total[np.cumsum(unit) * 2 * classes + slot] += n  # a row has no unit and slot twice
+        if part is not None:
+            yield out()
+
+    return found.repartition("part").sortWithinPartitions("part").mapInArrow(choose, "unit int, of int").toArrow()
 
-    def __init__(self, heads: dict[bytes, int], most: int = 500_000) -> None:
-        super().__init__(heads)
-        self.most = most
 
-    def __missing__(self, word: bytes) -> int:
-        unit = tail_unit(word)
-        if len(self) < self.most:
-            self[word] = unit
-        return unit
+def information(between: np.ndarray) -> float:
+    """Mutual information of neighbouring classes, times the number of neighbours, less a constant."""
+    return float(plogp(between).sum() - plogp(between.sum(1)).sum() - plogp(between.sum(0)).sum())
+
+
+def assigned(pairs: DataFrame, row: np.ndarray, classes: int, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all units, and the counts of neighbouring classes. ``row``: of each unit its row in the driver's exchange."""
+    of = exchange(group_bigrams(pairs, row, HEADS + TAILS), classes, fixed=HEADS - 1)[row].astype(np.uint8)
+    between = group_bigrams(pairs, of, classes)
+    moving = row >= HEADS
+    moving[len(row) - TAILS :] = False
+    if not moving.any():
+        return of, between
+    for _ in range(sweeps):
+        found, other = best_classes(neighbours(pairs, of, moving, classes), between), of.copy()
+        other[found.column("unit").to_numpy()] = found.column("of").to_numpy()
+        after = group_bigrams(pairs, other, classes)
+        rise = information(after) - information(between)
+        if rise > 0:
+            of, between = other, after
+        if rise <= RISE * between.sum():
+            break
+    return of, between
 
 
-def unit_totals(counts: DataFrame, heads: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and distinct words of each unit."""
-    size, known = HEADS + TAILS, sent_to_all(counts, heads)
+def class_totals(counts: DataFrame, units: Units, of: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and distinct words of each class."""
+    sent = sent_to_all(counts, (units, of))
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, types = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        units, of = sent.value
+        tokens, types = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
         for b in batches:
-            at = np.array([known.value[w] if w in known.value else tail_unit(w) for w in b.column(0).to_pylist()], np.int64)
+            at = of[units.of(b.column(0).to_pylist())]
             np.add.at(tokens, at, b.column(1).to_numpy())
             np.add.at(types, at, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(tokens), pa.array(types)], names=["unit", "tokens", "types"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes)), pa.array(tokens), pa.array(types)], names=["of", "tokens", "types"])
 
-    found = counts.mapInArrow(add, "unit long, tokens long, types long").groupBy("unit").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).toArrow()
-    tokens, types = np.zeros(size), np.zeros(size)
-    tokens[found.column("unit").to_numpy()], types[found.column("unit").to_numpy()] = found.column("tokens").to_numpy(), found.column("types").to_numpy()
+    found = counts.mapInArrow(add, "of long, tokens long, types long").groupBy("of").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).toArrow()
+    tokens, types = np.zeros(classes), np.zeros(classes)
+    tokens[found.column("of").to_numpy()], types[found.column("of").to_numpy()] = found.column("tokens").to_numpy(), found.column("types").to_numpy()
     return tokens, types
 
 
@@ -204,11 +373,9 @@ def commonest(counts: DataFrame, most: int) -> DataFrame:
 
 def learn(docs: DataFrame, counts: DataFrame, classes: int = CLASSES) -> Model:
     """The model of ``docs``, given their word counts."""
-    best = counts.filter(F.col("word") != F.lit(bytearray(END))).orderBy(F.desc("n"), "word").limit(HEADS - 1).collect()
-    heads = {bytes(r["word"]): i for i, r in enumerate(best)} | {END: HEADS - 1}
-    bigrams = unit_bigrams(docs, heads)
-    of = exchange(bigrams, classes, fixed=heads[END])
-    return Model(heads, of, bigrams, *unit_totals(counts, heads), classes)
+    units, row = vocabulary(counts)
+    of, between = assigned(written(unit_pairs(docs, units), "lm-pairs"), row, classes)
+    return Model(units, of, between, *class_totals(counts, units, of, classes))
 
 
 def scored(docs: DataFrame, train: DataFrame, common: int = COMMON, classes: int = CLASSES) -> DataFrame:
@@ -224,7 +391,7 @@ def scored(docs: DataFrame, train: DataFrame, common: int = COMMON, classes: int
     top = commonest(counts, common).toArrow()
     words = {w: i for i, w in enumerate(top.column("word").to_pylist())}
     n = top.column("n").to_numpy()
-    sent = sent_to_all(docs, (words, np.array([model.class_of(w) for w in words], np.int64), np.log10(n + PRIOR), model))
+    sent = sent_to_all(docs, (words, model.classes_of(list(words)), np.log10(n + PRIOR), model))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, class_of, log_n, model = sent.value
@@ -238,8 +405,8 @@ def scored(docs: DataFrame, train: DataFrame, common: int = COMMON, classes: int
                 at = np.append(at, end)
                 far = np.flatnonzero(at[:-1] < 0).tolist()
                 chain = class_of[at] if len(class_of) else np.zeros(len(at), np.int64)
-                for i in far:
-                    chain[i] = model.class_of(tokens[i])
+                if far:
+                    chain[far] = model.classes_of([tokens[i] for i in far])
                 chain[-1] = model.end
                 near = at[at >= 0]
                 own = float(log_n[near].sum()) + (missing if end < 0 else 0.0)

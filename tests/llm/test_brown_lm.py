@@ -120,3 +120,19 @@ def test_empty_tables(spark):
     lone = next(i for i in range(100) if held(i))
     r = brown_lm.op9(spark.createDataFrame([(lone, "some words", 0, "")], DOCS)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) and r.score <= 0
+
+
+def test_words_beyond_the_commonest_go_by_their_neighbours(spark):
+    """More words than the driver's exchange takes, of two kinds in turn, with nothing in their endings."""
+    r = random.Random(5)
+    kinds = [[f"{k}{i}xyz" for i in range(500)] for k in "pq"]
+    texts = [" ".join(r.choice(kinds[i % 2]) for i in range(40)) for _ in range(1000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = brown_lm.learn(df, brown_lm.word_counts(df))
+    classes = [Counter(model.classes_of([w.encode() for w in kind]).tolist()) for kind in kinds]
+    both = sum(min(classes[0][c], classes[1][c]) for c in classes[0])
+    assert both < 20
+
+
+def test_endings_are_letters():
+    assert brown_lm.ending("xéàü".encode()) == brown_lm.ending("yéàü".encode()) != brown_lm.ending("xéáü".encode())
