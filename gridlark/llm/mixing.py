@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlark.llm.tables import WORD_PATTERN, whole, written
+from gridlark.llm.tables import WORD_PATTERN, keyed, whole, written
 
 #: Signs whose share of a text lowers its weight in the draw.
 MARKS = "!#$%&*|"
@@ -28,13 +28,13 @@ def quality_weight(text):
     return F.when(n == 0, 1.0).otherwise(F.greatest(F.lit(0.1), 1.0 - 5.0 * marks / n))
 
 
-def sized(docs: DataFrame, seed: int = 17, buckets: int = 4096) -> DataFrame:
-    """(doc_id, source, size, key, bucket) of each row; ``bucket`` is monotone in ``key``."""
+def sized(docs: DataFrame, seed: int = 17, buckets: int = 4096, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, source, size, key, bucket) of each row, and the columns ``keep``; ``bucket`` is monotone in ``key``."""
     t = whole()
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 53)) + 0.5) / float(1 << 53)
     key = F.col("key")
     return (
-        docs.select("doc_id", "source", F.regexp_count(t, F.lit(WORD_PATTERN)).cast("long").alias("size"), (-F.log(u) / quality_weight(t)).alias("key"))
+        docs.select("doc_id", "source", F.regexp_count(t, F.lit(WORD_PATTERN)).cast("long").alias("size"), (-F.log(u) / quality_weight(t)).alias("key"), *keep)
         .withColumn("bucket", F.floor(buckets * key / (1 + key)).cast("int"))
     )
 
@@ -61,18 +61,18 @@ def targets(sources: DataFrame, weights: Sequence[float], factor: float, max_epo
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), factor: float = 1.5, max_epochs: float = 2.0, seed: int = 17, buckets: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), factor: float = 1.5, max_epochs: float = 2.0, seed: int = 17, buckets: int = 4096, keep: Sequence[str] = ()) -> DataFrame:
     """Words that a mix of ``docs`` (doc_id, source, text) takes of each row.
 
     Sources in order of code point, null last, weigh ``weights`` in turn. Their targets share ``factor`` times all words,
     none above ``max_epochs`` times its source. Returns doc_id, source, size, source_size, target, taken, one row for each
-    row of ``docs``; ``taken`` counts repeats, and the document at which the budget ends is taken in part, so that a
+    row of ``docs``, and the columns ``keep`` with it; ``taken`` counts repeats, and the document at which the budget ends is taken in part, so that a
     source's words meet its target to less than one word.
 
     Null and empty texts have size 0 and are never taken. A null source is a source. Equal keys (repeated ids) are ordered
     by id, then size; repeated rows share a key and are counted one after the other. An empty table gives an empty result.
     """
-    rows = written(sized(docs, seed, buckets), "mix-sizes")
+    rows = written(sized(docs, seed, buckets, keep), "mix-sizes")
     per_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     per_bucket = written(per_bucket, "mix-buckets")
     goal = targets(per_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, factor, max_epochs)
@@ -87,17 +87,20 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), factor: float = 1
     room = F.col("rest") - F.col("before")
     cut = (room > 0) & (room < F.col("bucket_size"))
     outside = joined.filter(~cut).withColumn("part", F.when(room >= F.col("bucket_size"), F.col("size")).otherwise(F.lit(0)))
-    ordered = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     inside = joined.filter(cut).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), room - F.coalesce(F.sum("size").over(ordered), F.lit(0)))))
     taken = (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken")
-    return outside.unionByName(inside).select("doc_id", "source", "size", "source_size", "target", taken)
+    return outside.unionByName(inside).select("doc_id", "source", "size", "source_size", "target", taken, *keep)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them (``taken / size``, rounded half up); rows not taken go.
 
-    Repeated rows of an id come as often as the most taken of them.
+    Each row by what was taken of it, also where ids are null or repeated.
     """
-    copies = mix(docs, **options).filter("taken > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_copies"))
-    kept = docs.alias("d").join(copies.filter("_copies > 0").withColumnRenamed("doc_id", "_id"), F.col("d.doc_id") == F.col("_id"))
+    rows = keyed(docs, "mix-rows")
+    key, rows = ("doc_id", docs) if rows is None else ("_row", rows)
+    copies = mix(rows, keep=() if key == "doc_id" else (key,), **options).filter("taken > 0")
+    copies = copies.select(F.col(key).alias("_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_copies"))
+    kept = rows.alias("d").join(copies.filter("_copies > 0"), F.col(f"d.{key}") == F.col("_id"))
     return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select([F.col(f"d.`{c}`") for c in docs.columns])

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlark.llm.tables import fold, slices, written
+from gridlark.llm.tables import fold, keyed, slices, written
 
 #: A link needs PERCENT * |A or B| <= 100 * |A and B|. The prefix reaches EXTRA percent of the set beyond the least.
 PERCENT, EXTRA = 80, 5
@@ -334,10 +334,24 @@ def cross_pairs(lists: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without near copies: of each component the row with its smallest doc_id stays."""
-    ids = components(docs).filter("component_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    columns = docs.columns
-    return docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi").dropDuplicates(["doc_id"]).select([F.col(f"`{c}`") for c in columns])
+    """``docs`` without near copies: of each component the row with its smallest doc_id stays.
+
+    Where ids are null or repeated each row is a document of its own, so rows that share an id but not a text are compared
+    by their own texts. A row without an id stays unless its component has another: one with an id comes first. Rows
+    without words go only if they repeat an id that another row without words has.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = keyed(docs, "ngram-rows")
+    if rows is None:
+        ids = components(docs).filter("component_id = doc_id").select(F.col("doc_id").alias("_id"))
+        return docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi").select(columns)
+    found = components(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_id")
+    found = rows.select("_row", "doc_id").join(found, F.col("_row") == F.col("_id"))
+    wordless = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
+    group = F.when(wordless.isNull(), F.col("component_id"))
+    first = F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    kept = found.groupBy(wordless.alias("wordless"), group.alias("group")).agg(first.alias("_id")).select("_id")
+    return rows.join(kept, rows["_row"] == kept["_id"], "left_semi").select(columns)
 
 
 #: DuckDB SQL for ``components`` over the table documents: shingles, pairs that share one, links, and what they reach.

@@ -64,6 +64,12 @@ def slices(batches, rows: int = 256):
             yield b.slice(start, rows)
 
 
+def keyed(docs: DataFrame, name: str) -> DataFrame | None:
+    """``docs`` with a number for each row in ``_row``, written; None if doc_id is one already: never null and never repeated."""
+    worst = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.count_if(F.col("doc_id").isNull())).first()
+    return None if (worst[0] or 0) <= 1 and not worst[1] else written(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the id as decimal text, modulo ``modulus``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

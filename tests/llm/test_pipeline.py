@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 
 import corpus_pipeline
-from gridlark.llm import mixing
+from gridlark.llm import mixing, ngram_join
 from gridlark.llm.tables import local_path
 from test_mixing import WORD, water_fill
 from test_ngram_join import brute
@@ -93,3 +93,16 @@ def test_run_is_its_stages(spark, folder):
 
 def test_weights_are_those_of_the_mix():
     assert mixing.mix.__defaults__[0] == (5, 2, 1)
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows are lost only to near copies: neither for want of an id nor for sharing one."""
+    text = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(6)]
+    rows = [(1, text[0]), (None, text[0]), (None, text[1]), (None, text[1]), (2, text[2]), (2, text[3]), (2, text[3]), (2, text[0]), (3, text[4]), (None, text[5])]
+    rows += [(4, ""), (4, None), (None, ""), (None, " ")]
+    df = spark.createDataFrame([(i, t, "a") for i, t in rows], "doc_id long, text string, source string")
+    got = ngram_join.one_of_each(df)
+    found = sorted(((r.doc_id or 0), (r.text or "").strip()) for r in got.collect())
+    assert found == sorted([(1, text[0]), (0, text[1]), (2, text[2]), (2, text[3]), (3, text[4]), (0, text[5]), (4, ""), (0, ""), (0, "")])
+    twice = mixing.mixed_documents(got, weights=(1,), factor=2.0)
+    assert sorted(r.text for r in twice.collect()) == sorted(text * 2)
