@@ -70,11 +70,14 @@ def read_comments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path: str, row_id: bool = False) -> DataFrame:
-    """Cells as text by key; nested values are JSON text; keys in the order in which the first lines have them, then the rest."""
+    """Cells as text by key; nested values are JSON text; keys in the order in which the first lines have them, then
+    the rest of all lines by name."""
     lines = spark.read.text(path).filter(F.trim("value") != "")
     keys: list[str] = []
     for r in lines.select(F.json_object_keys("value").alias("k")).limit(SAMPLE).collect():
         keys += [k for k in r["k"] or [] if k not in keys]
+    every = lines.select(F.explode(F.json_object_keys("value")).alias("k")).distinct().filter(~F.col("k").isin(keys))
+    keys += sorted(r["k"] for r in every.collect())
     parsed = lines.select(F.from_json("value", "map<string,string>").alias("m"))
     out = parsed.select(*[F.col("m")[k].alias(k) for k in keys])
     return out.withColumn(ROW_ID, F.monotonically_increasing_id()) if row_id else out

@@ -46,6 +46,13 @@ def test_json_lines(spark, tmp_path):
     assert cells(df) == [("1", '{"x":[1,2]}', "true", None), (None, "é", None, None)]
 
 
+def test_json_keys_of_late_lines(spark, tmp_path):
+    path = put(tmp_path / "late.ndjson", '{"m": 1}\n' * 300 + '{"z": 2, "m": 3}\n{"b": 4}\n')
+    df = readers.read(spark, path)
+    assert df.columns == ["m", "b", "z"]
+    assert cells(df)[-2:] == [("3", None, "2"), (None, "4", None)]
+
+
 @pytest.mark.parametrize("form", ["csv", "tsv", "ndjson", "parquet"])
 def test_round_trips(spark, tmp_path, form):
     rows = [("a, b", 'q"q', "1"), ("ä\tx", "", "2"), ("|;", "z", "-3.5")]
