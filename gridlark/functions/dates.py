@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,9 +20,15 @@ def parsed(cell: Column) -> Column:
 
 
 def java_format(strftime: str) -> str:
-    for a, b in _STRFTIME.items():
-        strftime = strftime.replace(a, b)
-    return strftime
+    """A strftime format as Spark's: fields by their letters, all else in quotes."""
+    out, plain = "", ""
+    for token in [*re.findall(r"%.|[^%]|%$", strftime, re.S), None]:
+        if token is None or token in _STRFTIME:
+            out += f"'{plain}'" if plain else ""
+            out, plain = out + _STRFTIME.get(token, ""), ""
+        else:
+            plain += {"%%": "%", "'": "''"}.get(token, token)
+    return out
 
 
 def formatted(cell: Column, strftime: str) -> Column:

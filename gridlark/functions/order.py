@@ -1,69 +1,104 @@
-"""Positions and running totals over a whole table, without sorting it in one task.
+"""Positions, ranks, running totals and percentiles over a whole table, without sorting it in one task.
 
-Rows are dealt out by ranges of the order, sorted there, and shifted by what the ranges before them hold.
+Rows are dealt out by ranges of the order and sorted there, once, and written with their place (the range and the row in it).
+Counts of the ranges, a row each, then shift the places. Nothing is cached, and no window holds more than ``CHUNK`` rows of a
+table, but for windows over the ranges' or chunks' totals. A table whose files are no larger than a range is one range, so
+one window, and isn't written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlark.functions.joins import looked_up
+from gridlark.sources.shared import input_bytes, written
 
-def _dealt(df: DataFrame, order: Sequence[Column], parts: int | None) -> DataFrame:
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # kept, so that both the totals and the rows see the same ranges
-    return df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).persist()
+#: Bytes of input that are worth a range of their own, and that a range should have at most.
+LEAST_BYTES, RANGE_BYTES = 16 << 20, 64 << 20
+#: Bits of a place that number the rows of a range, and those that number the rows of a chunk.
+ROW_BITS, CHUNK_BITS = 33, 17
+CHUNK = 1 << CHUNK_BITS
 
 
-def running(df: DataFrame, order: Sequence[Column], value: Column, name: str, parts: int | None = None) -> DataFrame:
-    """``df`` with the total of ``value`` over the rows before each row."""
-    dealt = _dealt(df, order, parts)
-    per_part = dealt.groupBy("_part").agg(F.sum(value).alias("_sum"))
-    shift = per_part.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
-    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = dealt.withColumn(name, F.coalesce(F.sum(value).over(within), F.lit(0)))
-    return out.join(F.broadcast(shift), "_part").withColumn(name, F.col(name) + F.col("_shift")).drop("_part", "_shift")  # a row per range
+def ranges(df: DataFrame, parts: int | None = None) -> int:
+    """How many ranges ``df`` is dealt out to, by the size of what it reads."""
+    size, usual = input_bytes(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts or min(size // LEAST_BYTES + 1, max(usual, size // RANGE_BYTES + 1))
+
+
+def _placed(df: DataFrame, order: Sequence[Column], parts: int) -> DataFrame:
+    """``df`` in ranges of the order, written, with ``_place``: ascending in the order, with gaps between ranges. The order
+    should be of bare columns: a sort makes anything else anew whenever it compares two rows."""
+    return written(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), "ordered")
+
+
+def _before(*by: Column | str) -> Window:
+    return Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def numbered(df: DataFrame, order: Sequence[Column], name: str = "pos", parts: int | None = None) -> DataFrame:
     """``df`` with each row's position in ``order``, from 1. The order should have no ties."""
-    dealt = _dealt(df, order, parts)
-    per_part = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    shift = per_part.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
-    out = dealt.withColumn(name, F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    return out.join(F.broadcast(shift), "_part").withColumn(name, (F.col(name) + F.col("_shift")).cast("long")).drop("_part", "_shift")
+    if (parts := ranges(df, parts)) == 1:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    rows = _placed(df, order, parts)
+    part = F.shiftright("_place", ROW_BITS)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    shift = counts.select("_part", F.coalesce(F.sum("_n").over(_before("_part")), F.lit(0)).alias("_shift"))
+    out = rows.withColumn("_part", part).join(F.broadcast(shift), "_part")  # a row per range
+    place = F.col("_place").bitwiseAND(F.lit((1 << ROW_BITS) - 1)) + F.col("_shift") + 1
+    return out.withColumn(name, place.cast("long")).drop("_part", "_place", "_shift")
 
 
-def ranked(df: DataFrame, value: Column, name: str, parts: int | None = None) -> DataFrame:
-    """``df`` with the competition rank (1, 2, 2, 4) of ``value``, largest first; 0 for null."""
-    rows = df.withColumn("_value", value)
-    counts = rows.filter("_value is not null").groupBy("_value").agg(F.count(F.lit(1)).alias("_count"))
-    ranks = running(counts, [F.col("_value").desc()], F.col("_count"), "_before", parts).select(F.col("_value").alias("_of"), "_before")
-    out = rows.join(ranks, F.col("_value") == F.col("_of"), "left")
-    return out.withColumn(name, F.coalesce(F.col("_before") + 1, F.lit(0)).cast("double")).drop("_value", "_of", "_before")
+def running(df: DataFrame, order: Sequence[Column], value: Column, name: str, parts: int | None = None) -> DataFrame:
+    """``df`` with the total of ``value`` over the rows before each row."""
+    if (parts := ranges(df, parts)) == 1:
+        return df.withColumn(name, F.coalesce(F.sum(value).over(_before(*order)), F.lit(0)))
+    rows = _placed(df, order, parts).withColumn("_chunk", F.shiftright("_place", CHUNK_BITS))
+    sums = rows.groupBy("_chunk").agg(F.sum(value).alias("_sum"))
+    shift = sums.select(F.col("_chunk").alias("_in"), F.coalesce(F.sum("_sum").over(_before("_chunk")), F.lit(0)).alias("_shift"))
+    within = Window.partitionBy("_chunk").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn(name, F.coalesce(F.sum(value).over(within), F.lit(0))).join(shift, F.col("_chunk") == F.col("_in"))
+    return out.withColumn(name, F.col(name) + F.col("_shift")).drop("_chunk", "_in", "_place", "_shift")
+
+
+def ranked(df: DataFrame, value: Column, name: str, parts: int | None = None, base: DataFrame | None = None, of: Column | None = None) -> DataFrame:
+    """``df`` with the competition rank (1, 2, 2, 4) of ``value``, largest first; 0 for null. With ``base``, the rank among
+    its values ``of``, and 0 for values that it doesn't have."""
+    counts = (df if base is None else base).groupBy((value if of is None else of).alias("_of")).agg(F.count(F.lit(1)).alias("_count")).filter("_of is not null")
+    ranks = written(running(counts, [F.col("_of").desc()], F.col("_count"), "_before", parts), "ranks")
+    out = looked_up(df.withColumn("_value", value), ranks, "_value", "_of", "_count")
+    return out.withColumn(name, F.coalesce(F.col("_before") + 1, F.lit(0)).cast("double")).drop("_value", "_count", "_before")
 
 
 def quantiles(df: DataFrame, value: Column, shares: Sequence[float], by: Sequence[Column] = (), parts: int | None = None) -> DataFrame:
     """(``_key0``.., q) for each group of ``by``, or for all rows: the values at ``shares``, from 0 to 1, of the way through the
-    group, between neighbours in proportion; null where the group has no value. Equal values are counted, and the counts added
-    up by ranges, so no task sees a group whole."""
+    group, between neighbours in proportion; null where the group has no value.
+
+    Equal values are counted. The counts are ordered and added up by chunks; only chunks in which a share lies are looked into.
+    """
     keys = [f"_key{i}" for i in range(len(by))]
     counts = df.select(*[b.alias(k) for b, k in zip(by, keys, strict=True)], value.alias("_v")).groupBy(*keys, "_v").agg(F.count("_v").alias("_n"))
-    rows = running(counts, [F.col(c) for c in (*keys, "_v")], F.col("_n"), "_before", parts)
-    groups = rows.groupBy(*keys).agg(F.min("_before").alias("_start"), F.sum("_n").alias("_all"))
-    if keys:
-        groups = groups.withColumnsRenamed({k: f"_of{k}" for k in keys})
-        rows = rows.join(groups, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in keys]))
-    else:
-        rows = rows.crossJoin(F.broadcast(groups))  # one row
-    first = F.col("_before") - F.col("_start")
     places = [F.lit(float(p)) * (F.col("_all") - 1) for p in shares]
-    at = lambda place: F.max(F.when((first <= place) & (place < first + F.col("_n")), F.col("_v")))
     ends = [f(r) for r in places for f in (F.floor, F.ceil)]
-    out = rows.groupBy(*keys).agg(F.max("_all").alias("_all"), *[at(e).alias(f"_e{i}") for i, e in enumerate(ends)])
+    inside = lambda first, n: [(first <= e) & (e < first + n) for e in ends]
+    sum_before = lambda c, own, by: F.coalesce(F.sum(c).over(own.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = Window.partitionBy(*keys)
+    if (parts := ranges(df, parts)) == 1:
+        rows = counts.withColumn("_first", sum_before("_n", own, "_v")).withColumn("_all", F.sum("_n").over(own.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    else:
+        rows = _placed(counts, [F.col(c) for c in (*keys, "_v")], parts).withColumn("_chunk", F.shiftright("_place", CHUNK_BITS))
+        chunks = rows.groupBy(*keys, "_chunk").agg(F.sum("_n").alias("_c"))
+        chunks = chunks.withColumn("_start", sum_before("_c", own, "_chunk")).withColumn("_all", F.sum("_c").over(own))
+        wanted = chunks.filter(reduce(or_, inside(F.col("_start"), F.col("_c")), F.col("_all") == 0)).drop("_c")
+        wanted = wanted.withColumnsRenamed({k: f"_of{k}" for k in keys} | {"_chunk": "_of"})
+        rows = rows.join(wanted, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in keys], F.col("_chunk") == F.col("_of")))
+        rows = rows.withColumn("_first", F.col("_start") + sum_before("_n", Window.partitionBy(*keys, "_chunk"), "_place"))
+    found = [F.max(F.when(at, F.col("_v"))).alias(f"_e{i}") for i, at in enumerate(inside(F.col("_first"), F.col("_n")))]
+    out = rows.groupBy(*keys).agg(F.max("_all").alias("_all"), *found)
     between = lambda lo, hi, r: F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (r - F.floor(r)))
     return out.select(*keys, F.array(*[between(F.col(f"_e{2 * i}"), F.col(f"_e{2 * i + 1}"), r) for i, r in enumerate(places)]).alias("q"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlark.functions.columns import quoted, required
-from gridlark.operators.sorting import order, parse
+from gridlark.operators.sorting import keyed
 
 
 def key(df: DataFrame, ref: str | int) -> str:
@@ -24,19 +24,11 @@ def dedup(df: DataFrame, by: Sequence[str | int] = (), keep: str = "first", tie:
     """One row for each key. ``tie`` is the physical order, ``view`` a sort that goes before it; by default all columns but
     ``tie`` are the key. Only the first row of a key so far is kept in each task before rows are shuffled (window group limit)."""
     names = [key(df, x) for x in by] or [c for c in df.columns if c != tie]
-    levels = order(df, view, tie)
-    if keep == "last":
-        levels = [*(k for k in _flipped(df, view)), quoted(tie).desc()] if tie else levels
-    if not levels:
+    rows, by, made = keyed(df, view, tie, back=keep == "last")
+    if not by:
         return df.dropDuplicates(names)
-    rank = F.row_number().over(Window.partitionBy(*map(quoted, names)).orderBy(*levels))
-    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
-
-
-def _flipped(df: DataFrame, view: str) -> list[Column]:
-    from gridlark.operators.sorting import keys
-
-    return [k.asc() if down else k.desc() for name, down in parse(df, view) for k in keys(df, name)]
+    rank = F.row_number().over(Window.partitionBy(*map(quoted, names)).orderBy(*by))
+    return rows.withColumn("_rank", rank).filter("_rank = 1").drop("_rank", *made)
 
 
 def summary(df: DataFrame, kept: DataFrame) -> DataFrame:

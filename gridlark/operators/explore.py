@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.functions.columns import kind, quoted, required, text
@@ -127,4 +127,4 @@ def donut(df: DataFrame, column: str, k: int = 8) -> DataFrame:
 def ranked_groups(df: DataFrame, by: str, y: str) -> DataFrame:
     """(key, y, place): groups by their sum, largest first."""
     sums = df.groupBy(text(df, required(df, by)).alias("key")).agg(F.sum(number(df, required(df, y))).alias("y"))
-    return sums.withColumn("place", F.row_number().over(Window.orderBy(F.desc("y"), F.asc("key"))).cast("long"))  # a row per group
+    return numbered(sums, [F.desc("y"), F.asc("key")], "place")

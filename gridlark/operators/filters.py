@@ -151,11 +151,16 @@ def is_expression(query: str) -> bool:
     return bool(re.search(r"[><=!(]|\bAND\b|\bOR\b|\bNOT\b", query)) and not re.match(r"(R|C\[[^]]*\]):", query)
 
 
+def either(df: DataFrame, query: str) -> Column:
+    """A filter of either syntax as a Column; an empty one is true."""
+    if not query.strip():
+        return F.lit(True)
+    return predicate(df, query) if is_expression(query) else legacy(df, query)
+
+
 def apply(df: DataFrame, query: str) -> DataFrame:
     """Rows that a filter of either syntax keeps; none match: none are left."""
-    if not query.strip():
-        return df
-    return df.filter(predicate(df, query) if is_expression(query) else legacy(df, query))
+    return df.filter(either(df, query)) if query.strip() else df
 
 
 def quick(query: str, column: str, value: str, op: str = "=", logic: str | None = "AND") -> str:

@@ -207,9 +207,7 @@ def compute(view: DataFrame, name: str, source: str, base: DataFrame | None = No
             if x[0] == "rank" and not everything:
                 out = ranked(out, number(view, x[1], prefix), names[x])
             elif x[0] == "rank":
-                values = ranked(base.select(number(base, x[1], prefix).alias("_v")), F.col("_v"), "_r").filter("_v is not null").groupBy("_v").agg(F.first("_r").alias(names[x]))
-                out = out.withColumn("_x", number(view, x[1], prefix)).join(values, F.col("_x") == F.col("_v"), "left").drop("_x", "_v")
-                out = out.withColumn(names[x], F.coalesce(names[x], F.lit(0.0)))
+                out = ranked(out, number(view, x[1], prefix), names[x], base=base, of=number(base, x[1], prefix))
     kept = [quoted(c) for c in view.columns if c != name]
     return out.select(*kept, column(view, node, names).alias(name))
 

@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.functions.columns import kind, quoted, required, text
 from gridlark.functions.dates import bucket, parsed
 from gridlark.functions.numbers import cleaned
+from gridlark.functions.order import numbered
 
 TOTAL = "Total"
 AGGREGATES = ("COUNT", "UNIQUE COUNT", "SUM", "AVG", "MIN", "MAX")
+#: Column keys that ``wide`` makes columns of at most.
+WIDEST = 10_000
 #: Aggregates that a column which isn't of numbers may have.
 FOR_TEXT = ("COUNT", "UNIQUE COUNT", "MIN", "MAX")
 
@@ -73,6 +76,13 @@ def _aggregate(df: DataFrame, kind_: str, value: str | None, numeric: bool) -> C
     return (F.min if kind_ == "MIN" else F.max)("_number" if numeric else "_text")
 
 
+def _key(df: DataFrame, name: str | None, spec: PivotSpec) -> Column:
+    """What makes the keys of a side, in ``spec``'s way of reading dates."""
+    if name is None:
+        return F.lit(TOTAL)
+    return (text_date_key if spec.extra.get("text_dates") and kind(df, name) == "text" else group_key)(df, name, spec.date_group)
+
+
 def _keyed(df: DataFrame, spec: PivotSpec) -> tuple[DataFrame, bool]:
     row, column = (required(df, x) if x else None for x in (spec.row, spec.column))
     value = required(df, spec.value) if spec.value else None
@@ -81,10 +91,8 @@ def _keyed(df: DataFrame, spec: PivotSpec) -> tuple[DataFrame, bool]:
         raise ValueError("a value column is needed")
     if value is not None and not numeric and any(x not in FOR_TEXT for x in spec.aggregates()):
         raise ValueError(f"{spec.aggregate} needs numbers")
-    key = text_date_key if spec.extra.get("text_dates") else group_key
-    one = lambda name: F.lit(TOTAL) if name is None else key(df, name, spec.date_group)
     own = [] if value is None else [text(df, value).alias("_text"), *([_numeric(df, value).alias("_number")] if numeric else [])]
-    rows = df.select(one(row).alias("row_key"), one(column).alias("col_key"), *own)
+    rows = df.select(_key(df, row, spec).alias("row_key"), _key(df, column, spec).alias("col_key"), *own)
     return rows.filter("row_key <> '' and col_key <> ''"), numeric
 
 
@@ -120,18 +128,20 @@ def axis(df: DataFrame, spec: PivotSpec, side: str = "row") -> DataFrame:
     totals = rows.groupBy(F.col(k).alias("key")).agg(_aggregate(df, spec.aggregates()[0], spec.value, numeric).alias("total"))
     by, down = sort.split("_")
     first = F.col("key" if by == "KEY" else "total")
-    place = Window.orderBy(first.desc() if down == "DESC" else first.asc(), F.col("key"))
-    return totals.withColumn("place", F.row_number().over(place).cast("long"))  # a row per key
+    return numbered(totals, [first.desc() if down == "DESC" else first.asc(), F.col("key")], "place")
 
 
 def wide(df: DataFrame, spec: PivotSpec, keys: Sequence[str] | None = None) -> DataFrame:
     """A row for each row key, a column for each column key and aggregate: <key>, or <key>_<AGG> with several.
 
-    ``keys`` fixes the columns; without it the column keys are read first (they are columns, so they must be few). Cells
-    that don't exist are 0 for COUNT, SUM and AVG and null for MIN and MAX. The row order is ``row_place``.
+    ``keys`` fixes the columns; without it the column keys are read first, and more than ``WIDEST`` of them are an error: the
+    long form has no such bound. Cells that don't exist are 0 for COUNT, SUM and AVG and null for MIN and MAX. The row order
+    is ``row_place``.
     """
     if keys is None:
-        keys = [r["key"] for r in axis(df, spec, "column").orderBy("place").collect()]
+        keys = [r["key"] for r in axis(df, spec, "column").orderBy("place").limit(WIDEST + 1).collect()]
+        if len(keys) > WIDEST:
+            raise ValueError(f"more than {WIDEST} column keys: take long() or cells()")
     columns = [*keys, *([TOTAL] if spec.row_totals else [])]
     table = long(df, spec)
     out = table.groupBy("row_key", "is_col_total").pivot("col_key", columns).agg(*[F.first(n).alias(n) for n in names(spec)])
@@ -142,17 +152,43 @@ def wide(df: DataFrame, spec: PivotSpec, keys: Sequence[str] | None = None) -> D
         for n, agg in zip(names(spec), spec.aggregates(), strict=True):
             cell = quoted(c if single else f"{c}_{n}")
             made.append((F.coalesce(cell, zero[n]) if n in zero else cell).alias(c if single else f"{c}_{agg.replace(' ', '_')}"))
-    places = F.broadcast(axis(df, spec).select(F.col("key").alias("row_key"), "place"))
+    places = axis(df, spec).select(F.col("key").alias("row_key"), "place")
     out = out.join(places, "row_key", "left")
     return out.select("row_key", F.coalesce("place", F.lit(1 << 62)).alias("row_place"), *made)
 
 
+def display(x: Column, aggregate: str, numeric: bool = True) -> Column:
+    """An aggregate as it is shown: counts whole, numbers with two decimals, text as it is, and a dash for nothing."""
+    if aggregate in ("COUNT", "UNIQUE COUNT"):
+        made = x.cast("long").cast("string")
+    else:
+        made = F.format_string("%.2f", x.cast("double")) if numeric or aggregate in ("SUM", "AVG") else x.cast("string")
+    return F.when(x.isNull() | (made == ""), F.lit("\u2014")).otherwise(made)
+
+
+def exported(df: DataFrame, spec: PivotSpec, keys: Sequence[str] | None = None) -> DataFrame:
+    """The wide pivot as text cells, as an export has them: ``Row``, a column for each key and aggregate, totals; ``row_place``
+    (not exported) is the order."""
+    numeric = bool(spec.value) and (kind(df, required(df, spec.value)) == "number" or spec.extra.get("money", False))
+    table = wide(df, spec, keys)
+    cells = [c for c in table.columns if c not in ("row_key", "row_place")]
+    of = [spec.aggregates()[i % len(spec.aggregates())] for i in range(len(cells))]
+    return table.select(F.col("row_key").alias("Row"), "row_place", *[display(quoted(c), a, numeric).alias(c) for c, a in zip(cells, of, strict=True)])
+
+
+def export(df: DataFrame, spec: PivotSpec, path: str, keys: Sequence[str] | None = None) -> None:
+    """The pivot in a file of its extension, in row order: a folder of parts that follow each other."""
+    from gridlark.sources.writers import write
+
+    write(exported(df, spec, keys).orderBy("row_place").drop("row_place"), path)
+
+
 def drill_down(df: DataFrame, spec: PivotSpec, row_key: str, col_key: str | None = None) -> DataFrame:
     """The rows of a cell, by the expression that made its keys. The total's key is all rows of its side."""
     found = df
     for name, key in ((spec.row, row_key), (spec.column, col_key)):
         if name and key not in (None, TOTAL):
-            found = found.filter(group_key(df, required(df, name), spec.date_group) == key)
+            found = found.filter(_key(df, required(df, name), spec) == key)
     return found
 
 

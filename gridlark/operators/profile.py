@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +41,8 @@ def outlier_counts(df: DataFrame, sigmas: float = 3.0) -> DataFrame:
 
 def top_values(df: DataFrame, k: int = 5, columns: list[str] | None = None) -> DataFrame:
     """(column, place, value, count): the k commonest values of each column, the smaller of equals first."""
-    frames = [df.select(F.lit(c).alias("column"), text(df, c).alias("value")) for c in columns or df.columns]
-    rows = reduce(DataFrame.unionByName, frames).filter(F.trim("value") != "")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), text(df, c).alias("value")) for c in columns or df.columns])
+    rows = df.select(F.explode(cells).alias("c")).select("c.*").filter(F.trim("value") != "")  # one scan, however many columns
     counts = rows.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
     place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), F.asc("value")))
     return counts.withColumn("place", place.cast("long")).filter(F.col("place") <= k)

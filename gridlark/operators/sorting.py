@@ -38,26 +38,41 @@ def order(df: DataFrame, spec: str, tie: str | None = None) -> list[Column]:
     return out + ([quoted(tie).asc()] if tie else [])
 
 
+def keyed(df: DataFrame, spec: str, tie: str | None = None, back: bool = False) -> tuple[DataFrame, list[Column], list[str]]:
+    """``df`` with the sort's keys as columns, so that they are made once a row; the sort over them, ``back``: from the end;
+    their names."""
+    levels = [(k, down != back) for name, down in parse(df, spec) for k in keys(df, name)] + ([(quoted(tie), back)] if tie else [])
+    made = {f"_key{i}": k for i, (k, _) in enumerate(levels)}
+    return df.withColumns(made) if made else df, [F.col(k).desc() if down else F.col(k).asc() for k, (_, down) in zip(made, levels, strict=True)], list(made)
+
+
 def sort(df: DataFrame, spec: str, tie: str | None = None) -> DataFrame:
-    found = order(df, spec, tie)
-    return df.orderBy(*found) if found else df
+    rows, by, made = keyed(df, spec, tie)
+    return rows.orderBy(*by).drop(*made) if by else df
 
 
 def positions(df: DataFrame, spec: str, tie: str, name: str = "pos") -> DataFrame:
     """``df`` with each row's place in the sort, from 1."""
-    return numbered(df, order(df, spec, tie), name)
+    rows, by, made = keyed(df, spec, tie)
+    return numbered(rows, by, name).drop(*made)
 
 
-def go_to(df: DataFrame, spec: str, tie: str, row: int) -> DataFrame:
-    """The row at a place of the sorted view."""
-    return sort(df, spec, tie).limit(row).orderBy(*[c for c in reversed_order(df, spec, tie)]).limit(1)
+#: Places up to which a sort with a limit serves; beyond it, rows are numbered by ranges.
+NEAR = 5_000
 
 
-def reversed_order(df: DataFrame, spec: str, tie: str) -> list[Column]:
-    levels = [(k, down) for name, down in parse(df, spec) for k in keys(df, name)]
-    return [k.asc() if down else k.desc() for k, down in levels] + [quoted(tie).desc()]
+def page(df: DataFrame, spec: str, tie: str, start: int, size: int) -> DataFrame:
+    """``size`` rows of the sorted view from place ``start`` (0: the first), in order. The rows before them pass no single task."""
+    if start + size <= NEAR:
+        return sort(df, spec, tie).offset(start).limit(size)
+    found = positions(df, spec, tie, "_pos").filter(F.col("_pos").between(start + 1, start + size))
+    return found.orderBy("_pos").drop("_pos")
 
 
-def page(df: DataFrame, spec: str, tie: str, start: int, size: int) -> DataFrame:
-    """``size`` rows of the sorted view from place ``start`` (0: the first)."""
-    return sort(df, spec, tie).offset(start).limit(size)
+def go_to(df: DataFrame, spec: str, tie: str, row: int) -> DataFrame:
+    """The row at a place of the sorted view, counted from 1; beyond the last the last one."""
+    if row > NEAR:
+        found = positions(df, spec, tie, "_pos").filter(F.col("_pos") <= row)
+        return found.orderBy(F.desc("_pos")).limit(1).drop("_pos")
+    rows, by, made = keyed(sort(df, spec, tie).limit(max(1, row)), spec, tie, back=True)
+    return rows.orderBy(*by).limit(1).drop(*made)

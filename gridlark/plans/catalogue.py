@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from gridlark.functions import numbers
 from gridlark.functions.columns import quoted
 from gridlark.functions.dates import formatted
+from gridlark.functions.order import numbered
 from gridlark.operators import dedup, edit, explore, filters, formulas, pivot, profile, sorting, stats
 from gridlark.operators.pivot import PivotSpec
 from gridlark.plans.view import View
 from gridlark.sources import readers, writers
+from gridlark.sources.shared import new_path
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -573,3 +575,135 @@ def bookmarks(spark, d):
     return view.bookmarked().select("n_nationkey", "n_name", "sign")
 
 
+# --------------------------------------------------------------------------------------------------------------- files
+
+
+@query("""SELECT p_partkey, p_name, p_size, p_retailprice, 'say "' || p_name || '", ' || p_brand AS note, row_number() OVER (ORDER BY p_partkey) AS pos FROM part""")
+def csv_roundtrip(spark, d):
+    part = t(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice", F.concat(F.lit('say "'), "p_name", F.lit('", '), "p_brand").alias("note"))
+    path = new_path(spark, "part.csv")
+    writers.write(part.orderBy("p_partkey").coalesce(1), path)
+    back = numbered(readers.read(spark, path, row_id=True), [F.col(readers.ROW_ID)])
+    return back.select(F.col("p_partkey").cast("long"), "p_name", F.col("p_size").cast("int"), F.col("p_retailprice").cast("double"), "note", "pos")
+
+
+@query("SELECT event_id, event_type, value, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 997 = 5 THEN 'late' END AS late FROM events")
+def ndjson_roundtrip(spark, d):
+    events = t(spark, d, "events").select("event_id", "event_type", "value", "props", F.when(F.col("event_id") % 997 == 5, "late").alias("late"))
+    path = new_path(spark, "events.ndjson")
+    # a missing cell has no key here, so that a key first occurs far from the head
+    events.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    back = readers.read(spark, path, sep=";")
+    return back.select(F.col("event_id").cast("long"), "event_type", F.col("value").cast("double"), F.from_json("props", "map<string,string>")["k"].cast("long").alias("k"), "late")
+
+
+@query("SELECT o_orderpriority AS split_key, count(*) AS rows, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def split_files(spark, d):
+    path = new_path(spark, "split")
+    writers.split(t(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_orderpriority", path, drop=True)
+    parts = spark.read.option("header", True).schema("o_orderkey long, o_totalprice double, split_key string").csv(path)
+    return _money(parts.groupBy("split_key").agg(F.count(F.lit(1)).alias("rows"), F.sum("o_totalprice").alias("total")), "total")
+
+
+@query("SELECT 'nation' AS source_file, CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation UNION ALL SELECT 'region', CAST(r_regionkey AS VARCHAR), r_name FROM region")
+def concat_files(spark, d):
+    folder = new_path(spark, "files")
+    writers.write(t(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), f"{folder}/nation.tsv")
+    writers.write(t(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")), f"{folder}/region.tsv")
+    return writers.concat_files(spark, [f"{folder}/nation.tsv", f"{folder}/region.tsv"])
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
+def column_file(spark, d):
+    path = new_path(spark, "segments.psv")
+    writers.write_column(t(spark, d, "customer"), "c_mktsegment", path)
+    return readers.read(spark, path).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size > 25")
+def view_file(spark, d):
+    path = new_path(spark, "view.jsonl")
+    writers.write(View(t(spark, d, "part"), "p_partkey").where("p_size > 25").hide("p_name", "p_brand", "p_type", "p_retailprice").order("p_size desc").df(), path)
+    return readers.read(spark, path).select(F.col("p_partkey").cast("long"), F.col("p_size").cast("int"))
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS pos FROM part")
+def parquet_row_ids(spark, d):
+    return numbered(readers.read(spark, f"{d}/part.parquet", row_id=True), [F.col(readers.ROW_ID)]).select("p_partkey", "pos")
+
+
+@query("SELECT * FROM (VALUES ('d', CAST(1 AS BIGINT)), ('n', CAST(1 AS BIGINT))) m(\"column\", misfits)")
+def type_misfits(spark, d):
+    rows = [(f"2024-01-{i:02d}", str(i), "x") for i in range(10, 29)] + [("soon", "many", "1"), ("NA", "", "2")]
+    df = spark.createDataFrame(rows, "d string, n string, s string")
+    return readers.misfits(df, readers.infer_types(df))
+
+
+_SHOWN = ", ".join(
+    f"""printf('%.2f', coalesce(sum(l_quantity) FILTER (l_linestatus = '{k}'), 0)) AS "{k}_SUM", CAST(count(*) FILTER (l_linestatus = '{k}') AS VARCHAR) AS "{k}_COUNT",
+coalesce(printf('%.2f', min(l_quantity) FILTER (l_linestatus = '{k}')), '\u2014') AS "{k}_MIN" """
+    for k in "FO"
+)
+
+
+@query(f"SELECT l_returnflag AS \"Row\", row_number() OVER (ORDER BY l_returnflag) AS row_place, {_SHOWN} FROM lineitem GROUP BY 1")
+def pivot_display(spark, d):
+    spec = PivotSpec("l_returnflag", "l_linestatus", "l_quantity", "SUM+COUNT+MIN", row_totals=False, column_totals=False)
+    return pivot.exported(t(spark, d, "lineitem"), spec)
+
+
+@query("""SELECT coalesce(o_orderstatus, 'Total') AS "Row", CAST(count(*) FILTER (year(o_orderdate) = 1996) AS VARCHAR) AS "1996", CAST(count(*) FILTER (year(o_orderdate) = 1997) AS VARCHAR) AS "1997",
+CAST(count(*) AS VARCHAR) AS "Total", row_number() OVER (ORDER BY o_orderstatus NULLS LAST) AS pos FROM orders WHERE year(o_orderdate) IN (1996, 1997) GROUP BY ROLLUP (o_orderstatus)""")
+def pivot_export(spark, d):
+    path = new_path(spark, "pivot.csv")
+    rows = filters.apply(t(spark, d, "orders"), "o_orderdate >= 1996-01 AND o_orderdate <= 1997-12")
+    pivot.export(rows, PivotSpec("o_orderstatus", "o_orderdate", date_group="year"), path)
+    return numbered(readers.read(spark, path, row_id=True), [F.col(readers.ROW_ID)]).drop(readers.ROW_ID)
+
+
+# ---------------------------------------------------------------------------------------------------- drilling, filling
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH'")
+def frequency_drilldown(spark, d):
+    return View(t(spark, d, "orders"), "o_orderkey").where("o_orderstatus = F").drill("o_orderpriority", "2-HIGH").df().select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE strftime(o_orderdate, '%Y-%m') = '1997-03' AND o_orderstatus = 'F'")
+def pivot_drilldown_text(spark, d):
+    text_dates = t(spark, d, "orders").withColumn("day", F.date_format("o_orderdate", "dd.MM.yyyy"))
+    spec = PivotSpec("day", "o_orderstatus", date_group="month", extra={"text_dates": True})
+    return pivot.drill_down(text_dates, spec, "1997-03", "F").select("o_orderkey")
+
+
+@query("SELECT c_custkey, round(CASE WHEN c_nationkey < 10 AND contains(lower(c_mktsegment), 'build') THEN c_acctbal * 2 ELSE c_acctbal END, 4) AS c_acctbal FROM customer")
+def fill_searched_view(spark, d):
+    view = View(t(spark, d, "customer"), "c_custkey").where("c_nationkey < 10").search("BUILD").fill("c_acctbal", "c_acctbal * 2")
+    return rounded(view.base.select("c_custkey", "c_acctbal"), c_acctbal=4)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) THEN 0.0::DOUBLE ELSE o_totalprice END AS o_totalprice FROM orders")
+def fill_unique_view(spark, d):
+    return View(t(spark, d, "orders"), "o_orderkey").unique("o_custkey").fill("o_totalprice", "0").base.select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_custkey, max(o_totalprice) AS o_totalprice FROM orders GROUP BY 1")
+def dedup_last_view(spark, d):
+    return dedup.dedup(t(spark, d, "orders"), ["o_custkey"], "last", view="o_totalprice").select("o_custkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%d of %m, ''%y') AS shown FROM orders")
+def format_date_words(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", formatted(F.date_format("o_orderdate", "yyyy-MM-dd"), "%d of %m, '%y").alias("shown"))
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 3 OFFSET (SELECT greatest(0, least(count(*), 6000) - 10) FROM orders)")
+def far_page(spark, d):
+    orders = t(spark, d, "orders")
+    return sorting.page(orders, "o_totalprice", "o_orderkey", max(0, min(orders.count(), 6000) - 10), 3).select("o_orderkey")
+
+
+@query("SELECT o_orderkey, CAST(rank() OVER (ORDER BY o_shippriority DESC NULLS LAST) AS DOUBLE) * CAST(o_shippriority IS NOT NULL AS INT) AS r FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN 7.0 ELSE o_totalprice END AS o_shippriority FROM orders)")
+def cf_rank_hot(spark, d):
+    price = F.when(F.col("o_orderkey") % 3 == 1, F.lit(7.0)).when(F.col("o_orderkey") % 3 == 2, F.col("o_totalprice"))
+    return formulas.compute(t(spark, d, "orders").select("o_orderkey", price.alias("p")), "r", "col_rank(p)").select("o_orderkey", "r")

@@ -5,13 +5,13 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.functions.columns import quoted, required
 from gridlark.functions.order import numbered
 from gridlark.operators import dedup, edit, filters, formulas, sorting
-from gridlark.operators.pivot import PivotSpec
+from gridlark.operators.pivot import PivotSpec, drill_down
 
 
 @dataclass(frozen=True)
@@ -124,6 +124,21 @@ class View:
         return formulas.compute(self.rows(), name, formula, self.base)
 
     def fill(self, column: str, formula: str) -> View:
-        """The base with the formula's values in the view's rows."""
-        inside: Column | None = filters.predicate(self.base, self.spec.filter) if self.spec.filter else None
-        return View(edit.fill_formula(self.base, column, formula, inside), self.tie, self.spec)
+        """The base with the formula's values in the view's rows: those that its filter, search and deduplication leave."""
+        name, spec = required(self.base, column), self.spec
+        if not spec.keep:
+            inside = filters.either(self.base, spec.filter)
+            if spec.search:
+                inside = inside & filters.legacy(self.base, f"R:{spec.search}")
+            return View(edit.fill_formula(self.base, name, formula, inside if spec.filter or spec.search else None), self.tie, spec)
+        made = formulas.compute(self.rows(), "_new", formula, self.base).select(quoted(self.tie).alias("_of"), "_new")
+        out = self.base.join(made, quoted(self.tie) == F.col("_of"), "left").withColumn(name, F.when(F.col("_of").isNull(), quoted(name)).otherwise(F.col("_new")))
+        return View(out.select(*map(quoted, self.base.columns)), self.tie, spec)
+
+    def drill(self, column: str, value: str) -> View:
+        """The rows behind a value of the column's frequencies: its condition takes the filter's place."""
+        return self.quick(column, value, logic=None)
+
+    def drill_pivot(self, row_key: str, col_key: str | None = None) -> DataFrame:
+        """The view's rows behind a cell of its pivot."""
+        return drill_down(self.rows(), self.spec.pivot_spec(), row_key, col_key)

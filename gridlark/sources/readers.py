@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.functions.columns import clean_name, letter, quoted
+from gridlark.functions.dates import parsed
 from gridlark.functions.numbers import full
 
 #: Delimiters by extension, those that are sniffed, and what counts as missing when types are inferred.
@@ -16,8 +17,9 @@ DELIMITERS = {"csv": ",", "tsv": "\t", "psv": "|", "ecsv": " ", "txt": ","}
 SNIFFED = "\t|;,"
 MISSING = ("", "NA", "na", "N/A", "n/a", "null", "NULL", "-")
 DATE_PATTERNS = (r"^\d{4}-\d{2}-\d{2}([T ].*)?$", r"^\d{2}\.\d{2}\.\d{4}( .*)?$", r"^\d{2}/\d{2}/\d{4}( .*)?$", r"^\d{4}/\d{2}/\d{2}( .*)?$", r"^\d{4}-\d{2}$")
-SAMPLE = 200
 ROW_ID = "_rid"
+#: Lines whose keys come first, in their order.
+HEAD = 200
 
 
 def extension(path: str) -> str:
@@ -61,7 +63,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, heade
         options["comment"] = "#"
     out = spark.read.options(**options).csv(path)
     out = out.toDF(*[clean_name(c) for c in out.columns]) if header else out.toDF(*[letter(i) for i in range(len(out.columns))])
-    return out.withColumn(ROW_ID, F.monotonically_increasing_id()) if row_id else out
+    return numbered_rows(out, row_id)
 
 
 def read_comments(spark: SparkSession, path: str) -> DataFrame:
@@ -70,36 +72,45 @@ def read_comments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path: str, row_id: bool = False) -> DataFrame:
-    """Cells as text by key; nested values are JSON text; keys in the order in which the first lines have them, then
-    the rest of all lines by name."""
+    """Cells as text by key; nested values are JSON text. The keys of all lines are columns: those of the first lines in the
+    order in which they occur, then the rest by name. One pass over the lines, in which each task sends a row per key."""
     lines = spark.read.text(path).filter(F.trim("value") != "")
-    keys: list[str] = []
-    for r in lines.select(F.json_object_keys("value").alias("k")).limit(SAMPLE).collect():
-        keys += [k for k in r["k"] or [] if k not in keys]
-    every = lines.select(F.explode(F.json_object_keys("value")).alias("k")).distinct().filter(~F.col("k").isin(keys))
-    keys += sorted(r["k"] for r in every.collect())
-    parsed = lines.select(F.from_json("value", "map<string,string>").alias("m"))
-    out = parsed.select(*[F.col("m")[k].alias(k) for k in keys])
-    return out.withColumn(ROW_ID, F.monotonically_increasing_id()) if row_id else out
+    found = lines.select(F.monotonically_increasing_id().alias("line"), F.posexplode(F.json_object_keys("value")).alias("at", "k"))
+    first = found.groupBy("k").agg(F.min(F.struct("line", "at")).alias("first"))
+    keys = [r["k"] for r in first.orderBy(F.when(F.col("first.line") < HEAD, F.col("first")).asc_nulls_last(), "k").collect()]
+    cells = lines.select(F.from_json("value", "map<string,string>").alias("m"))
+    return numbered_rows(cells.select(*[F.col("m")[k].alias(k) for k in keys]), row_id)
+
+
+def read_parquet(spark: SparkSession, path: str, row_id: bool = False) -> DataFrame:
+    return numbered_rows(spark.read.parquet(path), row_id)
+
+
+def numbered_rows(df: DataFrame, row_id: bool) -> DataFrame:
+    return df.withColumn(ROW_ID, F.monotonically_increasing_id()) if row_id else df
 
 
 READERS: dict[str, Callable[..., DataFrame]] = {
     **dict.fromkeys(("ndjson", "jsonl", "ldjson"), read_json_lines),
     **dict.fromkeys(("csv", "tsv", "psv", "ecsv", "txt"), read_delimited),
-    "parquet": lambda spark, path: spark.read.parquet(path),
+    "parquet": read_parquet,
 }
 
 
-def read(spark: SparkSession, path: str, **options) -> DataFrame:
-    """By extension; what is unknown is delimited text."""
-    return READERS.get(extension(path), read_delimited)(spark, path, **options)
+def read(spark: SparkSession, path: str, row_id: bool = False, **delimited) -> DataFrame:
+    """By extension; what is unknown is delimited text. ``delimited``: options of ``read_delimited``, which other formats have
+    no use for and leave aside."""
+    reader = READERS.get(extension(path), read_delimited)
+    return reader(spark, path, row_id=row_id, **(delimited if reader is read_delimited else {}))
 
 
-def infer_types(df: DataFrame, columns: Sequence[str] | None = None, sample: int = SAMPLE, share: float = 0.9) -> dict[str, str]:
-    """date, number or text of text columns, from the first rows: a type that 90 % of the cells with a value have, dates
-    before numbers. A leading zero makes a cell no number. One aggregate over the sample."""
+def infer_types(df: DataFrame, columns: Sequence[str] | None = None, sample: int | None = None, share: float = 0.9) -> dict[str, str]:
+    """date, number or text of text columns: a type that 90 % of the cells with a value have, dates before numbers. A leading
+    zero makes a cell no number. One aggregate over all rows, or over the first ``sample`` ones. With a ``share`` of 1 no cell
+    with a value is lost by ``typed``; ``misfits`` counts what else would be."""
     names = list(columns or [c for c, t in df.dtypes if t == "string"])
-    head = df.select(*map(quoted, names)).limit(sample)
+    head = df.select(*map(quoted, names))
+    head = head.limit(sample) if sample else head
     made = []
     for i, c in enumerate(names):
         cell = F.trim(F.coalesce(quoted(c), F.lit("")))
@@ -117,8 +128,17 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None, sample: int
     return kinds
 
 
+def _cast(c: str, kind: str):
+    return full(quoted(c)) if kind == "number" else parsed(quoted(c)).cast("date")
+
+
 def typed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """Text columns cast to their types; cells that don't fit are null."""
-    from gridlark.functions.dates import parsed
+    """Text columns cast to their types; cells that don't fit are null. See ``misfits``."""
+    return df.withColumns({c: _cast(c, k) for c, k in kinds.items() if k != "text"})
+
 
-    return df.withColumns({c: full(quoted(c)) if k == "number" else parsed(quoted(c)).cast("date") for c, k in kinds.items() if k != "text"})
+def misfits(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """(column, misfits): cells with a value that ``typed`` would make null, of each column that it casts. One pass."""
+    lost = {c: F.count_if(~F.trim(quoted(c)).isin(*MISSING) & _cast(c, k).isNull()) for c, k in kinds.items() if k != "text"}
+    counts = F.array(*[F.struct(F.lit(c).alias("column"), n.alias("misfits")) for c, n in lost.items()])
+    return df.agg(counts.alias("m")).select(F.explode("m").alias("m")).select("m.*")

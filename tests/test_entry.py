@@ -37,3 +37,13 @@ def test_nothing_else_imports_them(package):
             if name.endswith(".py"):
                 with open(os.path.join(folder, name)) as f:
                     assert not re.search(r"\bllm\b", f.read())
+
+
+def test_a_missing_library_is_an_error(tmp_path):
+    """Queries don't vanish because something that the operators need isn't installed."""
+    shutil.copytree(os.path.join(ROOT, "gridlark"), tmp_path / "gridlark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
+    (tmp_path / "gridlark" / "llm").mkdir()
+    (tmp_path / "gridlark" / "llm" / "__init__.py").write_text("import no_such_library\n")
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, timeout=60)
+    assert out.returncode and "no_such_library" in out.stderr

@@ -1,10 +1,11 @@
-"""Quantiles over ranges against numpy."""
+"""Positions, ranks, totals and quantiles over ranges against numpy and plain Python."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridlark.functions.order import quantiles
+from gridlark.functions.joins import looked_up
+from gridlark.functions.order import numbered, quantiles, ranked, running
 from gridlark.operators import explore, stats
 
 SHARES = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
@@ -15,23 +16,60 @@ def test_quantiles_with_ties_and_nulls(spark, n):
     rng = np.random.default_rng(n)
     values = [float(v) for v in rng.integers(0, max(2, n // 3), n)]
     df = spark.createDataFrame([(v,) for v in [*values, None, None]], "v double")
-    found = quantiles(df, F.col("v"), SHARES).first()["q"]
-    assert np.allclose(found, np.quantile(values, SHARES))
+    for parts in (None, 3):
+        found = quantiles(df, F.col("v"), SHARES, parts=parts).first()["q"]
+        assert np.allclose(found, np.quantile(values, SHARES))
 
 
 def test_quantiles_of_groups(spark):
     groups = {"a": [3.0, 1.0, 1.0, 7.5], "b": [2.0], None: [5.0, 6.0], "none": [None]}
     df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
-    found = {r["_key0"]: r["q"] for r in quantiles(df, F.col("v"), SHARES, [F.col("k")]).collect()}
-    assert set(found) == set(groups) and found.pop("none") == [None] * len(SHARES)
-    for k, q in found.items():
-        assert np.allclose(q, np.quantile(groups[k], SHARES))
+    for parts in (None, 3):
+        found = {r["_key0"]: r["q"] for r in quantiles(df, F.col("v"), SHARES, [F.col("k")], parts).collect()}
+        assert set(found) == set(groups) and found.pop("none") == [None] * len(SHARES)
+        for k, q in found.items():
+            assert np.allclose(q, np.quantile(groups[k], SHARES))
     boxes = {r["k"]: (r["min"], r["median"], r["max"]) for r in explore.five_numbers(df, "v", "k").collect()}
     assert boxes == {"a": (1.0, 2.0, 7.5), "b": (2.0, 2.0, 2.0), None: (5.0, 5.5, 6.0), "none": (None, None, None)}
 
 
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([], "k string, v double")
-    assert quantiles(df, F.col("v"), [0.5]).first()["q"] == [None]
-    assert quantiles(df, F.col("v"), [0.5], [F.col("k")]).count() == 0
+    for parts in (None, 3):
+        assert quantiles(df, F.col("v"), [0.5], parts=parts).first()["q"] == [None]
+        assert quantiles(df, F.col("v"), [0.5], [F.col("k")], parts).count() == 0
     assert stats.percentiles(df, "v").first()["p50"] is None
+
+
+def test_positions_and_totals(spark):
+    rng = np.random.default_rng(5)
+    values = [int(v) for v in rng.integers(0, 50, 400)]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, v long")
+    order = sorted(range(400), key=lambda i: (-values[i], i))
+    found = {r.id: r.pos for r in numbered(df, [F.col("v").desc(), F.col("id")], parts=7).collect()}
+    assert found == {i: k + 1 for k, i in enumerate(order)}
+    sums = {r.id: r.before for r in running(df, [F.col("v").desc(), F.col("id")], F.col("v"), "before", parts=7).collect()}
+    assert sums == {i: sum(values[j] for j in order[:k]) for k, i in enumerate(order)}
+    assert sorted(map(tuple, numbered(df, [F.col("v").desc(), F.col("id")]).collect())) == sorted((i, values[i], k) for i, k in found.items())
+    assert len(numbered(df, [F.col("id")]).columns) == 3 and not spark.sparkContext._jsc.getPersistentRDDs()
+    ranks = {r.id: r.r for r in ranked(df.withColumn("v", F.expr("nullif(v, 7)")), F.col("v"), "r").collect()}
+    assert ranks == {i: 0.0 if v == 7 else 1.0 + sum(w > v for w in values if w != 7) for i, v in enumerate(values)}
+    assert numbered(df.filter("id < 0"), [F.col("id")]).count() == 0
+
+
+def test_the_table_is_shuffled_once(spark):
+    plan = numbered(spark.range(1000).toDF("id"), [F.col("id")], parts=3)._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange" in x and ("rangepartitioning" in x or "hashpartitioning" in x)]
+    assert len(dealt) == 1 and "hashpartitioning(_groupingexpression" in dealt[0]  # of a row per range
+
+
+@pytest.mark.parametrize("most", [1, 3, 10_000])
+def test_lookups_with_hot_and_missing_keys(spark, most):
+    keys = ["hot"] * 300 + [None] * 50 + ["a", "b", "c", "nowhere"]
+    rows = spark.createDataFrame(list(enumerate(keys)), "id long, k string").repartition(5)
+    table = spark.createDataFrame([("hot", 300, "H"), ("a", 1, "A"), ("b", 1, None), ("c", 1, "C")], "of string, n long, name string")
+    want = {"hot": "H", "a": "A", "c": "C"}
+    for how in ("left", "inner"):
+        found = looked_up(rows, table, "k", "of", "n", how, most)
+        assert found.columns == ["id", "k", "n", "name"]
+        assert sorted((r.id, r.name or "") for r in found.collect()) == [(i, want.get(k, "")) for i, k in enumerate(keys) if how == "left" or k in ("hot", "a", "b", "c")]

@@ -100,6 +100,7 @@ def test_dedup(spark):
     ids = lambda out: sorted(r.id for r in out.collect())
     assert ids(dedup.dedup(df, ["K"], tie="id")) == [1, 3, 5] and ids(dedup.dedup(df, [2], "last", "id")) == [3, 4, 6]
     assert ids(dedup.dedup(df, tie="id")) == [1, 2, 3, 5] and ids(dedup.dedup(df, ["k"], tie="id", view="v desc")) == [2, 3, 5]
+    assert ids(dedup.dedup(spark.createDataFrame([(1, "a"), (2, "a"), (3, "a")], "id int, k string"), ["k"], "last", view="id")) == [3]
     assert cells(dedup.summary(df, dedup.dedup(df, ["k"], tie="id"))) == [(3, 3)]
     for wrong in (["nowhere"], [9], [0]):
         with pytest.raises(ValueError):
