@@ -2,24 +2,28 @@
 
 Two documents link when ``100 * |A and B| >= 80 * |A or B|`` over their sets of word shingles, so sets of n and m shingles
 must share ``T = ceil(80 (n + m) / 180)`` of them. DivideSkip answers "which sets share T shingles with this one" by merging
-the short inverted lists in a heap and probing the long ones for what the merge has left. The same division spreads the
-search over Spark:
+the short inverted lists in a heap and probing the long ones for what the merge has left. Over Spark, candidates are brought
+together in blocks, and a block's inverted lists answer all queries of the block:
 
 1. Equal sets collapse to their smallest document (a digest of the set; no join of texts).
 2. Shingles are ordered by hash. Of a set's first ``n - ceil(0.8 n) + 1 + c`` shingles at least ``c + 1`` must be shared with
    a partner, so documents that share fewer of them with all others together go. Most documents have no near copy and end
-   here; no other document can link.
-3. The short lists. Of what is left, whole sets are counted. Of a set's ``n - ceil(0.8 n) + 1`` rarest shingles at least one
-   must be shared: these, less those that no other document has, are its lists. Common lines and passages are in no list.
-4. Rounds over the lists: one document of each list (the hub: in the first round the one with fewest shingles of its own) is
-   the query, the list's documents that aren't in its component are the candidates. A candidate asks the hub it meets in
-   most lists. Blocks of one query and a bounded number of candidates run DivideSkip over whole sets, and links join
-   components. Lists whose documents are in one component are done with.
-5. When what is left to pair is linear in the lists, or a round has changed little, every remaining pair of a list whose
-   documents lie in different components is searched in the same way. No pair that could change a component is left out, and
-   pairs inside a component are never made.
-
-Hot lists are summed up before they are shuffled, and large groups of copies fall into many blocks.
+   here; no other document can link. Only those that are left are split into words again: to keep all sets would write more
+   than the texts.
+3. Of what is left, whole sets are counted. Of a set's ``n - ceil(0.8 n) + 1`` rarest shingles at least one must be shared:
+   these, less those that no other document has, say where its candidates are. Common lines and passages aren't among them.
+4. Rounds: one document of each of these lists (the hub: in the first round the one with fewest shingles of its own) is the
+   query, the list's documents that aren't in its component are the candidates. A candidate is in the block of the hub that it
+   meets in most lists. Links join components. Lists whose documents are in one component are done with.
+5. When what is left is little, or a round has changed little, each document has a home: a block of documents with whom it
+   shares lists. Every document asks all homes of its lists that have documents of another component. So a query is sent to
+   blocks, not paired with documents, no document that could change a component is left out, and blocks within a component
+   aren't asked by it.
+
+A block has about ``BLOCK`` documents. It has inverted lists for each class of sizes, with the overlap T that the least of the
+class needs; what reaches T is a link if it reaches the overlap of its own size.
+
+Hot shingles are summed up before they are shuffled, and their rows are spread over all tasks.
 """
 
 from __future__ import annotations
@@ -35,16 +39,21 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlark.functions.joins import looked_up
 from gridlark.llm.tables import fold, keyed, slices, written
 
 #: A link needs PERCENT * |A or B| <= 100 * |A and B|. The prefix reaches EXTRA percent of the set beyond the least.
 PERCENT, EXTRA = 80, 5
-#: Documents in a block beside its query.
+#: Documents in a block, on average. Queries aren't held: they pass by.
 BLOCK = 64
-#: Rounds of hubs at most, before all that is left is paired. More would only save work.
+#: By how much a class of sizes may exceed its least size, in percent.
+CLASS = 10
+#: Rounds of hubs at most, before homes are asked. More would only save work.
 ROUNDS = 6
 #: Ids that are sent to all executors at most, 16 bytes each; with more of them the documents are shuffled instead.
-BROADCAST_IDS = 4_000_000
+BROADCAST_IDS = 1_000_000
+#: Documents of a list that one task sends to its homes at most.
+SPREAD = 1024
 
 
 def shingle_set(words: list[bytes], width: int = 5) -> np.ndarray:
@@ -115,22 +124,38 @@ def divide_skip(lists: list[list[int]], least: int, mu: float = 0.01) -> dict[in
     return found
 
 
-def search(query: np.ndarray, members: list[np.ndarray]) -> list[int]:
-    """Positions of the members that link to the query."""
-    n, fit = len(query), []
-    for k, m in enumerate(members):
-        if 100 * min(n, len(m)) >= PERCENT * max(n, len(m)):
-            fit.append(k)
-    if not fit:
-        return []
-    lists: list[list[int]] = [[] for _ in range(n)]
-    for k in fit:
-        at = np.searchsorted(query, members[k])
-        at[at == n] = 0
-        for i in at[query[at] == members[k]].tolist():
-            lists[i].append(k)
-    found = divide_skip(lists, min(least_overlap(n, len(members[k])) for k in fit))
-    return [k for k, shared in found.items() if shared >= least_overlap(n, len(members[k]))]
+class Inverted:
+    """Inverted lists of a block of sets: for each class of sizes, the class's shingles and, of each, the ascending positions
+    of the sets that have it."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = [len(s) for s in sets]
+        self.classes: list[tuple] = []
+        members: list[int] = []
+        for k in [*sorted(range(len(sets)), key=lambda k: (self.sizes[k], k)), None]:
+            if members and (k is None or 100 * self.sizes[k] > (100 + CLASS) * self.sizes[members[0]]):
+                least, most, at = self.sizes[members[0]], self.sizes[members[-1]], sorted(members)
+                flat = np.concatenate([sets[i] for i in at])
+                order = np.argsort(flat, kind="stable")  # positions stay ascending within a shingle
+                shingles, starts = np.unique(flat[order], return_index=True)
+                positions = np.repeat(at, [self.sizes[i] for i in at])[order].tolist()
+                self.classes.append((least, most, shingles, [*starts.tolist(), len(positions)], positions))
+                members = []
+            if k is not None and self.sizes[k]:
+                members.append(k)
+
+    def search(self, query: np.ndarray) -> list[int]:
+        """Positions of the sets that link to the query."""
+        n, out = len(query), []
+        for least, most, shingles, starts, positions in self.classes:
+            if 100 * most < PERCENT * n or 100 * n < PERCENT * least:
+                continue
+            at = np.searchsorted(shingles, query)
+            at[at == len(shingles)] = 0
+            lists = [positions[starts[i] : starts[i + 1]] for i in at[shingles[at] == query].tolist()]
+            found = divide_skip(lists, least_overlap(n, max(least, -(-PERCENT * n // 100))))
+            out += [k for k, shared in found.items() if shared >= least_overlap(n, self.sizes[k])]
+        return out
 
 
 # ------------------------------------------------------------------------------------------------------------ in tasks
@@ -173,29 +198,23 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (query, part, doc, shingles) sorted by block, its query first, to links (a, b)."""
-    block, query, members, ids = None, None, [], []
-
-    def links() -> pa.RecordBatch:
-        found = search(query, members) if query is not None and members else []
-        return pa.RecordBatch.from_arrays([pa.array([block[0]] * len(found), pa.int64()), pa.array([ids[k] for k in found], pa.int64())], names=["a", "b"])
-
+    """Rows (home, asks, doc, shingles) sorted by home, its documents first, then its queries, to links (a, b)."""
+    home, index, sets, ids = None, None, [], []
     for batch in batches:
-        shingles = batch.column(3)
+        shingles, links = batch.column(3), []
         flat, ends = shingles.values.to_numpy(zero_copy_only=False), shingles.offsets.to_numpy()
-        for k, (q, part, doc) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
+        for k, (h, asks, doc) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
             own = flat[ends[k] : ends[k + 1]]
-            if (q, part) != block:
-                if block:
-                    yield links()
-                block, query, members, ids = (q, part), None, [], []
-            if doc == q:
-                query = own.copy()
-            else:
-                members.append(own.copy())
+            if h != home:
+                home, index, sets, ids = h, None, [], []
+            if not asks:
+                sets.append(own.copy())
                 ids.append(doc)
-    if block:
-        yield links()
+                continue
+            index = index or Inverted(sets)
+            links += [(doc, ids[i]) for i in index.search(own) if ids[i] != doc]
+        a, b = zip(*links, strict=True) if links else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 # ------------------------------------------------------------------------------------------------------------- on Spark
@@ -227,14 +246,25 @@ def _oriented(edges: DataFrame) -> DataFrame:
     return edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def answered(homes: DataFrame, queries: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between ``queries`` (home, doc) and the documents of the same home in ``homes`` (home, doc)."""
+    rows = homes.select("home", F.lit(False).alias("asks"), "doc").unionByName(queries.select("home", F.lit(True).alias("asks"), "doc"))
+    rows = rows.join(sets, "doc").select("home", "asks", "doc", "shingles")
+    return rows.repartition("home").sortWithinPartitions("home", "asks").mapInArrow(_blocks, "a long, b long")
+
+
+def parted(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` (``by``, doc) with ``home``: the hash of ``by`` and of one of as many parts as ``by`` has ``BLOCK`` documents.
+    Hashes that clash would only make a larger block."""
+    parts = written(rows.groupBy(by).agg(F.count(F.lit(1)).alias("times")), "ngram-parts").withColumn("parts", F.ceil(F.col("times") / BLOCK))
+    rows = looked_up(rows, parts, by, by, "times", "inner")
+    return rows.withColumn("home", F.xxhash64(by, F.pmod(F.xxhash64("doc"), "parts"))).drop("parts", "times")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) among ``pairs`` (query, doc), searched in blocks of one query and about BLOCK documents."""
-    parts = pairs.groupBy("query").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    pairs = pairs.join(parts, "query").select("query", F.pmod(F.xxhash64("doc"), "parts").alias("part"), "doc")
-    rows = pairs.unionByName(pairs.select("query", "part", F.col("query").alias("doc")).distinct())
-    rows = rows.join(sets, "doc").select("query", "part", "doc", "shingles")
-    rows = rows.repartition("query", "part").sortWithinPartitions("query", "part", F.col("doc") != F.col("query"))
-    return rows.mapInArrow(_blocks, "a long, b long")
+    """Links (a, b) among ``pairs`` (query, doc): the candidates of a query are its blocks."""
+    rows = parted(written(pairs, "ngram-asked"), "query")
+    return answered(rows.select("home", "doc"), rows.select("home", F.col("query").alias("doc")).distinct(), sets)
 
 
 def fits(n: str, m: str):
@@ -246,27 +276,43 @@ def components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text), which may have other columns.
 
     ``component_id`` is the smallest doc_id that links reach. Null, empty and blank texts have no shingles and link with
-    nothing: they are their own component. Rows of one id are one document, and repeated rows come out as often as they
-    are. A null id is kept; it takes the component of its copies, if any. An empty table gives an empty result.
+    nothing: they are their own component. Each row is a document of its own, also where ids are null or repeated: rows
+    that share an id are linked by their texts alone, repeated rows come out as often as they are, and a null id takes the
+    component of its copies, if any. An empty table gives an empty result.
     """
+    rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "ngram-rows")
+    if rows is None:
+        return linked(docs)
+    found = linked(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_id")
+    found = written(rows.select("_row", "doc_id").join(found, F.col("_row") == F.col("_id")).drop("_row", "_id"), "ngram-found")
+    least = written(found.groupBy("component_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times")), "ngram-least")
+    out = looked_up(found, least, "component_id", "component_id", "times")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """``components`` of documents whose ids are neither null nor repeated."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = written(docs.mapInArrow(_prefixes, "doc_id long, n long, digest binary, prefix array<long>"), "ngram-prefixes")
-    members = made.select("doc_id", "n", "digest")
+    members = made.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
     equal = members.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("times"))
     equal = written(equal, "ngram-equal")
-    copies = members.join(equal.filter("times > 1"), "digest").filter("doc_id <> doc").select("doc_id").distinct()
-    each = made.filter("n > 0 and doc_id is not null").join(small(written(copies, "ngram-copies")), "doc_id", "left_anti").select(F.col("doc_id").alias("doc"), "prefix")
+    copied = written(equal.filter("times > 1"), "ngram-copied")
+    copies = looked_up(members, copied, "digest", "digest", "times", "inner").filter("doc_id <> doc").select("doc_id")
+    each = made.filter("n > 0").join(small(written(copies, "ngram-copies")), "doc_id", "left_anti").select(F.col("doc_id").alias("doc"), "prefix")
     shared = shared_rows(each.mapInArrow(_shared, "shingle long, doc long, first boolean, met boolean")).groupBy("doc").agg(F.count(F.lit(1)).alias("shared"))
     enough = F.col("shared") >= 1 + F.floor(F.ceil(F.col("n") * PERCENT / 100) * EXTRA / 100)
-    alive = written(shared.join(members, F.col("doc") == F.col("doc_id")).filter(enough).select("doc").distinct(), "ngram-alive")
+    alive = written(shared.join(members, F.col("doc") == F.col("doc_id")).filter(enough).select("doc"), "ngram-alive")
     texts = docs.withColumnRenamed("doc_id", "doc").join(small(alive), "doc", "left_semi")
-    sets = written(texts.mapInArrow(_sets, "doc long, shingles array<long>").dropDuplicates(["doc"]), "ngram-sets")
+    sets = written(texts.mapInArrow(_sets, "doc long, shingles array<long>"), "ngram-sets")
     lists = written(rare_lists(sets), "ngram-lists")
     comp = written(lists.groupBy("doc").agg(F.first("n").alias("n"), F.first("odd").alias("odd")).withColumn("comp", F.col("doc")), "ngram-components")
-    comp = grown(comp, lists.select("shingle", "doc", "rest"), sets)
+    comp = grown(comp, lists.select("shingle", "doc"), sets)
 
-    out = members.join(equal.drop("times"), "digest", "left").join(comp.select(F.col("doc").alias("of"), F.col("comp").alias("root")), F.col("doc") == F.col("of"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "doc")).alias("component_id"))
+    roots = equal.join(comp.select(F.col("doc").alias("of"), F.col("comp").alias("root")), F.col("doc") == F.col("of"), "left")
+    roots = written(roots.select("digest", F.coalesce("root", "doc").alias("root"), "times"), "ngram-roots")
+    out = looked_up(members, roots, "digest", "digest", "times")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
 def small(ids: DataFrame) -> DataFrame:
@@ -284,16 +330,14 @@ def shared_rows(prefixes: DataFrame) -> DataFrame:
 
 
 def rare_lists(sets: DataFrame) -> DataFrame:
-    """(shingle, doc, n, rest, odd): each document's rarest shared shingles, as far as a link must lie in one.
-
-    ``rest``: its shared shingles from this one on; ``odd``: the share of its shingles that no other has.
-    """
+    """(shingle, doc, n, odd): each document's rarest shared shingles, as far as a link must lie in one; ``odd``: the share of
+    its shingles that no other has."""
     rows = sets.select("doc", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
-    frequent = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    frequent = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "ngram-frequent")
     own = Window.partitionBy("doc")
-    rows = rows.join(frequent, "shingle").withColumn("shared", F.count(F.lit(1)).over(own))
+    rows = looked_up(rows, frequent, "shingle", "shingle", "df", "inner").withColumn("shared", F.count(F.lit(1)).over(own))
     rows = rows.filter(F.col("shared") >= F.ceil(F.col("n") * PERCENT / 100)).withColumn("place", F.row_number().over(own.orderBy("df", "shingle")))
-    return rows.filter(F.col("place") <= F.col("shared") - F.ceil(F.col("n") * PERCENT / 100) + 1).select("shingle", "doc", "n", (F.col("shared") - F.col("place") + 1).alias("rest"), (1 - F.col("shared") / F.col("n")).alias("odd"))
+    return rows.filter(F.col("place") <= F.col("shared") - F.ceil(F.col("n") * PERCENT / 100) + 1).select("shingle", "doc", "n", (1 - F.col("shared") / F.col("n")).alias("odd"))
 
 
 def grown(comp: DataFrame, lists: DataFrame, sets: DataFrame) -> DataFrame:
@@ -302,35 +346,39 @@ def grown(comp: DataFrame, lists: DataFrame, sets: DataFrame) -> DataFrame:
     sent = lambda df: F.broadcast(df) if few else df
     for turn in range(ROUNDS + 1):
         order = F.struct(F.col("odd") if turn == 0 else F.lit(0.0), F.xxhash64(F.lit(turn), "doc"))
-        heads = lists.join(sent(comp), "doc").groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("doc", order).alias("query"))
-        lists = written(lists.join(heads.filter("low <> high").select("shingle", "query"), "shingle"), "ngram-open")
+        heads = lists.join(sent(comp), "doc").groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("doc", order).alias("query"), F.count(F.lit(1)).alias("size"))
+        heads = written(heads.filter("low <> high").select("shingle", "query", "size"), "ngram-heads")
+        lists = written(looked_up(lists.select("shingle", "doc"), heads, "shingle", "shingle", "size", "inner"), "ngram-open")
         within = lists.join(sent(comp), "doc").groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
         within = within.groupBy("shingle").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("inside"))
-        # rows that pairing within the lists would make, those inside a component left out
+        # what is left to compare, as pairs of a list; none of them is made
         pairs, rows = within.agg(F.sum(F.col("size") * F.col("size") - F.col("inside")) / 2, F.sum("size")).first()
         if not rows:
             return comp
         if turn == ROUNDS or pairs <= rows or (last and pairs > 0.8 * last):
-            return joined(comp, verified(cross_pairs(lists.join(sent(comp), "doc")), sets))
+            return joined(comp, asked_homes(lists.join(sent(comp.select("doc", "comp")), "doc"), sets))
         last = pairs
         hub = comp.select(F.col("doc").alias("query"), F.col("n").alias("m"), F.col("comp").alias("to"))
         asked = lists.filter("doc <> query").groupBy("doc", "query").agg(F.count(F.lit(1)).alias("meets")).join(sent(comp), "doc").join(sent(hub), "query")
         asked = asked.filter(F.col("comp") != F.col("to")).filter(fits("n", "m")).groupBy("doc").agg(F.max_by("query", F.struct("meets", "query")).alias("query"))
-        comp, lists = joined(comp, verified(asked.select("query", "doc"), sets)), lists.select("shingle", "doc", "rest")
+        comp = joined(comp, verified(asked.select("query", "doc"), sets))
     return comp
 
 
-def cross_pairs(lists: DataFrame) -> DataFrame:
-    """(query, doc) of one list and of different components, whose sizes allow a link.
-
-    Shingles are in one order in all sets, so where a pair's first common one stands, what is left on either side must reach
-    the overlap that the pair needs.
-    """
-    own = lists.select("shingle", F.col("doc").alias("query"), F.col("n").alias("m"), F.col("comp").alias("to"), F.col("rest").alias("left"))
-    other = lists.select(F.col("shingle").alias("s"), "doc", "n", "comp", "rest")
-    reach = (100 + PERCENT) * F.least("left", "rest") >= PERCENT * (F.col("n") + F.col("m"))
-    meet = (F.col("shingle") == F.col("s")) & (F.col("comp") != F.col("to")) & (F.col("doc") > F.col("query")) & fits("n", "m") & reach
-    return own.join(other, meet).select("query", "doc").distinct()
+def asked_homes(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between documents of one list and of different components. ``lists``: (shingle, doc, size, comp)."""
+    lists = written(lists.select("shingle", "doc", "size", "comp"), "ngram-ends")
+    homes = lists.groupBy("doc").agg(F.min(F.xxhash64("shingle")).alias("by"), F.first("comp").alias("comp"))
+    homes = written(parted(written(homes, "ngram-by"), "by").select("home", "doc", "comp"), "ngram-homes")
+    of = homes.groupBy("home").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    there = lists.join(homes.select("doc", "home"), "doc").groupBy("shingle", "home").agg(F.first("size").alias("size")).join(of, "home")
+    # a large list is sent to its homes by several tasks
+    salts = F.ceil(F.col("size") / SPREAD)
+    there = there.select(F.col("shingle").alias("s"), "home", "low", "high", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    own = lists.withColumn("part", F.pmod(F.xxhash64("doc"), salts))
+    other = (F.col("low") != F.col("high")) | (F.col("low") != F.col("comp"))
+    queries = own.join(there, (F.col("shingle") == F.col("s")) & (F.col("part") == F.col("salt")) & other).select("home", "doc").distinct()
+    return answered(homes, queries, sets)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -343,12 +391,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = keyed(docs, "ngram-rows")
     if rows is None:
-        ids = components(docs).filter("component_id = doc_id").select(F.col("doc_id").alias("_id"))
+        ids = linked(docs).filter("component_id = doc_id").select(F.col("doc_id").alias("_id"))
         return docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi").select(columns)
-    found = components(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_id")
+    found = linked(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_id")
     found = rows.select("_row", "doc_id").join(found, F.col("_row") == F.col("_id"))
     wordless = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
-    group = F.when(wordless.isNull(), F.col("component_id"))
+    group = F.when((F.col("n_shingles") > 0) | F.col("doc_id").isNull(), F.col("component_id"))
     first = F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
     kept = found.groupBy(wordless.alias("wordless"), group.alias("group")).agg(first.alias("_id")).select("_id")
     return rows.join(kept, rows["_row"] == kept["_id"], "left_semi").select(columns)
