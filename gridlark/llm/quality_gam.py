@@ -160,10 +160,12 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, pair_rounds: int = 40,
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, modulus: int, held: int, rows: int, seed: int = 5) -> DataFrame:
-    """(text, label) of at most ``rows`` labelled rows whose id isn't held out, the same ones on every run."""
+    """(doc_id, text, label) of at most ``rows`` labelled documents whose id isn't held out, the same ones on every run. Of texts
+    that share an id one is taken, so that rows are as bounded as ids."""
     ids = labels.filter(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).filter(crc_mod("doc_id", modulus) != held)
-    ids = least_hashed(ids.groupBy("doc_id").agg(F.max(column).alias("label")), rows, labels.count(), seed, "doc_id")
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # of a bounded number of ids
+    ids = least_hashed(ids.groupBy("doc_id").agg(F.max(column).alias("label")), rows, seed, "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # of a bounded number of ids
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "label")
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
@@ -180,17 +182,19 @@ def scored(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFram
     """``docs`` with held_out, score and predicted.
 
     Null texts are scored as empty ones, and empty texts get a score like any. Repeated rows get equal scores; a null id is
-    kept and isn't held out (null). Without usable labels all scores are 0.5. An empty table gives an empty result.
+    kept and isn't held out (null). Columns of ``docs`` with the names of the new ones are replaced. Without usable labels all
+    scores are 0.5. An empty table gives an empty result.
     """
     model = learn(docs, labels, rows)
+    docs = docs.drop("held_out", "score", "predicted")
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             x = np.array([features(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()], float).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x), pa.float64())], names=[*b.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x), pa.float64())], names=[*b.schema.names, "score"])
 
-    out = docs.mapInArrow(score, type(docs.schema)([*docs.schema.fields]).add("_score", "double"))
-    return out.withColumn("held_out", crc_mod("doc_id", 5) == 0).withColumnRenamed("_score", "score").withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+    out = docs.mapInArrow(score, type(docs.schema)([*docs.schema.fields]).add("score", "double"))
+    return out.withColumn("held_out", crc_mod("doc_id", 5) == 0).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
 def op1(docs: DataFrame, labels: DataFrame) -> DataFrame:

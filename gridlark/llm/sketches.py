@@ -2,6 +2,9 @@
 
 A sketch is the sorted array of the ``k`` smallest distinct 48-bit hashes of a text's shingles. The sketch of a union is the
 ``k`` smallest of two sketches together, so parts merge; resemblance, containment and the distinct count follow from it.
+
+Each document's next one is found in ranges of ids of about equally many bytes of text, cut where the running total of a table
+of ids and sizes says so. A range is small, whatever the table, and its own task's.
 """
 
 from __future__ import annotations
@@ -9,8 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlark.functions.order import running
 from gridlark.llm.tables import BLANKS, table, whole
 
+#: Bytes of text in a range: the least, the most, and the number of ranges up to which it is the least.
+LEAST_BYTES, MOST_BYTES, RANGES = 2 << 20, 64 << 20, 4_096
 #: Hashes are in [0, 2**BITS).
 BITS = 48
 
@@ -62,37 +68,50 @@ def encoded(s: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, k: int = 256, words: int = 5) -> DataFrame:
-    """``docs`` with ``sketch``, ``n_shingles`` (estimate) and ``fingerprint``. Null text: as empty."""
+    """``docs`` with ``sketch``, ``n_shingles`` (estimate) and ``fingerprint``, which replace columns of these names. Null text:
+    as empty."""
     return docs.withColumn("sketch", sketch(whole(), k, words)).withColumn("n_shingles", distinct_count(F.col("sketch"), k)).withColumn("fingerprint", encoded(F.col("sketch")))
 
 
-def with_next(docs: DataFrame, carry: str = "text", rows_per_range: int = 5_000) -> DataFrame:
-    """(doc_id, text, range, ghost, next): each row's following text in descending doc_id, the first after the last.
+def heads(docs: DataFrame) -> list[tuple[int, int]]:
+    """(key, tie) of the first row of each range of ``docs`` (key, tie, text): a row a range reaches the driver."""
+    sizes = docs.select("key", "tie", (F.octet_length(whole()) + 64).alias("size"))
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    each = min(MOST_BYTES, max(LEAST_BYTES, total // RANGES))
+    if total <= each:
+        first = sizes.agg(F.min(F.struct("key", "tie")).alias("head")).filter("head is not null")
+    else:
+        before = running(sizes, [F.col("key"), F.col("tie")], F.col("size"), "before")
+        first = before.groupBy(F.floor(F.col("before") / each)).agg(F.min(F.struct("key", "tie")).alias("head"))
+    return sorted({tuple(r["head"]) for r in first.collect()})
+
+
+def with_next(docs: DataFrame, carry: str = "text") -> DataFrame:
+    """(doc_id, text, key, tie, range, ghost, next): each row's following text in descending doc_id, the first after the last.
 
-    Ids are cut into ranges at their approximate quantiles (bounded: at most 10,000 numbers reach the driver). A range is a
-    window of its own; a copy of the head of the range that follows (``ghost``) ends it, so no window spans the table.
-    Rows of one id are ordered by text.
+    Rows of one id are ordered by a hash of their text. The first row of a range is also the last of the range before, as a
+    ``ghost``, so a range is a window of its own. Rows that are equal in id and text are in one range.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), carry)
-    n = max(256, min(10_000, ids.count() // rows_per_range))
-    steps = 1 << (n - 1).bit_length()
-    edges = ids.agg(F.percentile_approx("doc_id", [i / steps for i in range(1, steps)], 10 * steps).alias("q")).first()["q"] or []
-    edges = sorted(set(edges))
-    edges += [(1 << 63) - 1] * (2 * steps - len(edges))
-    bounds = F.array(*[F.lit(int(e)).cast("long") for e in edges[:steps]]) if len(edges) <= 512 else F.from_json(F.lit(str(edges[:steps])), "array<bigint>")
-    jumps = F.array(*[F.lit(steps >> (i + 1)) for i in range(steps.bit_length() - 1)])
-    found = F.aggregate(jumps, F.lit(0), lambda at, jump: F.when(F.col("doc_id") >= F.element_at(bounds, at + jump), at + jump).otherwise(at))
-    ids = ids.withColumn("range", F.coalesce(found, F.lit(-1)))
-    heads = ids.groupBy("range").agg(F.max("doc_id").alias("head"))
-    by_range = Window.partitionBy(F.lit(0)).orderBy(F.col("range").asc_nulls_last())  # a row per range: at most 16,385
-    ends = heads.select("head", F.coalesce(F.lead("range").over(by_range), F.first("range").over(by_range)).alias("of"))
-    ghosts = ids.join(F.broadcast(ends), ids["doc_id"].eqNullSafe(ends["head"])).groupBy("of", "doc_id").agg(F.min(F.coalesce(carry, F.lit(""))).alias(carry))
-    rows = ids.withColumn("ghost", F.lit(False)).unionByName(ghosts.select("doc_id", carry, F.col("of").alias("range"), F.lit(True).alias("ghost")))
-    return rows.withColumn("next", F.lead(F.coalesce(carry, F.lit(""))).over(in_order(carry)))
-
-
-def in_order(carry: str = "text") -> Window:
-    return Window.partitionBy("range").orderBy("ghost", F.col("doc_id").desc_nulls_last(), carry)
+    ids = ids.withColumn("key", F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1))).withColumn("tie", F.xxhash64(whole()))
+    found = heads(ids) or [(0, 0)]
+    size = 1 << len(found).bit_length()
+    padded = found[1:] + [((1 << 63) - 1, (1 << 63) - 1)] * (size - len(found))
+    long = lambda values: F.from_json(F.lit(str(list(values))), "array<bigint>")
+    keys, ties = long(k for k, _ in padded), long(t for _, t in padded)
+    jumps = F.array(*[F.lit(size >> (i + 1)) for i in range(size.bit_length() - 1)])
+    at_or_after = lambda i: (F.col("key") > F.element_at(keys, i)) | ((F.col("key") == F.element_at(keys, i)) & (F.col("tie") >= F.element_at(ties, i)))
+    rows = ids.withColumn("_at", F.aggregate(jumps, F.lit(0), lambda at, jump: F.when(at_or_after(at + jump), at + jump).otherwise(at)))
+    is_head = (F.col("key") == F.element_at(long(k for k, _ in found), F.col("_at") + 1)) & (F.col("tie") == F.element_at(long(t for _, t in found), F.col("_at") + 1))
+    place = lambda at, ghost: F.struct(at.alias("range"), F.lit(ghost).alias("ghost"))
+    own, ghost = place(F.col("_at"), False), place(F.pmod(F.col("_at") - 1, F.lit(len(found))), True)
+    rows = rows.withColumn("_place", F.explode(F.when(is_head, F.array(own, ghost)).otherwise(F.array(own))))
+    rows = rows.select("doc_id", carry, "key", "tie", "_place.range", "_place.ghost").repartition(len(found), "range")
+    return rows.withColumn("next", F.lead(F.coalesce(carry, F.lit(""))).over(in_order()))
+
+
+def in_order() -> Window:
+    return Window.partitionBy("range").orderBy("ghost", "key", "tie")
 
 
 def op5(docs: DataFrame, k: int = 256, words: int = 5) -> DataFrame:

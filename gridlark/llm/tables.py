@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlark.sources.shared import new_path, shared_dir, written
+
+__all__ = ["new_path", "shared_dir", "table", "written"]
+
 #: ASCII blanks and the words between them, as the contracts define them.
 BLANKS = " \t\n\x0b\f\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -20,24 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="gridlark-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts its lineage and outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def whole(text: str = "text"):
     """The text column with null as the empty text."""
     return F.coalesce(F.col(text), F.lit(""))
@@ -48,10 +30,11 @@ def fold(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def least_hashed(rows: DataFrame, n: int, total: int, seed: int, *columns: str) -> DataFrame:
-    """The ``n`` of ``total`` rows that come first by a hash of ``columns``. Hashes are even, so all but about ``4 n`` rows go in
-    the scan, and no task sorts more, however many tasks there are."""
-    h = F.xxhash64(F.lit(seed), *columns)
+def least_hashed(rows: DataFrame, n: int, seed: int, *columns: str) -> DataFrame:
+    """The ``n`` rows that come first by a hash of ``columns``, or all if there are fewer. Rows are counted and hashes are even,
+    so all but about ``4 n`` rows go in the scan, and no task sorts more, however many tasks there are. ``columns`` should tell
+    rows apart: rows with equal ones go or stay together there."""
+    h, total = F.xxhash64(F.lit(seed), *columns), rows.count()
     if 4 * n < total:
         rows = rows.filter(h < F.lit(-(1 << 63) + (1 << 66) * n // total))
     return rows.orderBy(h, *columns).limit(n)

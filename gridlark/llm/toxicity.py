@@ -3,7 +3,8 @@
 A linear model over the presence of words and of their first letters learns from confirmed toxic texts and from texts of
 which nothing is known. With ``prior`` the share of toxic texts, the risk on clean texts is the risk on unlabelled texts taken
 as clean, less ``prior`` times that on toxic texts taken as clean. Once it falls below zero the fit has started to learn the
-toxic texts by heart, and steps go against it instead (the non-negative correction).
+toxic texts by heart, and steps go against it instead (the non-negative correction). A feature is taken for being commoner
+in toxic texts, so its weight never falls below zero: what few examples have together can't make one of them count as clean.
 
 The fit sees bounded samples (``FIT_TOXIC``, ``FIT_UNKNOWN``), drawn by hash of the id; all rows are scored.
 """
@@ -26,8 +27,9 @@ FIT_TOXIC, FIT_UNKNOWN, FEATURES = 5_000, 15_000, 4_096
 #: A feature must be so much commoner in toxic texts than in unknown ones, and by so many standard errors. Otherwise the many
 #: words of a long text would add up.
 LIFT, APART = 2.0, 4.0
-#: Share of the toxic texts that must have a feature, and their least number: rarer ones are told apart by chance.
-SUPPORT, LEAST = 0.02, 3
+#: Toxic texts that must have a feature: at least so many, and so often the root of their number, which grows more slowly than
+#: chance finds do, so that rarer kinds of toxicity can be learned from more examples.
+LEAST, ROOT = 3, 0.35
 #: First letters of a word that are features beside the word itself.
 STEMS = (4, 5)
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -78,7 +80,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, prior: float, size: int, step
         g = np.append(np.bincount(flat, slope[row], size) + ridge * weights, slope.sum())
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-        weights, offset = weights - move[:-1], offset - move[-1]
+        weights, offset = np.maximum(weights - move[:-1], 0), offset - move[-1]
     return weights, offset
 
 
@@ -97,13 +99,15 @@ class Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, n_toxic: int, n_unknown: int, seed: int = 3) -> DataFrame:
-    """(doc_id, text, toxic): confirmed toxic rows, and rows taken without a look at labels; none is held out."""
+    """(doc_id, text, toxic): confirmed toxic documents, and documents taken without a look at labels; none is held out. Of
+    texts that share an id one is taken, so that rows are as bounded as ids."""
     own = F.col("doc_id").isNotNull() & (crc_mod("doc_id", 3) != 1)
     toxic, unknown = labels.filter("toxic = 1").filter(own).select("doc_id"), docs.filter(own).select("doc_id")
-    toxic = least_hashed(toxic.distinct(), n_toxic, toxic.count(), seed, "doc_id")
-    unknown = least_hashed(unknown.distinct(), n_unknown, docs.count(), seed, "doc_id")
+    toxic = least_hashed(toxic.distinct(), n_toxic, seed, "doc_id")
+    unknown = least_hashed(unknown.distinct(), n_unknown, seed, "doc_id")
     ids = toxic.withColumn("toxic", F.lit(True)).unionByName(unknown.withColumn("toxic", F.lit(False)))
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # of a bounded number of ids
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # of a bounded number of ids
+    return found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "toxic")
 
 
 def learn(docs: DataFrame, labels: DataFrame, n_toxic: int = FIT_TOXIC, n_unknown: int = FIT_UNKNOWN, n_features: int = FEATURES, prior: float | None = None) -> Model:
@@ -138,7 +142,7 @@ def learn(docs: DataFrame, labels: DataFrame, n_toxic: int = FIT_TOXIC, n_unknow
     both = (F.col("t") + F.col("u")) / (a + b)
     apart = (rate_t - rate_u) / F.sqrt(both * (1 - both) + 1e-9)
     counts = rows.mapInArrow(counted, "feature string, in_toxic long, in_unknown long").groupBy("feature").agg(F.sum("in_toxic").alias("t"), F.sum("in_unknown").alias("u"))
-    telling = (F.col("t") >= max(LEAST, SUPPORT * a)) & (rate_t >= LIFT * rate_u) & (apart >= APART * (1 / a + 1 / b) ** 0.5)
+    telling = (F.col("t") >= max(LEAST, ROOT * a**0.5)) & (rate_t >= LIFT * rate_u) & (apart >= APART * (1 / a + 1 / b) ** 0.5)
     best = counts.filter(telling).select("feature", apart.alias("apart")).orderBy(F.desc("apart"), "feature").limit(n_features).collect()
     index = {r["feature"]: i for i, r in enumerate(best)}
 
@@ -156,18 +160,20 @@ def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` (doc_id, text, others) with held_out, score and predicted.
 
     Null texts are scored as empty ones, and empty texts get a score like any. Repeated rows get equal scores; a null id is
-    kept and isn't held out (null). Without toxic labels all scores are next to 0. An empty table gives an empty result.
+    kept and isn't held out (null). Columns of ``docs`` with the names of the new ones are replaced. Without toxic labels all
+    scores are next to 0. An empty table gives an empty result.
     """
     model = learn(docs, labels, **options)
+    docs = docs.drop("held_out", "score", "predicted")
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = model.scorer()
         for b in slices(batches):
             scores = [one(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, "score"])
 
-    out = docs.mapInArrow(score, type(docs.schema)([*docs.schema.fields]).add("_score", "double"))
-    return out.withColumn("held_out", crc_mod("doc_id", 3) == 1).withColumnRenamed("_score", "score").withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+    out = docs.mapInArrow(score, type(docs.schema)([*docs.schema.fields]).add("score", "double"))
+    return out.withColumn("held_out", crc_mod("doc_id", 3) == 1).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
 def op10(docs: DataFrame, labels: DataFrame) -> DataFrame:

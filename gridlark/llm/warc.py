@@ -10,20 +10,23 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.tables import least_hashed, written
+from gridlark.functions.joins import looked_up
+from gridlark.llm.tables import least_hashed, slices, written
 
 #: Records that the dictionary is built from at most, bytes it sees of each, and its size.
 SAMPLES, SAMPLE_BYTES, DICTIONARY = 1_000, 16_384, 65_536
-#: Compressed bytes after which an archive is closed.
-ARCHIVE = 8 << 20
+#: Compressed bytes, and plain bytes, after which an archive is closed; plain bytes that a reader takes at a time.
+ARCHIVE, PLAIN, STEP = 8 << 20, 256 << 20, 1 << 20
 #: Fixed values of the format: the dictionary frame's magic number and the profile of a revisit.
 MAGIC = (0x184D2A5D).to_bytes(4, "little")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -63,44 +66,73 @@ def _loaded(raw: bytes) -> zstandard.ZstdCompressionDict:
 class Writer:
     """Archives from records; ``take`` gives those that are complete."""
 
-    def __init__(self, raw: bytes, level: int = 3, limit: int = ARCHIVE) -> None:
+    def __init__(self, raw: bytes, level: int = 3, limit: int = ARCHIVE, plain: int = PLAIN) -> None:
         loaded = _loaded(raw)
         loaded.precompute_compress(level=level)
         self.compress = zstandard.ZstdCompressor(level=level, dict_data=loaded, write_checksum=True).compress
         self.head = MAGIC + len(raw).to_bytes(4, "little") + raw
-        self.limit, self.frames, self.size = limit, [], 0
+        self.limit, self.plain, self.frames, self.size, self.taken = limit, plain, [], 0, 0
 
     def add(self, data: bytes) -> tuple[int, bytes] | None:
         frame = self.compress(data)
         self.frames.append(frame)
         self.size += len(frame)
-        return self.close() if self.size >= self.limit else None
+        self.taken += len(data)
+        return self.close() if self.size >= self.limit or self.taken >= self.plain else None
 
     def close(self) -> tuple[int, bytes]:
         out = len(self.frames), self.head + b"".join(self.frames)
-        self.frames, self.size = [], 0
+        self.frames, self.size, self.taken = [], 0, 0
+        return out
+
+
+class Unpacked:
+    """The plain bytes of an archive's frames, unpacked as far as they are asked for."""
+
+    def __init__(self, archive: bytes) -> None:
+        if archive[:4] != MAGIC:
+            raise ValueError("no dictionary frame at the start")
+        start = 8 + int.from_bytes(archive[4:8], "little")
+        self.reader = zstandard.ZstdDecompressor(dict_data=_loaded(archive[8:start])).stream_reader(io.BytesIO(memoryview(archive)[start:]), read_across_frames=True)
+        self.held = bytearray()
+
+    def more(self, most: int = STEP) -> bool:
+        data = self.reader.read(most)
+        self.held += data
+        return bool(data)
+
+    def until(self, sign: bytes) -> bytes | None:
+        """What comes before ``sign``, which goes too; None at the end."""
+        seen = 0
+        while (at := self.held.find(sign, seen)) < 0:
+            seen = max(0, len(self.held) - len(sign))
+            if not self.more():
+                if self.held:
+                    raise ValueError("the archive ends within a record")
+                return None
+        return self.take(at + len(sign))[:-len(sign)]
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n:
+            if not self.more(max(STEP, n - len(self.held))):
+                raise ValueError("the archive ends within a record")
+        out = bytes(self.held[:n])
+        del self.held[:n]
         return out
 
 
 def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, block) of each record of an archive."""
-    if archive[:4] != MAGIC:
-        raise ValueError("no dictionary frame at the start")
-    start = 8 + int.from_bytes(archive[4:8], "little")
-    reader = zstandard.ZstdDecompressor(dict_data=_loaded(archive[8:start])).stream_reader(io.BytesIO(memoryview(archive)[start:]), read_across_frames=True)
-    data = reader.read()
-    at = 0
-    while at < len(data):
-        end = data.index(_END, at)
-        first, *lines = data[at:end].decode("utf-8", "surrogatepass").split("\r\n")
+    """(fields, block) of each record of an archive, one at a time: no more than a record and a step are unpacked at once."""
+    data = Unpacked(archive)
+    while (head := data.until(_END)) is not None:
+        first, *lines = head.decode("utf-8", "surrogatepass").split("\r\n")
         if first != "WARC/1.1":
             raise ValueError(f"not a record: {first[:40]!r}")
         fields = dict(x.split(": ", 1) for x in lines)
-        at = end + 4 + int(fields["Content-Length"])
-        yield fields, data[end + 4 : at]
-        if data[at : at + 4] != _END:
+        block = data.take(int(fields["Content-Length"]))
+        if data.take(4) != _END:
             raise ValueError("a record has another length than it says")
-        at += 4
+        yield fields, block
 
 
 def page(fields: dict[str, str], block: bytes) -> tuple:
@@ -120,16 +152,16 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.withColumn("digest", F.sha1(payload)).withColumn("n_bytes", F.length(payload))
     first = rows.filter(F.col("n_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("times"))
-    # written, so that the pages are dealt out for the join alone, where Spark can split a payload that very many of them have
-    first = written(first.filter("times > 1").select(F.col("digest").alias("of"), "first"), "warc-copies")
+    first = written(first.filter("times > 1"), "warc-copies")
     own = F.col("page_id").eqNullSafe(F.col("first")) | (F.col("n_bytes") < least)
-    return rows.join(first, F.col("digest") == F.col("of"), "left").withColumn("refers_to", F.when(~own, F.col("first"))).drop("digest", "of", "first", "n_bytes")
+    rows = looked_up(rows, first, "digest", "digest", "times")  # a payload that very many pages have isn't dealt out by its digest
+    return rows.withColumn("refers_to", F.when(~own, F.col("first"))).drop("digest", "first", "times", "n_bytes")
 
 
 def archives(pages: DataFrame, least: int = 0, level: int = 3, samples: int = SAMPLES, limit: int = ARCHIVE, seed: int = 11) -> DataFrame:
     """(archive, records, content): ``pages`` (page_id, url, html, others) as archives. An empty table gives none."""
     sample = pages.select("page_id", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html"), "url")
-    sample = least_hashed(sample, samples, pages.count(), seed, "page_id", "url")
+    sample = least_hashed(sample, samples, seed, "page_id", "url")
     raw = dictionary([record(r["page_id"], r["url"], r["html"].encode()) for r in sample.toLocalIterator()])
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +170,7 @@ def archives(pages: DataFrame, least: int = 0, level: int = 3, samples: int = SA
         def out(done: tuple[int, bytes]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f"pages-{part:06d}-{number:06d}.warc.zst"]), pa.array([done[0]], pa.int64()), pa.array([done[1]], pa.binary())], names=["archive", "records", "content"])
 
-        for b in batches:
+        for b in slices(batches):
             for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if done := writer.add(record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), refers_to, refers_to is not None)):
                     yield out(done)
@@ -163,15 +195,28 @@ def read(archives: DataFrame) -> DataFrame:
     return archives.select("content").mapInArrow(parse, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
-def export(archives: DataFrame, folder: str) -> None:
-    """Write each archive to a file in a folder that all machines have mounted."""
+def export(archives: DataFrame, folder: str) -> DataFrame:
+    """Write each archive to a file of its name in a folder that all machines reach, named by a URI of any file system that
+    Arrow knows (``file:///``, ``hdfs://``, ``s3://``). Returns (archive, bytes) as read back from the folder.
 
-    def save(rows) -> None:
-        for r in rows:
-            with open(f"{folder}/{r['archive']}", "wb") as f:
-                f.write(r["content"])
+    A file is written under another name and moved when it is whole, so that a lost task leaves no torn archive and a task
+    that runs again replaces what it wrote.
+    """
 
-    archives.foreachPartition(save)
+    def save(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, root = fs.FileSystem.from_uri(folder)
+        where.create_dir(root)
+        for b in batches:
+            sizes = []
+            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                made = f"{root}/.{name}-{uuid.uuid4().hex}"
+                with where.open_output_stream(made) as out:
+                    out.write(content.as_buffer())
+                where.move(made, f"{root}/{name}")
+                sizes.append(where.get_file_info(f"{root}/{name}").size)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["archive", "bytes"])
+
+    return written(archives.select("archive", "content").mapInArrow(save, "archive string, bytes long"), "warc-files")
 
 
 def op7(pages: DataFrame) -> DataFrame:

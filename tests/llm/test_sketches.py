@@ -52,3 +52,14 @@ def test_merge_containment(spark):
     df = spark.createDataFrame([(a, b)], "a string, b string").select(sketches.sketch(F.col("a")).alias("a"), sketches.sketch(F.col("b")).alias("b"), sketches.sketch(F.concat_ws(" ", "a", "b")).alias("ab"))
     r = df.select(sketches.containment(F.col("a"), F.col("b")), sketches.distinct_count(sketches.merged(F.col("a"), F.col("b"))), sketches.resemblance(F.col("ab"), sketches.merged(F.col("a"), F.col("b")))).first()
     assert abs(r[0] - 0.5) < 0.1 and abs(r[1] / 4500 - 1) < 0.2 and r[2] > 0.95
+
+
+def test_small_ranges(spark, monkeypatch):
+    """Many ranges, also within the rows of one id, give the order that one range gives."""
+    rows = [(k, v, "s", 1) for k, v in texts().items() if k != 35] + [(50, f"text number {i}", "", 1) for i in range(40)] + [(None, "none", "", 1)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.fingerprint, r.edited_sha256)
+    want = sorted(sketches.op5(df).collect(), key=key)
+    monkeypatch.setattr(sketches, "LEAST_BYTES", 300)
+    assert len(sketches.heads(sketches.with_next(df).filter("not ghost").select("key", "tie", "text"))) > 20
+    assert sorted(sketches.op5(df).collect(), key=key) == want

@@ -82,3 +82,28 @@ def test_empty_table_and_sql(spark):
     assert warc.op7(spark.createDataFrame([], PAGES)).collect() == []
     sf = "/root/testdata/sf0.001"
     assert spark_rows(entry.op7_warc(spark, sf)) == duckdb_rows(entry.ORACLES["op7_warc"], sf)
+
+
+def test_very_compressible_pages():
+    """Archives are closed by plain bytes too, and are read a record at a time."""
+    writer, done = warc.Writer(warc.dictionary([]), plain=64 << 20), []
+    for i in range(200):
+        if made := writer.add(warc.record(i, "u", f"page {i} ".encode() * 200_000)):
+            done.append(made)
+    done.append(writer.close())
+    assert len(done) == -(-sum(len(f"page {i} ") * 200_000 for i in range(200)) // (66 << 20)) and sum(n for n, _ in done) == 200 and sum(len(a) for _, a in done) < 4 << 20
+    data, seen = warc.Unpacked(done[0][1]), 0
+    while (head := data.until(b"\r\n\r\n")) is not None:
+        size = int(dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])["Content-Length"])
+        data.take(size + 4)
+        seen += 1
+        assert len(data.held) <= warc.STEP
+    assert seen == done[0][0] == len(list(warc.records(done[0][1])))
+    with pytest.raises(ValueError):
+        list(warc.records(done[0][1][:-40]))
+
+
+def test_files_are_whole(spark, tmp_path):
+    df = spark.createDataFrame(rows(), PAGES).repartition(2)
+    done = warc.export(warc.archives(df, limit=2000), f"file://{tmp_path}/out").collect()
+    assert {r.archive: r.bytes for r in done} == {p.name: p.stat().st_size for p in (tmp_path / "out").iterdir()}
