@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Keys that count as hot at most: each has more than this share of all rows.
@@ -22,9 +22,9 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, of: str, weight: str,
     hot = table.filter(F.col(weight) > total / most).select(F.col(of).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in values])
     cold = table.filter(F.col(weight) <= total / most).select(F.col(of).alias("_cold"), F.lit(0).alias("_no"), *[F.col(c).alias(f"_cold_{c}") for c in values])
     out = rows.join(F.broadcast(hot), rows[key] == F.col("_hot"), "left")  # fewer than ``most`` rows
-    out = out.withColumn("_salt", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.lit(0)).otherwise(F.spark_partition_id() + 1))
-    by_key: Column = F.coalesce(F.col(key), F.lit(0)) if dict(rows.dtypes)[key] in ("bigint", "double", "int") else F.col(key)
-    out = out.withColumn("_by", by_key).join(cold, (F.col("_by") == F.col("_cold")) & (F.col("_salt") == F.col("_no")), "left")
+    found = F.col("_hot").isNotNull() | F.col(key).isNull()
+    out = out.withColumn("_salt", F.when(found, F.spark_partition_id() + 1).otherwise(0)).drop("_hot")
+    out = out.join(cold, (F.col(key) == F.col("_cold")) & (F.col("_salt") == F.col("_no")), "left")
     if how == "inner":
-        out = out.filter("_hot is not null or _cold is not null")
+        out = out.filter((F.col("_cold").isNotNull() | (F.col("_salt") > 0)) & F.col(key).isNotNull())
     return out.select(*rows.columns, *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in values])
