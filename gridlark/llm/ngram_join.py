@@ -15,10 +15,10 @@ together in blocks, and a block's inverted lists answer all queries of the block
 4. Rounds: one document of each of these lists (the hub: in the first round the one with fewest shingles of its own) is the
    query, the list's documents that aren't in its component are the candidates. A candidate is in the block of the hub that it
    meets in most lists. Links join components. Lists whose documents are in one component are done with.
-5. When what is left is little, or a round has changed little, each document has a home: a block of documents with whom it
-   shares lists. Every document asks all homes of its lists that have documents of another component. So a query is sent to
-   blocks, not paired with documents, no document that could change a component is left out, and blocks within a component
-   aren't asked by it.
+5. When what is left is little, or a round has changed little, each document has a home: a block of documents of its
+   component. Every document asks all homes of its lists that are of larger components, as far as sizes and what is left of
+   the shingles allow a link. So a query is sent to blocks, not paired with documents; a link between two components is found
+   from the smaller one, and none is left out.
 
 A block has about ``BLOCK`` documents. It has inverted lists for each class of sizes, with the overlap T that the least of the
 class needs; what reaches T is a link if it reaches the overlap of its own size.
@@ -254,11 +254,11 @@ def answered(homes: DataFrame, queries: DataFrame, sets: DataFrame) -> DataFrame
 
 
 def parted(rows: DataFrame, by: str) -> DataFrame:
-    """``rows`` (``by``, doc) with ``home``: the hash of ``by`` and of one of as many parts as ``by`` has ``BLOCK`` documents.
-    Hashes that clash would only make a larger block."""
-    parts = written(rows.groupBy(by).agg(F.count(F.lit(1)).alias("times")), "ngram-parts").withColumn("parts", F.ceil(F.col("times") / BLOCK))
-    rows = looked_up(rows, parts, by, by, "times", "inner")
-    return rows.withColumn("home", F.xxhash64(by, F.pmod(F.xxhash64("doc"), "parts"))).drop("parts", "times")
+    """``rows`` (``by``, doc) with ``times``, their number with the same ``by``, and ``home``: the hash of ``by`` and of one of as
+    many parts as make ``BLOCK`` documents each. Hashes that clash would only make a larger block."""
+    times = written(rows.groupBy(by).agg(F.count(F.lit(1)).alias("times")), "ngram-parts")
+    rows = looked_up(rows, times, by, by, "times", "inner")
+    return rows.withColumn("home", F.xxhash64(by, F.pmod(F.xxhash64("doc"), F.ceil(F.col("times") / BLOCK))))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -307,7 +307,7 @@ def linked(docs: DataFrame) -> DataFrame:
     sets = written(texts.mapInArrow(_sets, "doc long, shingles array<long>"), "ngram-sets")
     lists = written(rare_lists(sets), "ngram-lists")
     comp = written(lists.groupBy("doc").agg(F.first("n").alias("n"), F.first("odd").alias("odd")).withColumn("comp", F.col("doc")), "ngram-components")
-    comp = grown(comp, lists.select("shingle", "doc"), sets)
+    comp = grown(comp, lists.select("shingle", "doc", "rest"), sets)
 
     roots = equal.join(comp.select(F.col("doc").alias("of"), F.col("comp").alias("root")), F.col("doc") == F.col("of"), "left")
     roots = written(roots.select("digest", F.coalesce("root", "doc").alias("root"), "times"), "ngram-roots")
@@ -330,14 +330,16 @@ def shared_rows(prefixes: DataFrame) -> DataFrame:
 
 
 def rare_lists(sets: DataFrame) -> DataFrame:
-    """(shingle, doc, n, odd): each document's rarest shared shingles, as far as a link must lie in one; ``odd``: the share of
-    its shingles that no other has."""
+    """(shingle, doc, n, rest, odd): each document's rarest shared shingles, as far as a link must lie in one.
+
+    ``rest``: its shared shingles from this one on; ``odd``: the share of its shingles that no other has.
+    """
     rows = sets.select("doc", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
     frequent = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "ngram-frequent")
     own = Window.partitionBy("doc")
     rows = looked_up(rows, frequent, "shingle", "shingle", "df", "inner").withColumn("shared", F.count(F.lit(1)).over(own))
     rows = rows.filter(F.col("shared") >= F.ceil(F.col("n") * PERCENT / 100)).withColumn("place", F.row_number().over(own.orderBy("df", "shingle")))
-    return rows.filter(F.col("place") <= F.col("shared") - F.ceil(F.col("n") * PERCENT / 100) + 1).select("shingle", "doc", "n", (1 - F.col("shared") / F.col("n")).alias("odd"))
+    return rows.filter(F.col("place") <= F.col("shared") - F.ceil(F.col("n") * PERCENT / 100) + 1).select("shingle", "doc", "n", (F.col("shared") - F.col("place") + 1).alias("rest"), (1 - F.col("shared") / F.col("n")).alias("odd"))
 
 
 def grown(comp: DataFrame, lists: DataFrame, sets: DataFrame) -> DataFrame:
@@ -348,7 +350,7 @@ def grown(comp: DataFrame, lists: DataFrame, sets: DataFrame) -> DataFrame:
         order = F.struct(F.col("odd") if turn == 0 else F.lit(0.0), F.xxhash64(F.lit(turn), "doc"))
         heads = lists.join(sent(comp), "doc").groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("doc", order).alias("query"), F.count(F.lit(1)).alias("size"))
         heads = written(heads.filter("low <> high").select("shingle", "query", "size"), "ngram-heads")
-        lists = written(looked_up(lists.select("shingle", "doc"), heads, "shingle", "shingle", "size", "inner"), "ngram-open")
+        lists = written(looked_up(lists.select("shingle", "doc", "rest"), heads, "shingle", "shingle", "size", "inner"), "ngram-open")
         within = lists.join(sent(comp), "doc").groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
         within = within.groupBy("shingle").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("inside"))
         # what is left to compare, as pairs of a list; none of them is made
@@ -356,7 +358,7 @@ def grown(comp: DataFrame, lists: DataFrame, sets: DataFrame) -> DataFrame:
         if not rows:
             return comp
         if turn == ROUNDS or pairs <= rows or (last and pairs > 0.8 * last):
-            return joined(comp, asked_homes(lists.join(sent(comp.select("doc", "comp")), "doc"), sets))
+            return joined(comp, asked_homes(lists.join(sent(comp.select("doc", "comp", "n")), "doc"), sets))
         last = pairs
         hub = comp.select(F.col("doc").alias("query"), F.col("n").alias("m"), F.col("comp").alias("to"))
         asked = lists.filter("doc <> query").groupBy("doc", "query").agg(F.count(F.lit(1)).alias("meets")).join(sent(comp), "doc").join(sent(hub), "query")
@@ -366,18 +368,25 @@ def grown(comp: DataFrame, lists: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def asked_homes(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between documents of one list and of different components. ``lists``: (shingle, doc, size, comp)."""
-    lists = written(lists.select("shingle", "doc", "size", "comp"), "ngram-ends")
-    homes = lists.groupBy("doc").agg(F.min(F.xxhash64("shingle")).alias("by"), F.first("comp").alias("comp"))
-    homes = written(parted(written(homes, "ngram-by"), "by").select("home", "doc", "comp"), "ngram-homes")
-    of = homes.groupBy("home").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    there = lists.join(homes.select("doc", "home"), "doc").groupBy("shingle", "home").agg(F.first("size").alias("size")).join(of, "home")
+    """Links (a, b) between documents of one list and of different components. ``lists``: (shingle, doc, size, comp, n, rest).
+
+    Shingles are in one order in all sets, so where a pair's first common one stands, what is left on either side must reach
+    the overlap that the pair needs.
+    """
+    lists = written(lists.select("shingle", "doc", "size", "comp", "n", "rest"), "ngram-ends")
+    homes = written(parted(lists.select("comp", "doc").distinct(), "comp"), "ngram-homes")
+    own = lists.join(homes.select("doc", "home", "times"), "doc")
+    there = own.groupBy("shingle", "home").agg(
+        F.first("size").alias("size"), F.first(F.struct("times", "comp")).alias("of"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("left")
+    )
     # a large list is sent to its homes by several tasks
     salts = F.ceil(F.col("size") / SPREAD)
-    there = there.select(F.col("shingle").alias("s"), "home", "low", "high", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
-    own = lists.withColumn("part", F.pmod(F.xxhash64("doc"), salts))
-    other = (F.col("low") != F.col("high")) | (F.col("low") != F.col("comp"))
-    queries = own.join(there, (F.col("shingle") == F.col("s")) & (F.col("part") == F.col("salt")) & other).select("home", "doc").distinct()
+    there = there.select(F.col("shingle").alias("s"), "home", "of", "least", "most", "left", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    asks = own.select("shingle", "doc", F.struct("times", "comp").alias("from"), "n", "rest", F.pmod(F.xxhash64("doc"), salts).alias("part"))
+    sizes = 100 * F.least("n", "most") >= PERCENT * F.greatest("n", "least")
+    reach = (100 + PERCENT) * F.least("left", "rest") >= PERCENT * (F.col("n") + F.col("least"))
+    meet = (F.col("shingle") == F.col("s")) & (F.col("part") == F.col("salt")) & (F.col("from") < F.col("of")) & sizes & reach
+    queries = asks.join(there, meet).select("home", "doc").distinct()
     return answered(homes, queries, sets)
 
 
