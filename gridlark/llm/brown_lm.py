@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.tables import crc_mod, fold, written
+from gridlark.llm.tables import crc_mod, fold, slices, written
 
 #: Commonest words that all tasks get; words of the driver's exchange; buckets of endings; classes.
 COMMON, HEADS, TAILS, CLASSES = 200_000, 512, 512, 64
@@ -155,7 +155,7 @@ def word_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
             seen.clear()
             return batch
 
-        for b in batches:
+        for b in slices(batches):
             for words in map(fold, b.column(0).to_pylist()):
                 seen.update(words)
                 seen[END] += 1

@@ -12,29 +12,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlark.llm.tables import WORD_PATTERN, keyed, whole, written
 
 #: Signs whose share of a text lowers its weight in the draw.
 MARKS = "!#$%&*|"
+#: The least weight: every document has a chance.
+LIGHTEST = 1e-6
 
 
 def quality_weight(text):
-    """Sampling weight in [0.1, 1]: falls with the share of marks in the text. The empty text weighs 1."""
+    """The weight of a document that comes with none, in [0.1, 1]: falls with the share of marks in the text. The empty text
+    weighs 1. It is no measure of quality to speak of: pass ``mix`` a column that is, such as a classifier's score."""
     n = F.length(text)
     marks = n - F.length(F.translate(text, MARKS, ""))
     return F.when(n == 0, 1.0).otherwise(F.greatest(F.lit(0.1), 1.0 - 5.0 * marks / n))
 
 
-def sized(docs: DataFrame, seed: int = 17, buckets: int = 4096, keep: Sequence[str] = ()) -> DataFrame:
+def sized(docs: DataFrame, seed: int = 17, buckets: int = 4096, keep: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     """(doc_id, source, size, key, bucket) of each row, and the columns ``keep``; ``bucket`` is monotone in ``key``."""
     t = whole()
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 53)) + 0.5) / float(1 << 53)
     key = F.col("key")
+    heavy = quality_weight(t) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(LIGHTEST))
     return (
-        docs.select("doc_id", "source", F.regexp_count(t, F.lit(WORD_PATTERN)).cast("long").alias("size"), (-F.log(u) / quality_weight(t)).alias("key"), *keep)
+        docs.select("doc_id", "source", F.regexp_count(t, F.lit(WORD_PATTERN)).cast("long").alias("size"), (-F.log(u) / heavy).alias("key"), *keep)
         .withColumn("bucket", F.floor(buckets * key / (1 + key)).cast("int"))
     )
 
@@ -61,18 +65,19 @@ def targets(sources: DataFrame, weights: Sequence[float], factor: float, max_epo
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), factor: float = 1.5, max_epochs: float = 2.0, seed: int = 17, buckets: int = 4096, keep: Sequence[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), factor: float = 1.5, max_epochs: float = 2.0, seed: int = 17, buckets: int = 4096, keep: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     """Words that a mix of ``docs`` (doc_id, source, text) takes of each row.
 
     Sources in order of code point, null last, weigh ``weights`` in turn. Their targets share ``factor`` times all words,
     none above ``max_epochs`` times its source. Returns doc_id, source, size, source_size, target, taken, one row for each
     row of ``docs``, and the columns ``keep`` with it; ``taken`` counts repeats, and the document at which the budget ends is taken in part, so that a
-    source's words meet its target to less than one word.
+    source's words meet its target to less than one word. ``weight``: a document's weight in the draw, over the columns of
+    ``docs``; null and what is below ``LIGHTEST`` weigh that. By default ``quality_weight`` of the text.
 
     Null and empty texts have size 0 and are never taken. A null source is a source. Equal keys (repeated ids) are ordered
     by id, then size; repeated rows share a key and are counted one after the other. An empty table gives an empty result.
     """
-    rows = written(sized(docs, seed, buckets, keep), "mix-sizes")
+    rows = written(sized(docs, seed, buckets, keep, weight), "mix-sizes")
     per_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     per_bucket = written(per_bucket, "mix-buckets")
     goal = targets(per_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, factor, max_epochs)

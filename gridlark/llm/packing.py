@@ -8,8 +8,10 @@ joined and cut at the sequence length, and the last, shorter rest is cut at powe
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -32,6 +34,9 @@ _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_\u00b2\u00b3\u00b9\u00bc-\
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 _SPECIAL = b"<|"
+#: Fixed values of the vocabulary in use: how it normalises, where it cuts, how it ends words.
+_NORMAL, _SUFFIX = ["NFC", "Replace", "Lowercase"], "</w>"
+_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Encoder(dict):
@@ -42,6 +47,11 @@ class Encoder(dict):
 
         self.tokenizer, self.most, self.parts = Tokenizer.from_file(path), most, {}
         self.model = self.tokenizer.model
+        shape = json.loads(self.tokenizer.to_str())
+        normal = [x["type"] for x in (shape["normalizer"] or {}).get("normalizers", [])]
+        cuts = [x["pattern"].get("Regex") for x in (shape["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        if (normal, cuts, shape["model"].get("end_of_word_suffix")) != (_NORMAL, [_CUTS], _SUFFIX):
+            raise ValueError(f"{path} normalises or cuts words in another way than this encoder")
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode("utf-8")
@@ -110,18 +120,18 @@ class Packer:
 
     def finish(self) -> list[list]:
         """Join the open windows, fullest first: sequences of the full size, then of powers of two."""
-        rest = [p for _, pieces in sorted(self.open, key=lambda w: -w[0]) for p in pieces]
+        rest = deque(p for _, pieces in sorted(self.open, key=lambda w: -w[0]) for p in pieces)
         left, self.open = sum(used for used, _ in self.open), []
         out: list[list] = []
         while left:
             room = self.size if left >= self.size else 1 << (left.bit_length() - 1)
             left, sequence = left - room, []
             while room:
-                doc_id, start, doc_tokens, ids = rest.pop(0)
+                doc_id, start, doc_tokens, ids = rest.popleft()
                 n = len(ids) // WIDTH
                 sequence.append((doc_id, start, doc_tokens, ids[: room * WIDTH]))
                 if n > room:
-                    rest.insert(0, (doc_id, start + room, doc_tokens, ids[room * WIDTH :]))
+                    rest.appendleft((doc_id, start + room, doc_tokens, ids[room * WIDTH :]))
                 room -= min(n, room)
             out.append(sequence)
         return out

@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridlark.llm.tables import local_path
+from gridlark.llm.tables import local_path, slices
 
 MARK = "▁"
 _WORD = re.compile(r"\w+|[^\w\s]")
@@ -120,7 +120,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = counter(path).of
-        for b in batches:
+        for b in slices(batches):
             found = list(zip(*map(of, b.column(1).to_pylist()), strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in found)], names=["doc_id", "n_words", "n_tokens", "n_unknown"])
 

@@ -136,3 +136,33 @@ def test_words_beyond_the_commonest_go_by_their_neighbours(spark):
 
 def test_endings_are_letters():
     assert brown_lm.ending("xéàü".encode()) == brown_lm.ending("yéàü".encode()) != brown_lm.ending("xéáü".encode())
+
+
+def test_scores_by_hand(spark):
+    """Classes are the model's; every count, probability and sum of a text's score is made again in plain Python."""
+    r = random.Random(8)
+    nouns, verbs = [f"noun{i}" for i in range(40)], [f"verb{i}" for i in range(40)]
+    text = lambda: " ".join(r.choice(verbs if k % 2 else nouns) for k in range(r.randrange(1, 30)))
+    train = [text() for _ in range(150)] + ["rare words", "", None]
+    docs = [(i, t) for i, t in enumerate([*train[:20], text(), "never seen before", "noun1 Noun2 UNSEEN verb3", "", None])]
+    frame = spark.createDataFrame([(t,) for t in train], "text string")
+    counts = brown_lm.word_counts(frame).cache()
+    model = brown_lm.learn(frame, counts, 8)
+    words = [fold(t) for t in train]
+    times = Counter(w for x in words for w in x)
+    of = {w: model.class_of(w) for w in {*times, *(w for _, t in docs for w in fold(t))}}
+    end = 7
+    after = Counter(pair for x in words for c in [[end, *(of[w] for w in x), end]] for pair in zip(c, c[1:], strict=False))
+    tokens, types = Counter(), Counter()
+    for w, n in times.items():
+        tokens[of[w]] += n
+        types[of[w]] += 1
+    out = {c: sum(after[c, d] for d in range(8)) for c in range(8)}
+    step = lambda c, d: math.log10((after[c, d] + 0.5) / (out[c] + 0.5 * 8))
+    got = {x.doc_id: x.score for x in brown_lm.scored(spark.createDataFrame(docs, "doc_id long, text string"), frame, common=5, classes=8).collect()}
+    for i, t in docs:
+        chain, want = [end, *(of[w] for w in fold(t)), end], 0.0
+        for a, b in zip(chain, chain[1:], strict=False):
+            want += step(a, b)
+        want += sum(math.log10((times[w] + 0.5) / (tokens[of[w]] + 0.5 * (types[of[w]] + 1))) for w in fold(t))
+        assert abs(got[i] - want) < 1e-6, t

@@ -1,6 +1,8 @@
 import math
 import re
 
+from pyspark.sql import functions as F
+
 from gridlark.llm import mixing
 
 DOCS = "doc_id long, source string, text string, size string"
@@ -81,3 +83,11 @@ def test_documents_come_as_often_as_taken(spark):
     for r in got.collect():
         have[r.doc_id] = have.get(r.doc_id, 0) + 1
     assert have == {k: v for k, v in want.items() if v}
+
+
+def test_a_weight_column(spark):
+    """Heavy documents come first where a source isn't taken whole; null, negative and zero weights are the lightest."""
+    rows = [(i, "s", "one two three four", w) for i, w in enumerate([1000.0] * 20 + [None] * 20 + [-1.0] * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, grade double")
+    taken = {r.doc_id: r.taken for r in mixing.mix(df, factor=0.25, weight=F.col("grade")).collect()}
+    assert len(taken) == 60 and sum(taken.values()) == 60 and sum(taken[i] for i in range(20)) == 60

@@ -60,3 +60,10 @@ def test_bounded_space_and_best_fit():
     packer.place(3, 0, 7, bytes(28))
     packer.place(4, 0, 7, bytes(28))
     assert len(packer.open) <= 2 and [sum(len(p[3]) for p in s) for s in packer.full] == [32] * len(packer.full)
+
+
+def test_other_vocabularies_are_refused():
+    """The encoder cuts words by one vocabulary's pattern, so another one is an error and not another result."""
+    packing.Encoder(local_path("word_bpe_49k.json"))
+    with pytest.raises(ValueError):
+        packing.Encoder(local_path("byte_bpe_50k.json"))
