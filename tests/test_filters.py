@@ -78,7 +78,9 @@ def fold(cells, conditions, logic, negated):
 @pytest.fixture(scope="module")
 def cells(spark):
     rows = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in TEXT for b in TEXT)]
-    return rows, spark.createDataFrame(rows, "id int, a string, b string").cache()
+    df = spark.createDataFrame(rows, "id int, a string, b string").cache()
+    yield rows, df
+    df.unpersist()
 
 
 condition = st.tuples(st.sampled_from("ab"), st.sampled_from(["=", "!=", ">", ">=", "<", "<="]), st.sampled_from(["5", "12.5", "abc", "zz", "-3"]))
