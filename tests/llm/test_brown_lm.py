@@ -146,8 +146,7 @@ def test_scores_by_hand(spark):
     train = [text() for _ in range(150)] + ["rare words", "", None]
     docs = [(i, t) for i, t in enumerate([*train[:20], text(), "never seen before", "noun1 Noun2 UNSEEN verb3", "", None])]
     frame = spark.createDataFrame([(t,) for t in train], "text string")
-    counts = brown_lm.word_counts(frame).cache()
-    model = brown_lm.learn(frame, counts, 8)
+    model = brown_lm.learn(frame, brown_lm.word_counts(frame), 8)
     words = [fold(t) for t in train]
     times = Counter(w for x in words for w in x)
     of = {w: model.class_of(w) for w in {*times, *(w for _, t in docs for w in fold(t))}}
