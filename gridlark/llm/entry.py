@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridlark.llm import brown_lm, mixing, mpeg_audio, ngram_join, packing, quality_gam, sketches, toxicity, warc, whitening, wordpiece
+from gridlark.llm import brown_lm, decontaminate, mixing, mpeg_audio, ngram_join, packing, quality_gam, sketches, toxicity, warc, whitening, wordpiece
 from gridlark.llm.tables import table
 
 
@@ -46,6 +46,10 @@ def op9_brown_lm(spark, sf_dir):
     return brown_lm.op9(table(spark, sf_dir, "documents"))
 
 
+def op12_decontamination(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_whitening(spark, sf_dir):
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_brown_lm": op9_brown_lm,
     "op10_toxicity": op10_toxicity,
+    "op12_decontamination": op12_decontamination,
     "op13_whitening": op13_whitening,
 }
-ORACLES = {"op6_ngram_jaccard": ngram_join.SQL, "op7_warc": warc.SQL}
+ORACLES = {"op6_ngram_jaccard": ngram_join.SQL, "op7_warc": warc.SQL, "op12_decontamination": decontaminate.SQL}
