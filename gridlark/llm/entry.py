@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridlark.llm import brown_lm, decontaminate, mixing, mpeg_audio, ngram_join, packing, quality_gam, sketches, toxicity, warc, whitening, wordpiece
+from gridlark.llm import brown_lm, decontaminate, mixing, mpeg_audio, ngram_join, packing, quality_gam, runs, sketches, toxicity, warc, whitening, wordpiece
 from gridlark.llm.tables import table
 
 
@@ -46,6 +46,10 @@ def op9_brown_lm(spark, sf_dir):
     return brown_lm.op9(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    return runs.op11(table(spark, sf_dir, "documents"))
+
+
 def op12_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_brown_lm": op9_brown_lm,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_decontamination": op12_decontamination,
     "op13_whitening": op13_whitening,
 }
