@@ -15,7 +15,8 @@ def op10_toxicity(spark, sf_dir):
 
 
 def op2_mixing(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, labels=table(spark, sf_dir, "labels")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op5_fingerprints(spark, sf_dir):

@@ -16,12 +16,12 @@ together in blocks, and a block's inverted lists answer all queries of the block
    query, the list's documents that aren't in its component are the candidates. A candidate is in the block of the hub that it
    meets in most lists. Links join components. Lists whose documents are in one component are done with.
 5. When what is left is little, or a round has changed little, each document has a home: a block of documents of its
-   component. Every document asks all homes of its lists that are of larger components, as far as sizes and what is left of
-   the shingles allow a link. So a query is sent to blocks, not paired with documents; a link between two components is found
-   from the smaller one, and none is left out.
+   component, or, where components are small, of documents that share their longest list. Every document asks the homes of its
+   lists that have other components, as far as sizes and what is left of the shingles allow a link. So a query is sent to
+   blocks, not paired with documents, also where nothing links; of two homes one asks the other, and no link is left out.
 
-A block has about ``BLOCK`` documents. It has inverted lists for each class of sizes, with the overlap T that the least of the
-class needs; what reaches T is a link if it reaches the overlap of its own size.
+A block of a hub has about ``BLOCK`` documents, a home about ``HOME`` shingles. It has inverted lists for each class of sizes,
+with the overlap T that the least of the class needs; what reaches T is a link if it reaches the overlap of its own size.
 
 Hot shingles are summed up before they are shuffled, and their rows are spread over all tasks.
 """
@@ -36,16 +36,16 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlark.functions.joins import looked_up
-from gridlark.llm.tables import fold, keyed, slices, written
+from gridlark.llm.tables import fold, fresh, keyed, slices, written
 
 #: A link needs PERCENT * |A or B| <= 100 * |A and B|. The prefix reaches EXTRA percent of the set beyond the least.
 PERCENT, EXTRA = 80, 5
-#: Documents in a block, on average. Queries aren't held: they pass by.
-BLOCK = 64
+#: Documents in a hub's block, and shingles in a home, on average. Queries aren't held: they pass by.
+BLOCK, HOME = 64, 1 << 20
 #: By how much a class of sizes may exceed its least size, in percent.
 CLASS = 10
 #: Rounds of hubs at most, before homes are asked. More would only save work.
@@ -198,21 +198,24 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (home, asks, doc, shingles) sorted by home, its documents first, then its queries, to links (a, b)."""
-    home, index, sets, ids = None, None, [], []
+    """Rows (home, asks, doc, comp, shingles) sorted by home, its documents first, then its queries, to links (a, b): of a
+    query, one to each other component of its home that it links to."""
+    home, index, sets, ids, comps = None, None, [], [], []
     for batch in batches:
-        shingles, links = batch.column(3), []
+        shingles, links = batch.column(4), []
         flat, ends = shingles.values.to_numpy(zero_copy_only=False), shingles.offsets.to_numpy()
-        for k, (h, asks, doc) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
+        for k, (h, asks, doc, comp) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)):
             own = flat[ends[k] : ends[k + 1]]
             if h != home:
-                home, index, sets, ids = h, None, [], []
+                home, index, sets, ids, comps = h, None, [], [], []
             if not asks:
                 sets.append(own.copy())
                 ids.append(doc)
+                comps.append(comp)
                 continue
             index = index or Inverted(sets)
-            links += [(doc, ids[i]) for i in index.search(own) if ids[i] != doc]
+            found = {comps[i]: ids[i] for i in index.search(own) if comps[i] != comp}
+            links += [(doc, i) for i in found.values()]
         a, b = zip(*links, strict=True) if links else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -247,24 +250,25 @@ def _oriented(edges: DataFrame) -> DataFrame:
 
 
 def answered(homes: DataFrame, queries: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between ``queries`` (home, doc) and the documents of the same home in ``homes`` (home, doc)."""
-    rows = homes.select("home", F.lit(False).alias("asks"), "doc").unionByName(queries.select("home", F.lit(True).alias("asks"), "doc"))
-    rows = rows.join(sets, "doc").select("home", "asks", "doc", "shingles")
+    """Links (a, b) between ``queries`` (home, doc, comp) and the documents of the same home in ``homes`` (home, doc, comp)."""
+    rows = homes.select("home", F.lit(False).alias("asks"), "doc", "comp").unionByName(queries.select("home", F.lit(True).alias("asks"), "doc", "comp"))
+    rows = rows.join(sets, "doc").select("home", "asks", "doc", "comp", "shingles")
     return rows.repartition("home").sortWithinPartitions("home", "asks").mapInArrow(_blocks, "a long, b long")
 
 
-def parted(rows: DataFrame, by: str) -> DataFrame:
+def parted(rows: DataFrame, by: str, size: Column, most: int) -> DataFrame:
     """``rows`` (``by``, doc) with ``times``, their number with the same ``by``, and ``home``: the hash of ``by`` and of one of as
-    many parts as make ``BLOCK`` documents each. Hashes that clash would only make a larger block."""
-    times = written(rows.groupBy(by).agg(F.count(F.lit(1)).alias("times")), "ngram-parts")
-    rows = looked_up(rows, times, by, by, "times", "inner")
-    return rows.withColumn("home", F.xxhash64(by, F.pmod(F.xxhash64("doc"), F.ceil(F.col("times") / BLOCK))))
+    many parts as have about ``most`` of ``size`` each. Hashes that clash would only make a larger block."""
+    parts = written(rows.groupBy(by).agg(F.count(F.lit(1)).alias("times"), F.ceil(F.sum(size) / most).alias("_parts")), "ngram-parts")
+    rows = looked_up(rows, parts, by, by, "times", "inner")
+    return rows.withColumn("home", F.xxhash64(by, F.pmod(F.xxhash64("doc"), F.col("_parts")))).drop("_parts")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) among ``pairs`` (query, doc): the candidates of a query are its blocks."""
-    rows = parted(written(pairs, "ngram-asked"), "query")
-    return answered(rows.select("home", "doc"), rows.select("home", F.col("query").alias("doc")).distinct(), sets)
+    rows = parted(written(pairs, "ngram-asked"), "query", F.lit(1), BLOCK)
+    queries = rows.select("home", F.col("query").alias("doc"), F.col("query").alias("comp")).distinct()
+    return answered(rows.select("home", "doc", F.col("doc").alias("comp")), queries, sets)
 
 
 def fits(n: str, m: str):
@@ -280,9 +284,10 @@ def components(docs: DataFrame) -> DataFrame:
     that share an id are linked by their texts alone, repeated rows come out as often as they are, and a null id takes the
     component of its copies, if any. An empty table gives an empty result.
     """
-    rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "ngram-rows")
-    if rows is None:
+    made = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "ngram-rows")
+    if made is None:
         return linked(docs)
+    rows, _ = made
     found = linked(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_id")
     found = written(rows.select("_row", "doc_id").join(found, F.col("_row") == F.col("_id")).drop("_row", "_id"), "ngram-found")
     least = written(found.groupBy("component_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times")), "ngram-least")
@@ -353,7 +358,7 @@ def grown(comp: DataFrame, lists: DataFrame, sets: DataFrame) -> DataFrame:
         lists = written(looked_up(lists.select("shingle", "doc", "rest"), heads, "shingle", "shingle", "size", "inner"), "ngram-open")
         within = lists.join(sent(comp), "doc").groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
         within = within.groupBy("shingle").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("inside"))
-        # what is left to compare, as pairs of a list; none of them is made
+        # what is left to compare, as pairs of a list
         pairs, rows = within.agg(F.sum(F.col("size") * F.col("size") - F.col("inside")) / 2, F.sum("size")).first()
         if not rows:
             return comp
@@ -367,27 +372,47 @@ def grown(comp: DataFrame, lists: DataFrame, sets: DataFrame) -> DataFrame:
     return comp
 
 
-def asked_homes(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between documents of one list and of different components. ``lists``: (shingle, doc, size, comp, n, rest).
+def homes_of(lists: DataFrame) -> DataFrame:
+    """(doc, comp, n, times, home): one home for each document of ``lists`` (shingle, doc, size, comp, n).
 
-    Shingles are in one order in all sets, so where a pair's first common one stands, what is left on either side must reach
-    the overlap that the pair needs.
+    A component of at least ``BLOCK`` documents has homes of its own. Smaller ones live with others of their longest list, so
+    that a list of documents that don't link has few homes, not one for each of them.
     """
-    lists = written(lists.select("shingle", "doc", "size", "comp", "n", "rest"), "ngram-ends")
-    homes = written(parted(lists.select("comp", "doc").distinct(), "comp"), "ngram-homes")
-    own = lists.join(homes.select("doc", "home", "times"), "doc")
+    longest = F.max_by("shingle", F.struct("size", "shingle"))
+    comps = lists.groupBy("comp").agg(longest.alias("with"), F.count_distinct("doc").alias("many"))
+    comps = comps.select("comp", F.when(F.col("many") >= BLOCK, F.xxhash64(F.lit("comp"), "comp")).otherwise(F.xxhash64(F.lit("list"), "with")).alias("group"), "many")
+    docs = lists.groupBy("doc").agg(F.first("comp").alias("comp"), F.first("n").alias("n"))
+    docs = looked_up(written(docs, "ngram-docs"), written(comps, "ngram-groups"), "comp", "comp", "many", "inner").drop("many")
+    return written(parted(written(docs, "ngram-grouped"), "group", F.col("n"), HOME), "ngram-homes")
+
+
+def home_queries(lists: DataFrame, homes: DataFrame) -> DataFrame:
+    """(home, doc, comp): the homes that each document asks, for documents of one list and of different components.
+
+    Of two homes the one with fewer documents of its kind asks, and each asks itself. Shingles are in one order in all sets, so
+    where a pair's first common one stands, what is left on either side must reach the overlap that the pair needs.
+    """
+    own = lists.join(homes.select("doc", "home", F.struct("times", "home").alias("of")), "doc")
     there = own.groupBy("shingle", "home").agg(
-        F.first("size").alias("size"), F.first(F.struct("times", "comp")).alias("of"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("left")
-    )
+        F.first("size").alias("size"), F.first("of").alias("to"), F.min("comp").alias("low"), F.max("comp").alias("high"),
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("left"),
+    )
     # a large list is sent to its homes by several tasks
     salts = F.ceil(F.col("size") / SPREAD)
-    there = there.select(F.col("shingle").alias("s"), "home", "of", "least", "most", "left", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
-    asks = own.select("shingle", "doc", F.struct("times", "comp").alias("from"), "n", "rest", F.pmod(F.xxhash64("doc"), salts).alias("part"))
+    there = there.select(F.col("shingle").alias("s"), F.col("home").alias("at"), "to", "low", "high", "least", "most", "left", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    asks = own.select("shingle", "doc", "comp", "of", "n", "rest", F.pmod(F.xxhash64("doc"), salts).alias("part"))
     sizes = 100 * F.least("n", "most") >= PERCENT * F.greatest("n", "least")
     reach = (100 + PERCENT) * F.least("left", "rest") >= PERCENT * (F.col("n") + F.col("least"))
-    meet = (F.col("shingle") == F.col("s")) & (F.col("part") == F.col("salt")) & (F.col("from") < F.col("of")) & sizes & reach
-    queries = asks.join(there, meet).select("home", "doc").distinct()
-    return answered(homes, queries, sets)
+    others = (F.col("comp") != F.col("low")) | (F.col("comp") != F.col("high"))
+    meet = (F.col("shingle") == F.col("s")) & (F.col("part") == F.col("salt")) & (F.col("of") <= F.col("to")) & others & sizes & reach
+    return asks.join(there, meet).select(F.col("at").alias("home"), "doc", "comp").distinct()
+
+
+def asked_homes(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between documents of one list and of different components. ``lists``: (shingle, doc, size, comp, n, rest)."""
+    lists = written(lists.select("shingle", "doc", "size", "comp", "n", "rest"), "ngram-ends")
+    homes = homes_of(lists)
+    return answered(homes, home_queries(lists, homes), sets)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -395,20 +420,23 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Where ids are null or repeated each row is a document of its own, so rows that share an id but not a text are compared
     by their own texts. A row without an id stays unless its component has another: one with an id comes first. Rows
-    without words go only if they repeat an id that another row without words has.
+    without words go only if they repeat an id that another row without words has. All other columns come out as they are,
+    whatever their names.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = keyed(docs, "ngram-rows")
-    if rows is None:
-        ids = linked(docs).filter("component_id = doc_id").select(F.col("doc_id").alias("_id"))
-        return docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi").select(columns)
-    found = linked(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_id")
-    found = rows.select("_row", "doc_id").join(found, F.col("_row") == F.col("_id"))
+    made = keyed(docs, "ngram-rows")
+    key = fresh("_id", docs)
+    if made is None:
+        ids = linked(docs).filter("component_id = doc_id").select(F.col("doc_id").alias(key))
+        return docs.join(ids, F.col("doc_id") == F.col(key), "left_semi").select(columns)
+    rows, row = made
+    found = linked(rows.select(F.col(row).alias("doc_id"), "text")).withColumnRenamed("doc_id", "_id")
+    found = rows.select(F.col(row).alias("_row"), "doc_id").join(found, F.col("_row") == F.col("_id"))
     wordless = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
     group = F.when((F.col("n_shingles") > 0) | F.col("doc_id").isNull(), F.col("component_id"))
     first = F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
-    kept = found.groupBy(wordless.alias("wordless"), group.alias("group")).agg(first.alias("_id")).select("_id")
-    return rows.join(kept, rows["_row"] == kept["_id"], "left_semi").select(columns)
+    kept = found.groupBy(wordless.alias("wordless"), group.alias("group")).agg(first.alias(key)).select(key)
+    return rows.join(kept, F.col(row) == F.col(key), "left_semi").select(columns)
 
 
 #: DuckDB SQL for ``components`` over the table documents: shingles, pairs that share one, links, and what they reach.

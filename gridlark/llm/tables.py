@@ -47,10 +47,20 @@ def slices(batches, rows: int = 256):
             yield b.slice(start, rows)
 
 
-def keyed(docs: DataFrame, name: str) -> DataFrame | None:
-    """``docs`` with a number for each row in ``_row``, written; None if doc_id is one already: never null and never repeated."""
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, with as many low lines before it as make it no column of the frames."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def keyed(docs: DataFrame, name: str) -> tuple[DataFrame, str] | None:
+    """``docs`` with a number for each row, written, and that column's name, which ``docs`` doesn't have; None if doc_id is such a
+    number already: never null and never repeated."""
     worst = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.count_if(F.col("doc_id").isNull())).first()
-    return None if (worst[0] or 0) <= 1 and not worst[1] else written(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+    row = fresh("_row", docs)
+    return None if (worst[0] or 0) <= 1 and not worst[1] else (written(docs.withColumn(row, F.monotonically_increasing_id()), name), row)
 
 
 def crc_mod(column: str, modulus: int):

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -91,3 +92,43 @@ def test_a_weight_column(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, grade double")
     taken = {r.doc_id: r.taken for r in mixing.mix(df, factor=0.25, weight=F.col("grade")).collect()}
     assert len(taken) == 60 and sum(taken.values()) == 60 and sum(taken[i] for i in range(20)) == 60
+
+
+def test_clashing_names_come_out_as_they_are(spark):
+    """Also where ids are null or repeated, so that rows get a number of their own."""
+    names = ["doc_id", "source", "text", "_row", "_ID", "_copies", "_copy", "size", "key", "bucket", "n"]
+    for ids in (list(range(40)), [None, 1, 1, *range(3, 40)]):
+        rows = [(i, "s", f"one two {k}", k, -k, f"c{k}", k * 0.5, "z", k, k, "n") for k, i in enumerate(ids)]
+        df = spark.createDataFrame(rows, "doc_id long, source string, text string, _row long, _ID long, _copies string, _copy double, size string, key long, bucket long, n string")
+        got = mixing.mixed_documents(df, factor=1.0)
+        assert got.columns == names and sorted(map(tuple, got.collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_buckets_are_fine_for_all_weights(spark):
+    for weight in (None, 1e-5, 1e-12, 1.0, 1e6):
+        df = spark.range(20_000).selectExpr("id doc_id", "'s' source", "'w' text").withColumn("w", F.lit(weight).cast("double"))
+        most = mixing.sized(df, weight=F.col("w")).groupBy("bucket").count().agg(F.max("count")).first()[0]
+        assert most < 200  # one percent
+    keys = mixing.sized(df, weight=F.rand(1)).select("key", "bucket").orderBy("key").collect()
+    assert [r.bucket for r in keys] == sorted(r.bucket for r in keys)
+
+
+def test_weights_learned_from_labels(spark):
+    """On rows that the labels of weren't learned from, good texts weigh more."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghi") for _ in range(r.randrange(2, 9)))
+    good = lambda: " ".join(word() for _ in range(r.randrange(5, 80))).capitalize() + "."
+    bad = [lambda: " | ".join(word() for _ in range(20)), lambda: good().upper(), lambda: "\n".join(["the same line"] * 12), lambda: " ".join(word() + "***" for _ in range(30))]
+    data = [(i, "s", good() if i % 3 else bad[i % 4]()) for i in range(900)]
+    docs = spark.createDataFrame(data, "doc_id long, source string, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(900)] + [(5, None), (None, 1)], "doc_id long, quality int")
+    size = F.regexp_count("text", F.lit(mixing.WORD_PATTERN))
+    shaped = docs.withColumn("shape", mixing.shapes(F.col("text"), size))
+    found = shaped.select("doc_id", mixing.learned_weight(shaped, labels).alias("w")).filter(mixing.crc_mod("doc_id", 5) == 0).collect()
+    pairs = [(a.w, b.w) for a in found for b in found if a.doc_id % 3 and not b.doc_id % 3]
+    assert sum(a > b for a, b in pairs) > 0.99 * len(pairs) and all(0.01 <= x.w <= 1 for x in found)
+    taken = {x.doc_id: x.taken / x["size"] for x in mixing.mix(docs, factor=0.5, labels=labels).collect()}
+    mean = lambda kind: sum(v for i, v in taken.items() if (i % 3 > 0) == kind) / sum((i % 3 > 0) == kind for i in taken)
+    assert mean(True) > 4 * mean(False)
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert len({round(x.key * 2, 9) for x in mixing.sized(docs, labels=none).collect()}) > 800 and len(mixing.mix(docs, labels=none).collect()) == 900

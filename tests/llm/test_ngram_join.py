@@ -129,3 +129,39 @@ def test_repeated_and_missing_ids(spark):
     data = [(7, words("a")), (7, words("b")), (9, words("a")), (3, words("b") + " more"), (None, words("a")), (None, words("c")), (5, None), (5, ""), (None, None)]
     found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.components(spark.createDataFrame([(i, t, "x", 1) for i, t in data], DOCS)).collect()), key=str)
     assert found == sorted([(7, 26, 7), (7, 26, 3), (9, 26, 7), (3, 27, 3), (None, 26, 7), (None, 26, None), (5, 0, 5), (5, 0, 5), (None, 0, None)], key=str)
+
+
+def mosaic(n, seed=3):
+    """Documents of shared words, twenty passages in two versions each, and words of their own: few link, all share lists."""
+    r = random.Random(seed)
+    word = lambda: f"w{r.randrange(100_000)}"
+    shared = [word() for _ in range(100)]
+    passages = [[[word() for _ in range(10)] for _ in range(2)] for _ in range(20)]
+    return [(i, " ".join([*shared, *(w for p in passages for w in r.choice(p)), *(f"own{i}x{k}" for k in range(14))])) for i in range(n)]
+
+
+def test_links_of_a_mosaic(spark):
+    data = mosaic(150)
+    data += [(200 + k, data[k][1].replace(f"own{k}x3", "other")) for k in range(0, 40, 3)]
+    assert run(spark, data) == brute(data)
+
+
+def test_queries_grow_like_documents_that_share_lists(spark):
+    """Documents that don't link, each a component of its own, in lists of half of them each."""
+    asked = []
+    for n in (500, 1000, 2000, 4000):
+        r = random.Random(5)
+        rows = [(p * 2 + r.randrange(2), i) for i in range(n) for p in range(20)]
+        lists = spark.createDataFrame(rows, "shingle long, doc long").selectExpr("shingle", "doc", "doc comp", "300L n", "290L rest", f"{n // 2}L size")
+        homes = ngram_join.homes_of(lists)
+        assert homes.count() == n == homes.select("doc").distinct().count()
+        asked.append(ngram_join.home_queries(lists, homes).count())
+    assert all(b <= 2.5 * a for a, b in zip(asked, asked[1:], strict=False)) and asked[-1] < 8 * 4000
+
+
+def test_clashing_names_come_out_as_they_are(spark):
+    for ids in ([1, 2, 3], [None, 2, 2]):
+        rows = [(i, f"some words of number {k} that nobody shares", 10 * k, -k, "c", k) for k, i in enumerate(ids)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, _row long, _id long, __id string, component_id int")
+        got = ngram_join.one_of_each(df)
+        assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(rows, key=repr)
