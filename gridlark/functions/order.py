@@ -1,9 +1,10 @@
 """Positions, ranks, running totals and percentiles over a whole table, without sorting it in one task.
 
-Rows are dealt out by ranges of the order and sorted there, once, and written with their place (the range and the row in it).
-Counts of the ranges, a row each, then shift the places. Nothing is cached, and no window holds more than ``CHUNK`` rows of a
-table, but for windows over the ranges' or chunks' totals. A table whose files are no larger than a range is one range, so
-one window, and isn't written.
+Rows are dealt out by ranges of the order, shuffled once and sorted there; totals of the ranges, a row each, then shift what was
+counted within them. Rows are counted first, whatever the files' sizes say; up to ``ROWS`` of them are one range, so one window.
+For more, a sample of the order's columns says where ranges end: two jobs, which read these columns alone.
+The rest is lazy: the ends are a literal of the plan, which finds the same ranges whenever the table is read, so nothing of it is
+written or cached, and only the columns that are asked for are shuffled.
 """
 
 from __future__ import annotations
@@ -15,90 +16,122 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlark.functions.joins import looked_up
-from gridlark.sources.shared import input_bytes, written
-
-#: Bytes of input that are worth a range of their own, and that a range should have at most.
-LEAST_BYTES, RANGE_BYTES = 16 << 20, 64 << 20
-#: Bits of a place that number the rows of a range, and those that number the rows of a chunk.
-ROW_BITS, CHUNK_BITS = 33, 17
-CHUNK = 1 << CHUNK_BITS
-
-
-def ranges(df: DataFrame, parts: int | None = None) -> int:
-    """How many ranges ``df`` is dealt out to, by the size of what it reads."""
-    size, usual = input_bytes(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return parts or min(size // LEAST_BYTES + 1, max(usual, size // RANGE_BYTES + 1))
-
-
-def _placed(df: DataFrame, order: Sequence[Column], parts: int) -> DataFrame:
-    """``df`` in ranges of the order, written, with ``_place``: ascending in the order, with gaps between ranges. The order
-    should be of bare columns: a sort makes anything else anew whenever it compares two rows."""
-    return written(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), "ordered")
+from gridlark.functions.columns import quoted
+
+#: Rows of a range on average, sampled rows of each, and ranges at most.
+ROWS, SAMPLED, RANGES = 1 << 17, 16, 1 << 13
+#: A column, or a column and whether it descends. Nulls are the smallest. Columns are no sort orders themselves.
+Level = Column | tuple[Column, bool]
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def _not_before(keys: Sequence[str], down: Sequence[bool], end: Column) -> Column:
+    """Whether a row's keys are at or behind those of ``end`` in the order."""
+    out = F.lit(True)
+    for k, d in reversed(list(zip(keys, down, strict=True))):
+        a, b = (end[k], F.col(k)) if d else (F.col(k), end[k])
+        out = F.coalesce(a > b, a.isNotNull() & b.isNull()) | (F.col(k).eqNullSafe(end[k]) & out)
+    return out
+
+
+class Ranges:
+    """``df`` dealt out by ranges of an order. ``rows``: with the order's columns in ``keys`` and, if there are several ranges
+    (``many``), the number of its range in ``_range``, which ascends in the order. ``by``: the sort over ``keys``."""
+
+    def __init__(self, df: DataFrame, order: Sequence[Level], rows: int = ROWS, counted: DataFrame | None = None) -> None:
+        """``counted``: another table that has at least as many rows and is cheaper to count; then a range has ``rows`` of its."""
+        columns, down = zip(*(x if isinstance(x, tuple) else (x, False) for x in order), strict=True)
+        self.keys = [f"_by{i}" for i in range(len(columns))]
+        self.by = [F.desc(k) if d else F.asc(k) for k, d in zip(self.keys, down, strict=True)]
+        self.rows = df.withColumns(dict(zip(self.keys, columns, strict=True)))
+        n = (df if counted is None else counted).count()
+        parts = min(n // rows + 1, RANGES)
+        self.many = parts > 1
+        if not self.many:
+            return
+        drawn = self.rows.select(*self.keys).filter(F.rand(len(self.keys)) < SAMPLED * parts / n)
+        drawn = drawn.withColumn("_nth", F.row_number().over(Window.orderBy(*self.by)))  # SAMPLED rows a range
+        ends = F.array_sort(F.collect_list(F.struct("_nth", *self.keys)))
+        text, size = drawn.filter(F.col("_nth") % SAMPLED == 0).agg(F.to_json(ends, _EXACT), F.count(F.lit(1))).first()
+        kind = ", ".join(f"{k}: {t}" for k, t in self.rows.select(*self.keys).dtypes)
+        ends = F.from_json(F.lit(text), f"array<struct<{kind}>>", _EXACT)
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, size.bit_length())))])
+        halve = lambda at, step: F.when((at + step <= size) & _not_before(self.keys, down, F.get(ends, at + step - 1)), at + step).otherwise(at)
+        self.rows = self.rows.withColumn("_range", F.aggregate(steps, F.lit(0), halve))
+
+    def shifts(self, totals: DataFrame, value: str) -> DataFrame:
+        """(_range, _shift): what ``totals`` (_range, ``value``) sums up to before each range."""
+        return totals.select("_range", F.coalesce(F.sum(value).over(_before("_range")), F.lit(0)).alias("_shift"))
+
+    def window(self) -> Window:
+        return Window.partitionBy("_range").orderBy(*self.by)
 
 
 def _before(*by: Column | str) -> Window:
     return Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def numbered(df: DataFrame, order: Sequence[Column], name: str = "pos", parts: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[Level], name: str = "pos", rows: int = ROWS) -> DataFrame:
     """``df`` with each row's position in ``order``, from 1. The order should have no ties."""
-    if (parts := ranges(df, parts)) == 1:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
-    rows = _placed(df, order, parts)
-    part = F.shiftright("_place", ROW_BITS)
-    counts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    shift = counts.select("_part", F.coalesce(F.sum("_n").over(_before("_part")), F.lit(0)).alias("_shift"))
-    out = rows.withColumn("_part", part).join(F.broadcast(shift), "_part")  # a row per range
-    place = F.col("_place").bitwiseAND(F.lit((1 << ROW_BITS) - 1)) + F.col("_shift") + 1
-    return out.withColumn(name, place.cast("long")).drop("_part", "_place", "_shift")
-
-
-def running(df: DataFrame, order: Sequence[Column], value: Column, name: str, parts: int | None = None) -> DataFrame:
-    """``df`` with the total of ``value`` over the rows before each row."""
-    if (parts := ranges(df, parts)) == 1:
-        return df.withColumn(name, F.coalesce(F.sum(value).over(_before(*order)), F.lit(0)))
-    rows = _placed(df, order, parts).withColumn("_chunk", F.shiftright("_place", CHUNK_BITS))
-    sums = rows.groupBy("_chunk").agg(F.sum(value).alias("_sum"))
-    shift = sums.select(F.col("_chunk").alias("_in"), F.coalesce(F.sum("_sum").over(_before("_chunk")), F.lit(0)).alias("_shift"))
-    within = Window.partitionBy("_chunk").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn(name, F.coalesce(F.sum(value).over(within), F.lit(0))).join(shift, F.col("_chunk") == F.col("_in"))
-    return out.withColumn(name, F.col(name) + F.col("_shift")).drop("_chunk", "_in", "_place", "_shift")
-
-
-def ranked(df: DataFrame, value: Column, name: str, parts: int | None = None, base: DataFrame | None = None, of: Column | None = None) -> DataFrame:
+    dealt = Ranges(df, order, rows)
+    own = [quoted(c) for c in df.columns if c != name]
+    if not dealt.many:
+        return dealt.rows.select(*own, F.row_number().over(Window.orderBy(*dealt.by)).cast("long").alias(name))
+    counts = dealt.rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    out = dealt.rows.withColumn("_at", F.row_number().over(dealt.window())).join(F.broadcast(dealt.shifts(counts, "_n")), "_range")  # a row per range
+    return out.select(*own, (F.col("_at") + F.col("_shift")).cast("long").alias(name))
+
+
+def running(df: DataFrame, order: Sequence[Level], value: Column, name: str, rows: int = ROWS, counted: DataFrame | None = None) -> DataFrame:
+    """``df`` with the total of ``value`` over the rows before each row. ``counted``: see ``Ranges``."""
+    dealt = Ranges(df.withColumn("_value", value), order, rows, counted)
+    own = [quoted(c) for c in df.columns if c != name]
+    if not dealt.many:
+        return dealt.rows.select(*own, F.coalesce(F.sum("_value").over(_before(*dealt.by)), F.lit(0)).alias(name))
+    sums = dealt.rows.groupBy("_range").agg(F.sum("_value").alias("_sum"))
+    within = F.coalesce(F.sum("_value").over(dealt.window().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = dealt.rows.withColumn("_within", within).join(F.broadcast(dealt.shifts(sums, "_sum")), "_range")  # a row per range
+    return out.select(*own, (F.col("_within") + F.col("_shift")).alias(name))
+
+
+def ranked(df: DataFrame, value: Column, name: str, base: DataFrame | None = None, of: Column | None = None, rows: int = ROWS) -> DataFrame:
     """``df`` with the competition rank (1, 2, 2, 4) of ``value``, largest first; 0 for null. With ``base``, the rank among
-    its values ``of``, and 0 for values that it doesn't have."""
-    counts = (df if base is None else base).groupBy((value if of is None else of).alias("_of")).agg(F.count(F.lit(1)).alias("_count")).filter("_of is not null")
-    ranks = written(running(counts, [F.col("_of").desc()], F.col("_count"), "_before", parts), "ranks")
-    out = looked_up(df.withColumn("_value", value), ranks, "_value", "_of", "_count")
-    return out.withColumn(name, F.coalesce(F.col("_before") + 1, F.lit(0)).cast("double")).drop("_value", "_count", "_before")
+    its values ``of``, and 0 for values that it doesn't have.
+
+    Equal values are counted first, so that a common one is a row of the ranges. Ranks then come back by a join, whose skewed
+    partitions Spark splits as it runs.
+    """
+    every = df if base is None else base
+    counts = every.groupBy((value if of is None else of).alias("_of")).agg(F.count(F.lit(1)).alias("_count")).filter("_of is not null")
+    ranks = running(counts, [(F.col("_of"), True)], F.col("_count"), "_larger", rows, every).select("_of", "_larger")
+    out = df.withColumn("_ranked", value).join(ranks, F.col("_ranked") == F.col("_of"), "left")
+    return out.select(*[quoted(c) for c in df.columns if c != name], F.coalesce(F.col("_larger") + 1, F.lit(0)).cast("double").alias(name))
 
 
-def quantiles(df: DataFrame, value: Column, shares: Sequence[float], by: Sequence[Column] = (), parts: int | None = None) -> DataFrame:
+def quantiles(df: DataFrame, value: Column, shares: Sequence[float], by: Sequence[Column] = (), rows: int = ROWS) -> DataFrame:
     """(``_key0``.., q) for each group of ``by``, or for all rows: the values at ``shares``, from 0 to 1, of the way through the
     group, between neighbours in proportion; null where the group has no value.
 
-    Equal values are counted. The counts are ordered and added up by chunks; only chunks in which a share lies are looked into.
+    Equal values are counted. The counts are dealt out by ranges and added up; only ranges in which a share lies are looked into.
     """
     keys = [f"_key{i}" for i in range(len(by))]
     counts = df.select(*[b.alias(k) for b, k in zip(by, keys, strict=True)], value.alias("_v")).groupBy(*keys, "_v").agg(F.count("_v").alias("_n"))
+    dealt = Ranges(counts, [F.col(c) for c in (*keys, "_v")], rows, df)
     places = [F.lit(float(p)) * (F.col("_all") - 1) for p in shares]
     ends = [f(r) for r in places for f in (F.floor, F.ceil)]
     inside = lambda first, n: [(first <= e) & (e < first + n) for e in ends]
     sum_before = lambda c, own, by: F.coalesce(F.sum(c).over(own.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = Window.partitionBy(*keys)
-    if (parts := ranges(df, parts)) == 1:
-        rows = counts.withColumn("_first", sum_before("_n", own, "_v")).withColumn("_all", F.sum("_n").over(own.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    if dealt.many:
+        totals = dealt.rows.groupBy(*keys, "_range").agg(F.sum("_n").alias("_c"))
+        totals = totals.withColumn("_start", sum_before("_c", own, "_range")).withColumn("_all", F.sum("_c").over(own))
+        wanted = totals.filter(reduce(or_, inside(F.col("_start"), F.col("_c")), F.col("_all") == 0)).drop("_c")
+        wanted = wanted.withColumnsRenamed({k: f"_of{k}" for k in keys} | {"_range": "_of"})
+        found = dealt.rows.join(wanted, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in keys], F.col("_range") == F.col("_of")))
+        found = found.withColumn("_first", F.col("_start") + sum_before("_n", Window.partitionBy(*keys, "_range"), "_v"))
     else:
-        rows = _placed(counts, [F.col(c) for c in (*keys, "_v")], parts).withColumn("_chunk", F.shiftright("_place", CHUNK_BITS))
-        chunks = rows.groupBy(*keys, "_chunk").agg(F.sum("_n").alias("_c"))
-        chunks = chunks.withColumn("_start", sum_before("_c", own, "_chunk")).withColumn("_all", F.sum("_c").over(own))
-        wanted = chunks.filter(reduce(or_, inside(F.col("_start"), F.col("_c")), F.col("_all") == 0)).drop("_c")
-        wanted = wanted.withColumnsRenamed({k: f"_of{k}" for k in keys} | {"_chunk": "_of"})
-        rows = rows.join(wanted, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in keys], F.col("_chunk") == F.col("_of")))
-        rows = rows.withColumn("_first", F.col("_start") + sum_before("_n", Window.partitionBy(*keys, "_chunk"), "_place"))
-    found = [F.max(F.when(at, F.col("_v"))).alias(f"_e{i}") for i, at in enumerate(inside(F.col("_first"), F.col("_n")))]
-    out = rows.groupBy(*keys).agg(F.max("_all").alias("_all"), *found)
+        found = counts.withColumn("_first", sum_before("_n", own, "_v")).withColumn("_all", F.sum("_n").over(own.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    values = [F.max(F.when(at, F.col("_v"))).alias(f"_e{i}") for i, at in enumerate(inside(F.col("_first"), F.col("_n")))]
+    out = found.groupBy(*keys).agg(F.max("_all").alias("_all"), *values)
     between = lambda lo, hi, r: F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (r - F.floor(r)))
     return out.select(*keys, F.array(*[between(F.col(f"_e{2 * i}"), F.col(f"_e{2 * i + 1}"), r) for i, r in enumerate(places)]).alias("q"))

@@ -127,4 +127,4 @@ def donut(df: DataFrame, column: str, k: int = 8) -> DataFrame:
 def ranked_groups(df: DataFrame, by: str, y: str) -> DataFrame:
     """(key, y, place): groups by their sum, largest first."""
     sums = df.groupBy(text(df, required(df, by)).alias("key")).agg(F.sum(number(df, required(df, y))).alias("y"))
-    return numbered(sums, [F.desc("y"), F.asc("key")], "place")
+    return numbered(sums, [(F.col("y"), True), F.col("key")], "place")

@@ -128,7 +128,7 @@ def axis(df: DataFrame, spec: PivotSpec, side: str = "row") -> DataFrame:
     totals = rows.groupBy(F.col(k).alias("key")).agg(_aggregate(df, spec.aggregates()[0], spec.value, numeric).alias("total"))
     by, down = sort.split("_")
     first = F.col("key" if by == "KEY" else "total")
-    return numbered(totals, [first.desc() if down == "DESC" else first.asc(), F.col("key")], "place")
+    return numbered(totals, [(first, down == "DESC"), F.col("key")], "place")
 
 
 def wide(df: DataFrame, spec: PivotSpec, keys: Sequence[str] | None = None) -> DataFrame:

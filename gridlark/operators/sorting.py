@@ -38,12 +38,17 @@ def order(df: DataFrame, spec: str, tie: str | None = None) -> list[Column]:
     return out + ([quoted(tie).asc()] if tie else [])
 
 
+def levels(df: DataFrame, spec: str, tie: str | None = None, back: bool = False) -> list[tuple[Column, bool]]:
+    """The sort's columns, each with whether it descends; ``back``: from the end."""
+    return [(k, down != back) for name, down in parse(df, spec) for k in keys(df, name)] + ([(quoted(tie), back)] if tie else [])
+
+
 def keyed(df: DataFrame, spec: str, tie: str | None = None, back: bool = False) -> tuple[DataFrame, list[Column], list[str]]:
     """``df`` with the sort's keys as columns, so that they are made once a row; the sort over them, ``back``: from the end;
     their names."""
-    levels = [(k, down != back) for name, down in parse(df, spec) for k in keys(df, name)] + ([(quoted(tie), back)] if tie else [])
-    made = {f"_key{i}": k for i, (k, _) in enumerate(levels)}
-    return df.withColumns(made) if made else df, [F.col(k).desc() if down else F.col(k).asc() for k, (_, down) in zip(made, levels, strict=True)], list(made)
+    by = levels(df, spec, tie, back)
+    made = {f"_key{i}": k for i, (k, _) in enumerate(by)}
+    return df.withColumns(made) if made else df, [F.col(k).desc() if down else F.col(k).asc() for k, (_, down) in zip(made, by, strict=True)], list(made)
 
 
 def sort(df: DataFrame, spec: str, tie: str | None = None) -> DataFrame:
@@ -53,8 +58,7 @@ def sort(df: DataFrame, spec: str, tie: str | None = None) -> DataFrame:
 
 def positions(df: DataFrame, spec: str, tie: str, name: str = "pos") -> DataFrame:
     """``df`` with each row's place in the sort, from 1."""
-    rows, by, made = keyed(df, spec, tie)
-    return numbered(rows, by, name).drop(*made)
+    return numbered(df, levels(df, spec, tie), name)
 
 
 #: Places up to which a sort with a limit serves; beyond it, rows are numbered by ranges.
