@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlark.functions.columns import quoted, required
-from gridlark.operators.sorting import keyed
+from gridlark.operators.sorting import keyed, parse
 
 
 def key(df: DataFrame, ref: str | int) -> str:
@@ -23,6 +23,10 @@ def key(df: DataFrame, ref: str | int) -> str:
 def dedup(df: DataFrame, by: Sequence[str | int] = (), keep: str = "first", tie: str | None = None, view: str = "", within: Column | None = None) -> DataFrame:
     """One row for each key. ``tie`` is the physical order, ``view`` a sort that goes before it; by default all columns but
     ``tie`` are the key. Only the first row of a key so far is kept in each task before rows are shuffled (window group limit)."""
+    if keep not in ("first", "last"):
+        raise ValueError(f"keep first or last, not {keep}")
+    if keep == "last" and not tie and not parse(df, view):
+        raise ValueError("the last row needs an order: a tie column or a sort")
     names = [key(df, x) for x in by] or [c for c in df.columns if c != tie]
     rows, by, made = keyed(df, view, tie, back=keep == "last")
     if not by:

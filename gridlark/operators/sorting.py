@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from gridlark.functions.columns import kind, quoted, resolve, text
 from gridlark.functions.numbers import full
 from gridlark.functions.order import numbered
+from gridlark.sources.shared import written
 
 
 def parse(df: DataFrame, spec: str) -> list[tuple[str, bool]]:
-    """``a asc, b desc`` as (column, descending); unknown columns are skipped."""
+    """``a asc, b desc`` as (column, descending); names may be in backticks, those with commas must; unknown ones are skipped."""
     levels = []
-    for part in spec.split(","):
+    for part in re.findall(r"(?:`[^`]*`|[^,`])+", spec):
         m = re.fullmatch(r"\s*`?(.+?)`?(?:\s+(asc|desc))?\s*", part, re.I)
         name = m and resolve(df, m[1])
         if name:
@@ -80,3 +81,28 @@ def go_to(df: DataFrame, spec: str, tie: str, row: int) -> DataFrame:
         return found.orderBy(F.desc("_pos")).limit(1).drop("_pos")
     rows, by, made = keyed(sort(df, spec, tie).limit(max(1, row)), spec, tie, back=True)
     return rows.orderBy(*by).limit(1).drop(*made)
+
+
+class OrderIndex:
+    """A sorted view that is kept: its rows with their places, written once, places ascending within each file. Pages and rows
+    are then found by the places' bounds in the files, so that little else is read."""
+
+    def __init__(self, df: DataFrame, spec: str, tie: str) -> None:
+        self.columns, self.tie = df.columns, tie
+        self.place = "_place"
+        while self.place in df.columns:
+            self.place = "_" + self.place
+        self.rows = written(positions(df, spec, tie, self.place), "order-index")
+
+    def page(self, start: int, size: int) -> DataFrame:
+        """``size`` rows from place ``start`` (0: the first), in order."""
+        return self.rows.filter(F.col(self.place).between(start + 1, start + size)).orderBy(self.place).drop(self.place)
+
+    def row(self, n: int) -> DataFrame:
+        """The row at a place, counted from 1; beyond the last the last one."""
+        found = self.rows.filter(F.col(self.place) == max(1, n))
+        return (found if found.head(1) else self.rows.orderBy(F.desc(self.place)).limit(1)).drop(self.place)
+
+    def place_of(self, key) -> DataFrame:
+        """(place) of the row with a tie value."""
+        return self.rows.filter(quoted(self.tie) == F.lit(key)).select(F.col(self.place).alias("place"))

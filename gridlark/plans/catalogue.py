@@ -16,7 +16,7 @@ from gridlark.functions.dates import formatted
 from gridlark.functions.order import numbered
 from gridlark.operators import dedup, edit, explore, filters, formulas, pivot, profile, sorting, stats
 from gridlark.operators.pivot import PivotSpec
-from gridlark.plans.view import View
+from gridlark.plans.view import View, ViewSpec
 from gridlark.sources import readers, writers
 from gridlark.sources.shared import new_path
 
@@ -139,14 +139,16 @@ def sort_multi_ranked(spark, d):
     return View(t(spark, d, "orders"), "o_orderkey").order("o_orderpriority, o_totalprice desc").positions().select("o_orderkey", "pos")
 
 
-MIXED = [(1, "10.5"), (2, "100"), (3, "apple"), (4, "Apple"), (5, "banana"), (6, ""), (7, "9"), (8, None), (9, "-3"), (10, "B2")]
-_MIXED_SQL = "(VALUES (1,'10.5'),(2,'100'),(3,'apple'),(4,'Apple'),(5,'banana'),(6,''),(7,'9'),(8,NULL),(9,'-3'),(10,'B2')) m(id, v)"
+_MIXED = "SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN p_name WHEN 2 THEN upper(p_name) WHEN 3 THEN '' WHEN 4 THEN NULL WHEN 5 THEN '-' || p_size ELSE p_size || '.5' END AS v FROM part"
 
 
-@query(f"""SELECT CAST(id AS BIGINT) AS id, row_number() OVER (ORDER BY CASE WHEN coalesce(v, '') = '' THEN 0 WHEN try_cast(v AS DOUBLE) IS NOT NULL THEN 1 ELSE 2 END,
-try_cast(v AS DOUBLE) NULLS FIRST, lower(v), id) AS pos FROM {_MIXED_SQL}""")
+@query(f"""SELECT id, row_number() OVER (ORDER BY CASE WHEN coalesce(v, '') = '' THEN 0 WHEN try_cast(v AS DOUBLE) IS NOT NULL THEN 1 ELSE 2 END,
+try_cast(v AS DOUBLE) NULLS FIRST, lower(coalesce(v, '')), id) AS pos FROM ({_MIXED})""")
 def sort_mixed_case(spark, d):
-    return sorting.positions(spark.createDataFrame(MIXED, "id long, v string"), "v", "id").select("id", "pos")
+    size, name = F.col("p_size").cast("string"), F.col("p_name")
+    cells = (size, name, F.upper(name), F.lit(""), F.lit(None), F.concat(F.lit("-"), size), F.concat(size, F.lit(".5")))
+    mixed = F.element_at(F.array(*cells), (F.col("p_partkey") % 7 + 1).cast("int"))
+    return sorting.positions(t(spark, d, "part").select(F.col("p_partkey").alias("id"), mixed.alias("v")), "v", "id").select("id", "pos")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 1 OFFSET 99")
@@ -333,13 +335,19 @@ def pivot_drilldown(spark, d):
     return pivot.drill_down(t(spark, d, "orders"), PivotSpec("o_orderdate", "o_orderstatus", date_group="year"), "1997", "F").select("o_orderkey")
 
 
-MONEY = [("a", "x", "$1 200"), ("a", "x", "1234,5"), ("a", "y", ""), ("b", "x", "-3.5 EUR"), ("b", "", "7"), ("", "y", "9"), ("b", "y", "n/a"), ("a", "y", None)]
+_WHOLE = "CAST(floor(o_totalprice) AS BIGINT)"
+_AMOUNT = f"CASE o_orderkey % 7 WHEN 0 THEN 0.0 WHEN 1 THEN 0.0 WHEN 2 THEN -{_WHOLE} WHEN 3 THEN {_WHOLE} + 0.5 ELSE {_WHOLE} END"
 
 
-@query("SELECT * FROM (VALUES ('a', 'x', 2434.5::DOUBLE, 1217.25::DOUBLE), ('a', 'y', 0, 0), ('b', 'x', -3.5, -3.5), ('b', 'y', 0, 0)) m(row_key, col_key, sum, avg)")
+@query(f"""SELECT o_orderstatus AS row_key, o_orderpriority AS col_key, sum(CAST({_AMOUNT} AS DOUBLE)) AS sum, round(avg(CAST({_AMOUNT} AS DOUBLE)), 4) AS avg
+FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY 1, 2""")
 def pivot_money(spark, d):
-    df = spark.createDataFrame(MONEY, "r string, c string, amount string")
-    return pivot.cells(df, PivotSpec("r", "c", "amount", "SUM+AVG", extra={"money": True}))
+    whole = F.floor("o_totalprice").cast("string")
+    grouped = F.regexp_replace(whole, r"(\d)(?=(\d{3})+$)", "$1 ")
+    cells = (F.lit(""), F.lit("n/a"), F.concat(F.lit("-"), whole, F.lit(" EUR")), F.concat(whole, F.lit(",5")), F.concat(F.lit("$"), grouped), whole, F.concat(grouped, F.lit(" $")))
+    amount = F.element_at(F.array(*cells), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    df = t(spark, d, "orders").select(F.when(F.col("o_orderkey") % 11 == 0, "").otherwise(F.col("o_orderstatus")).alias("r"), F.col("o_orderpriority").alias("c"), amount.alias("amount"))
+    return rounded(pivot.cells(df, PivotSpec("r", "c", "amount", "SUM+AVG", extra={"money": True})), avg=4)
 
 
 @query("SELECT l_linestatus AS series, l_returnflag AS x, round(sum(l_quantity), 2) AS y FROM lineitem GROUP BY 1, 2")
@@ -551,11 +559,30 @@ def ndjson_rows(spark, d):
     return made.select(F.get_json_object("value", "$.n_nationkey").cast("int").alias("n_nationkey"), "value")
 
 
-@query("SELECT * FROM (VALUES ('date', 'date'), ('money', 'number'), ('name', 'text'), ('zip', 'text'), ('blank', 'text')) m(\"column\", type)")
+#: Text cells of orders: dates with gaps, numbers with a comma, keys with leading zeros, one number in five spoiled, nothing.
+_CELLS = """SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'NA' WHEN o_orderkey % 97 = 1 THEN 'soon' ELSE strftime(o_orderdate, '%d.%m.%Y') END AS day,
+CASE WHEN o_orderkey % 89 = 1 THEN 'many' ELSE replace(CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || '.5', '.', ',') END AS price, '00' || o_custkey AS zip,
+CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE '' END || o_orderkey AS spoiled, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'NA' ELSE '-' END AS blank, o_orderpriority AS name FROM orders"""
+
+
+def _text_cells(spark: SparkSession, d: str) -> DataFrame:
+    at = lambda n, k: F.col("o_orderkey") % n == k
+    return t(spark, d, "orders").select(
+        F.when(at(50, 0), "NA").when(at(97, 1), "soon").otherwise(F.date_format("o_orderdate", "dd.MM.yyyy")).alias("day"),
+        F.when(at(89, 1), "many").otherwise(F.concat(F.floor("o_totalprice").cast("string"), F.lit(",5"))).alias("price"),
+        F.concat(F.lit("00"), F.col("o_custkey").cast("string")).alias("zip"),
+        F.concat(F.when(at(5, 0), "x").otherwise(""), F.col("o_orderkey").cast("string")).alias("spoiled"),
+        F.when(at(3, 0), "").when(at(3, 1), "NA").otherwise("-").alias("blank"),
+        F.col("o_orderpriority").alias("name"),
+    )
+
+
+@query(f"""WITH cells AS (SELECT unnest(['day', 'price', 'zip', 'spoiled', 'blank', 'name']) AS "column", unnest([day, price, zip, spoiled, blank, name]) AS v FROM ({_CELLS})),
+shares AS (SELECT "column", count(*) FILTER (v NOT IN ('', 'NA', '-')) AS n, count(*) FILTER (regexp_full_match(v, '[0-9]{{2}}\\.[0-9]{{2}}\\.[0-9]{{4}}')) AS dates,
+count(*) FILTER (regexp_full_match(v, '[0-9]+(,[0-9]+)?') AND NOT regexp_matches(v, '^0[0-9]')) AS numbers FROM cells GROUP BY 1)
+SELECT "column", CASE WHEN n = 0 THEN 'text' WHEN dates >= 0.9 * n THEN 'date' WHEN numbers >= 0.9 * n THEN 'number' ELSE 'text' END AS type FROM shares""")
 def type_inference(spark, d):
-    rows = [("2024-01-02", "12,5", "a", "00123", ""), ("2024-01-03 10:00:00", "7", "1", "04567", "NA"), ("NA", "-3.25", "b", "99999", "-")]
-    kinds = readers.infer_types(spark.createDataFrame(rows, "date string, money string, name string, zip string, blank string"))
-    return spark.createDataFrame(list(kinds.items()), "column string, type string")
+    return spark.createDataFrame(list(readers.infer_types(_text_cells(spark, d)).items()), "column string, type string")
 
 
 @query("SELECT o_orderkey, CAST(CAST(round(CAST(o_totalprice AS DECIMAL(18, 2)), 1) AS DECIMAL(18, 1)) AS VARCHAR) AS price, strftime(o_orderdate, '%d.%m.%Y') AS day FROM orders")
@@ -578,21 +605,45 @@ def bookmarks(spark, d):
 # --------------------------------------------------------------------------------------------------------------- files
 
 
-@query("""SELECT p_partkey, p_name, p_size, p_retailprice, 'say "' || p_name || '", ' || p_brand AS note, row_number() OVER (ORDER BY p_partkey) AS pos FROM part""")
+_NOTE = """CASE p_partkey % 5 WHEN 0 THEN 'say "' || p_name || '", ' || p_brand WHEN 1 THEN '  ' || p_name || ' ' WHEN 2 THEN '' WHEN 3 THEN NULL ELSE ' ' END"""
+
+
+@query(f"SELECT p_partkey, p_name, p_size, p_retailprice, {_NOTE} AS note, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part")
 def csv_roundtrip(spark, d):
-    part = t(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice", F.concat(F.lit('say "'), "p_name", F.lit('", '), "p_brand").alias("note"))
+    """Quotes, delimiters, blanks at the ends, empty and missing cells come back, in the order in which they were written."""
+    notes = (F.concat(F.lit('say "'), "p_name", F.lit('", '), "p_brand"), F.concat(F.lit("  "), "p_name", F.lit(" ")), F.lit(""), F.lit(None), F.lit(" "))
+    part = t(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice", F.element_at(F.array(*notes), (F.col("p_partkey") % 5 + 1).cast("int")).alias("note"))
     path = new_path(spark, "part.csv")
-    writers.write(part.orderBy("p_partkey").coalesce(1), path)
-    back = numbered(readers.read(spark, path, row_id=True), [F.col(readers.ROW_ID)])
-    return back.select(F.col("p_partkey").cast("long"), "p_name", F.col("p_size").cast("int"), F.col("p_retailprice").cast("double"), "note", "pos")
+    writers.write(part.orderBy("p_partkey"), path)
+    back = readers.read(spark, path, row_id=True)
+    return back.select(F.col("p_partkey").cast("long"), "p_name", F.col("p_size").cast("int"), F.col("p_retailprice").cast("double"), "note", F.col(readers.ROW_ID).cast("long").alias("pos"))
+
+
+@query("SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderkey % 4 = 3, o_orderkey) - 1 AS pos FROM orders")
+def physical_order(spark, d):
+    """Two files of unlike size, which Spark would read the larger first: rows by file name, then line."""
+    orders, folder = t(spark, d, "orders").select("o_orderkey", "o_orderpriority"), new_path(spark, "parts")
+    for name, small in (("a.csv", False), ("b.csv", True)):
+        writers.write(orders.filter((F.col("o_orderkey") % 4 == 3) == small).orderBy("o_orderkey"), f"{folder}/{name}")
+    back = readers.read_delimited(spark, f"{folder}/*", row_id=True)
+    return back.select(F.col("o_orderkey").cast("long"), "o_orderpriority", F.col(readers.ROW_ID).cast("long").alias("pos"))
+
+
+@query("""SELECT p_partkey, '{"p_partkey":' || p_partkey || ',"size":' || p_size || ',"code":"0' || p_size || '","flag":' || CASE p_partkey % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN 'null' ELSE '"' || p_brand || '"' END || '}' AS value FROM part""")
+def ndjson_of_text_cells(spark, d):
+    """A table of text cells, as a CSV file gives them, to JSON lines: numbers, true, false and null are bare."""
+    flag = F.element_at(F.array(F.lit("true"), F.lit("false"), F.lit("null"), F.col("p_brand")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    cells = t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("p_partkey"), F.col("p_size").cast("string").alias("size"), F.concat(F.lit("0"), "p_size").alias("code"), flag.alias("flag"))
+    path = new_path(spark, "part.ndjson")
+    writers.write(cells, path)
+    return spark.read.text(path).select(F.get_json_object("value", "$.p_partkey").cast("long").alias("p_partkey"), "value")
 
 
 @query("SELECT event_id, event_type, value, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 997 = 5 THEN 'late' END AS late FROM events")
 def ndjson_roundtrip(spark, d):
     events = t(spark, d, "events").select("event_id", "event_type", "value", "props", F.when(F.col("event_id") % 997 == 5, "late").alias("late"))
     path = new_path(spark, "events.ndjson")
-    # a missing cell has no key here, so that a key first occurs far from the head
-    events.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    writers.write(events, path)
     back = readers.read(spark, path, sep=";")
     return back.select(F.col("event_id").cast("long"), "event_type", F.col("value").cast("double"), F.from_json("props", "map<string,string>")["k"].cast("long").alias("k"), "late")
 
@@ -632,10 +683,9 @@ def parquet_row_ids(spark, d):
     return numbered(readers.read(spark, f"{d}/part.parquet", row_id=True), [F.col(readers.ROW_ID)]).select("p_partkey", "pos")
 
 
-@query("SELECT * FROM (VALUES ('d', CAST(1 AS BIGINT)), ('n', CAST(1 AS BIGINT))) m(\"column\", misfits)")
+@query(f"""SELECT 'day' AS "column", count(*) FILTER (day = 'soon') AS misfits FROM ({_CELLS}) UNION ALL SELECT 'price', count(*) FILTER (price = 'many') FROM ({_CELLS})""")
 def type_misfits(spark, d):
-    rows = [(f"2024-01-{i:02d}", str(i), "x") for i in range(10, 29)] + [("soon", "many", "1"), ("NA", "", "2")]
-    df = spark.createDataFrame(rows, "d string, n string, s string")
+    df = _text_cells(spark, d)
     return readers.misfits(df, readers.infer_types(df))
 
 
@@ -707,3 +757,76 @@ def far_page(spark, d):
 def cf_rank_hot(spark, d):
     price = F.when(F.col("o_orderkey") % 3 == 1, F.lit(7.0)).when(F.col("o_orderkey") % 3 == 2, F.col("o_totalprice"))
     return formulas.compute(t(spark, d, "orders").select("o_orderkey", price.alias("p")), "r", "col_rank(p)").select("o_orderkey", "r")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders QUALIFY place BETWEEN 101 AND 140 OR place IN (300, 1200)")
+def indexed_pages(spark, d):
+    """Two pages and two rows of a view whose order is kept."""
+    index = View(t(spark, d, "orders"), "o_orderkey").order("o_totalprice desc").indexed()
+    found = index.page(100, 20).unionByName(index.page(120, 20)).unionByName(index.row(300)).unionByName(index.row(1200)).select("o_orderkey")
+    return found.join(index.rows.select("o_orderkey", F.col(index.place).alias("place")), "o_orderkey")
+
+
+# ------------------------------------------------------------------------------------------- text of cells and small helpers
+
+
+@query("""SELECT o_orderkey, replace(format('{:,}', x), ',', ' ') AS thousands, CASE WHEN x >= 1e6 THEN printf('%.1fM', x / 1e6) WHEN x >= 1e3 THEN printf('%.1fK', x / 1e3) ELSE CAST(x AS VARCHAR) END AS short,
+CASE WHEN o_orderkey % 2 = 0 THEN CAST(x // 2 AS VARCHAR) ELSE CAST(x // 2 AS VARCHAR) || '.5' END AS shown, CASE WHEN length(o_orderpriority) > 5 THEN o_orderpriority[1:5] || '...' ELSE o_orderpriority END AS cut
+FROM (SELECT *, CAST(floor(o_totalprice / 100) AS BIGINT) * 100 + 30 + o_orderkey % 2 AS x FROM orders)""")
+def shown_numbers(spark, d):
+    x = (F.floor(F.col("o_totalprice") / 100) * 100 + 30 + F.col("o_orderkey") % 2).cast("double")
+    orders = formulas.compute(t(spark, d, "orders").withColumn("x", x), "half", "x / 2")
+    return orders.select("o_orderkey", numbers.thousands(F.col("x")).alias("thousands"), numbers.short(F.col("x")).alias("short"), numbers.shown(F.col("half")).alias("shown"), numbers.truncated(F.col("o_orderpriority"), 5).alias("cut"))
+
+
+@query("SELECT min(o_orderkey) AS o_orderkey, o_custkey FROM orders GROUP BY o_custkey")
+def dedup_by_number(spark, d):
+    return dedup.dedup(t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), [2], tie="o_orderkey").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def view_reset(spark, d):
+    view = View(t(spark, d, "nation"), "n_nationkey").where("n_regionkey = 1").search("a").order("n_name desc").unique("n_regionkey")
+    return view.reset().df().select("n_nationkey", "n_name")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'F'")
+def saved_filter(spark, d):
+    """A filter that was saved with a view, read back and applied."""
+    orders = t(spark, d, "orders")
+    saved = View(orders, "o_orderkey").where("o_totalprice > 200000 AND o_orderstatus = F").save_filter().where("o_orderkey < 5").spec.dumps()
+    spec = ViewSpec.loads(saved)
+    return View(orders, "o_orderkey", spec).where(spec.saved_filters[0]).df().select("o_orderkey")
+
+
+@query("""SELECT row_number() OVER (ORDER BY p_partkey, "column") AS n, p_partkey AS key, "column", lead(p_partkey) OVER (ORDER BY p_partkey, "column") AS next_key
+FROM (SELECT p_partkey, 'p_brand' AS "column", p_brand AS v FROM part UNION ALL SELECT p_partkey, 'p_name', p_name FROM part UNION ALL SELECT p_partkey, 'p_type', p_type FROM part
+UNION ALL SELECT p_partkey, 'p_partkey', CAST(p_partkey AS VARCHAR) FROM part) WHERE contains(lower(v), '1')""")
+def next_hits(spark, d):
+    view = View(t(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey")
+    return view.numbered_hits("1").select("n", "key", "column", "next_key")
+
+
+def _text_file(rows: DataFrame, order: str, path: str) -> None:
+    """The lines (line) of a small table in their order, as one file."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "line"))), lambda x: x["line"]), "\n")
+    rows.agg(lines.alias("value")).write.text(path)
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, 'one' AS comments FROM nation")
+def sniffed_file(spark, d):
+    """A file of an unknown kind: a line of comment, and cells between semicolons."""
+    nation, path = t(spark, d, "nation"), new_path(spark, "nation.dat")
+    head = spark.range(1).selectExpr("-1 n", "'# one\nid;name' line")
+    _text_file(nation.select(F.col("n_nationkey").alias("n"), F.concat_ws(";", "n_nationkey", "n_name").alias("line")).unionByName(head), "n", path)
+    comment = readers.read_comments(spark, path).select(F.substring("text", 3, 10).alias("comments"))
+    return readers.read(spark, path, sniff=True, comments=True).crossJoin(F.broadcast(comment))  # one row
+
+
+@query("SELECT CAST(r_regionkey AS VARCHAR) AS id, r_name AS name FROM region")
+def declared_delimiter(spark, d):
+    """An ECSV file whose head names the delimiter."""
+    region, path = t(spark, d, "region"), new_path(spark, "region.ecsv")
+    head = spark.range(1).selectExpr("-1 n", "'# %ECSV 1.0\n# delimiter: ''|''\nid|name' line")
+    _text_file(region.select(F.col("r_regionkey").alias("n"), F.concat_ws("|", "r_regionkey", "r_name").alias("line")).unionByName(head), "n", path)
+    return readers.read(spark, path)

@@ -70,7 +70,7 @@ class View:
         """The column as another sort level, or its direction turned."""
         levels = dict((n, d) for n, d in sorting.parse(self.base, self.spec.sort))
         levels[required(self.base, column)] = not levels.get(required(self.base, column), True)
-        return self.order(", ".join(f"{n} {'desc' if d else 'asc'}" for n, d in levels.items()))
+        return self.order(", ".join(f"`{n}` {'desc' if d else 'asc'}" for n, d in levels.items()))
 
     def unique(self, *by: str, keep: str = "first") -> View:
         return self._with(dedup=tuple(by) or tuple(c for c in self.base.columns if c != self.tie), keep=keep)
@@ -102,6 +102,10 @@ class View:
     def positions(self) -> DataFrame:
         return sorting.positions(self.rows(), self.spec.sort, self.tie)
 
+    def indexed(self) -> sorting.OrderIndex:
+        """The view's order, kept: for many pages of it."""
+        return sorting.OrderIndex(self.rows(), self.spec.sort, self.tie)
+
     def row(self, n: int) -> DataFrame:
         return sorting.go_to(self.rows(), self.spec.sort, self.tie, n)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlark.functions.columns import clean_name, letter, quoted
@@ -18,6 +18,8 @@ SNIFFED = "\t|;,"
 MISSING = ("", "NA", "na", "N/A", "n/a", "null", "NULL", "-")
 DATE_PATTERNS = (r"^\d{4}-\d{2}-\d{2}([T ].*)?$", r"^\d{2}\.\d{2}\.\d{4}( .*)?$", r"^\d{2}/\d{2}/\d{4}( .*)?$", r"^\d{4}/\d{2}/\d{2}( .*)?$", r"^\d{4}-\d{2}$")
 ROW_ID = "_rid"
+#: What an unquoted empty cell is read as, before it becomes null: no text has it. A quoted one is the empty text.
+NOTHING = "\ufdd0"
 #: Lines whose keys come first, in their order.
 HEAD = 200
 
@@ -54,16 +56,16 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, heade
     """All cells as text. Quotes are doubled inside quotes, no cell spans lines, short rows are filled with nulls.
 
     Without a header the columns are A, B, ... ``comments`` skips lines that begin with #; by default if the first line does.
-    ``row_id`` adds the physical order in ``_rid``: of a single file, and of several in the order Spark reads them.
+    ``row_id`` adds the physical order in ``_rid``, from 0: by the files' names, then as the lines follow each other.
     """
     if comments is None:
         comments = any(x.startswith("#") for x in _head(spark, path, 1))
-    options = {"sep": delimiter(spark, path, sep, sniff), "quote": '"', "escape": '"', "header": header, "ignoreLeadingWhiteSpace": True, "multiLine": False, "mode": "PERMISSIVE"}
+    options = {"sep": delimiter(spark, path, sep, sniff), "quote": '"', "escape": '"', "header": header, "ignoreLeadingWhiteSpace": True, "multiLine": False, "mode": "PERMISSIVE", "nullValue": NOTHING}
     if comments:
         options["comment"] = "#"
     out = spark.read.options(**options).csv(path)
-    out = out.toDF(*[clean_name(c) for c in out.columns]) if header else out.toDF(*[letter(i) for i in range(len(out.columns))])
-    return numbered_rows(out, row_id)
+    names = [clean_name(c) for c in out.columns] if header else [letter(i) for i in range(len(out.columns))]
+    return numbered_rows(out, row_id, lambda df: df.select(*[quoted(c).alias(n) for c, n in zip(out.columns, names, strict=True)], *[c for c in df.columns if c == ROW_ID]))
 
 
 def read_comments(spark: SparkSession, path: str) -> DataFrame:
@@ -78,16 +80,29 @@ def read_json_lines(spark: SparkSession, path: str, row_id: bool = False) -> Dat
     found = lines.select(F.monotonically_increasing_id().alias("line"), F.posexplode(F.json_object_keys("value")).alias("at", "k"))
     first = found.groupBy("k").agg(F.min(F.struct("line", "at")).alias("first"))
     keys = [r["k"] for r in first.orderBy(F.when(F.col("first.line") < HEAD, F.col("first")).asc_nulls_last(), "k").collect()]
-    cells = lines.select(F.from_json("value", "map<string,string>").alias("m"))
-    return numbered_rows(cells.select(*[F.col("m")[k].alias(k) for k in keys]), row_id)
+    cells = lambda df: df.withColumn("_m", F.from_json("value", "map<string,string>")).select(*[F.col("_m")[k].alias(k) for k in keys], *[c for c in df.columns if c == ROW_ID])
+    return numbered_rows(lines, row_id, cells)
 
 
 def read_parquet(spark: SparkSession, path: str, row_id: bool = False) -> DataFrame:
     return numbered_rows(spark.read.parquet(path), row_id)
 
 
-def numbered_rows(df: DataFrame, row_id: bool) -> DataFrame:
-    return df.withColumn(ROW_ID, F.monotonically_increasing_id()) if row_id else df
+def numbered_rows(files: DataFrame, row_id: bool, made: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """``made`` of ``files``, which reads files and nothing else; with ``row_id`` also the place of each row in ``_rid``, from 0:
+    by the names of the files, then by the row's place in its file.
+
+    Rows of a split are read one after the other, so a row's place in its split is that of its running number behind the
+    split's first one. Splits are counted, a row each, and begin where those before them end. No row is sorted or shuffled.
+    """
+    if not row_id:
+        return made(files)
+    split = {"_path": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")}
+    rows = files.withColumns(split | {"_number": F.monotonically_increasing_id()})
+    splits = rows.groupBy("_path", "_block").agg(F.min("_number").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = rows.join(F.broadcast(splits.withColumn("_before", before).drop("_n")), ["_path", "_block"])  # a row per split of a file
+    return made(out.withColumn(ROW_ID, F.col("_number") - F.col("_first") + F.col("_before")).drop("_path", "_block", "_number", "_first", "_before"))
 
 
 READERS: dict[str, Callable[..., DataFrame]] = {

@@ -3,9 +3,12 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from gridlark import streaming
 from gridlark.operators import dedup, pivot, profile, sorting, stats
 from gridlark.operators.pivot import PivotSpec
+from gridlark.plans.view import View
 from gridlark.sources import readers, writers
 
 
@@ -144,3 +147,65 @@ def test_streams(spark, tmp_path):
     query = streaming.windowed(stream, "ts", "v").writeStream.format("memory").outputMode("append").queryName("windows").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert [(str(r.start.date()), r["count"], r["sum"]) for r in spark.table("windows").orderBy("start").collect()] == [("2024-01-01", 2, 7.0), ("2024-01-05", 1, 1.0)]
+
+
+def test_cells_come_back_as_they_were(spark, tmp_path):
+    cells = ["  a ", " ", "", None, "\t", 'q"', '"', '""', "a,b", "a|b", "a;b c", "#x", "é", "null", "\\", '\\"', "0 1"]
+    rows = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in cells for b in cells)]
+    df = spark.createDataFrame([(str(i), a, b) for i, a, b in rows], "`# id` string, `a, b` string, ` c` string").repartition(3)
+    for name in ("t.csv", "t.tsv", "t.psv", "t.txt"):
+        path = str(tmp_path / name)
+        writers.write(df, path)
+        back = readers.read(spark, path)
+        assert back.columns == ["# id", "a, b", "c"]  # names are trimmed
+        assert sorted((int(r[0]), r[1], r[2]) for r in back.collect()) == rows, name
+
+
+def test_line_ends_are_refused_and_empty_tables_keep_their_names(spark, tmp_path):
+    with pytest.raises(Exception, match="more than one line"):
+        writers.write(spark.createDataFrame([("x\ny",)], "c string"), str(tmp_path / "t.csv"))
+    writers.write(spark.createDataFrame([], "a string, b string"), str(tmp_path / "none.csv"))
+    back = readers.read(spark, str(tmp_path / "none.csv"))
+    assert back.columns == ["a", "b"] and back.count() == 0
+
+
+def test_rows_of_several_files_in_their_order(spark, tmp_path):
+    """Small files before large ones, large ones in several splits, whatever Spark packs together."""
+    for name, n in (("a", 3), ("b", 3000), ("c", 1), ("d", 700)):
+        (tmp_path / f"{name}.csv").write_text("id,v\n" + "".join(f"{name}{i},x\n" for i in range(n)))
+        (tmp_path / f"{name}.jsonl").write_text("".join('{"id": "%s%d"}\n' % (name, i) for i in range(n)))
+    want = [f"{name}{i}" for name, n in (("a", 3), ("b", 3000), ("c", 1), ("d", 700)) for i in range(n)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("2000", "9000", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            for end in ("csv", "jsonl"):
+                rows = (readers.read_delimited if end == "csv" else readers.read_json_lines)(spark, str(tmp_path / f"*.{end}"), row_id=True).select("id", readers.ROW_ID).collect()
+                assert {r[1]: r[0] for r in rows} == dict(enumerate(want))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_json_of_text_cells(spark):
+    df = spark.createDataFrame([("1.50", "true", "x\"y", None), ("-2e3", "null", "", "7"), ("007", "no", "ü\n", "8")], "n string, b string, s string, t string")
+    got = [r.value for r in writers.json_rows(df, {"n": "number", "b": "text", "s": "text", "t": "text"}).collect()]
+    assert got == ['{"n":1.50,"b":true,"s":"x\\"y","t":null}', '{"n":-2e3,"b":null,"s":"","t":"7"}', '{"n":"007","b":"no","s":"ü\\n","t":"8"}']
+
+
+def test_kept_order(spark, tmp_path):
+    df = spark.range(40_000).selectExpr("id", "id * 7919 % 40009 v", "'x' _place")
+    index = View(df, "id").order("v desc").indexed()
+    want = [r.id for r in df.orderBy(F.desc("v"), "id").collect()]
+    assert [r.id for r in index.page(39_000, 30).collect()] == want[39_000:39_030] and index.page(0, 5).columns == df.columns
+    assert index.row(5).first().id == want[4] and index.row(99_999).first().id == want[-1] and index.place_of(want[7]).first().place == 8
+    assert index.page(40_000, 5).count() == 0
+
+
+def test_orders_that_are_needed_and_names_with_commas(spark):
+    df = spark.createDataFrame([(1, 3), (2, 1), (3, 2)], "id int, `a, b` int")
+    assert [r.id for r in View(df, "id").toggled("a, b").df().collect()] == [2, 3, 1]
+    assert [r.id for r in View(df, "id").toggled("a, b").toggled("id").toggled("a, b").df().collect()] == [1, 3, 2]
+    with pytest.raises(ValueError, match="order"):
+        dedup.dedup(df, ["id"], "last")
+    with pytest.raises(ValueError, match="first or last"):
+        dedup.dedup(df, ["id"], "any", "id")
