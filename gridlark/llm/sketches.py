@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from gridlark.functions.order import running
 from gridlark.llm.tables import BLANKS, table, whole
 
-#: Bytes of text in a range: the least, the most, and the number of ranges up to which it is the least.
-LEAST_BYTES, MOST_BYTES, RANGES = 2 << 20, 64 << 20, 4_096
+#: Bytes of text in a range at least, and ranges at most: their first ids are literals of the plan.
+LEAST_BYTES, RANGES = 2 << 20, 1 << 14
 #: Hashes are in [0, 2**BITS).
 BITS = 48
 
@@ -74,10 +74,10 @@ def fingerprints(docs: DataFrame, k: int = 256, words: int = 5) -> DataFrame:
 
 
 def heads(docs: DataFrame) -> list[tuple[int, int]]:
-    """(key, tie) of the first row of each range of ``docs`` (key, tie, text): a row a range reaches the driver."""
+    """(key, tie) of the first row of each range of ``docs`` (key, tie, text): at most ``RANGES`` of them reach the driver."""
     sizes = docs.select("key", "tie", (F.octet_length(whole()) + 64).alias("size"))
     total = sizes.agg(F.sum("size")).first()[0] or 0
-    each = min(MOST_BYTES, max(LEAST_BYTES, total // RANGES))
+    each = max(LEAST_BYTES, total // RANGES + 1)
     if total <= each:
         first = sizes.agg(F.min(F.struct("key", "tie")).alias("head")).filter("head is not null")
     else:
