@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from gridlark.functions.columns import kind, quoted, required, text
 from gridlark.functions.dates import bucket, parsed
 from gridlark.functions.numbers import cleaned
 from gridlark.functions.order import numbered
+from gridlark.sources.shared import written
 
 TOTAL = "Total"
 AGGREGATES = ("COUNT", "UNIQUE COUNT", "SUM", "AVG", "MIN", "MAX")
@@ -100,12 +101,39 @@ def names(spec: PivotSpec) -> list[str]:
     return [x.lower().replace(" ", "_") for x in spec.aggregates()]
 
 
+def _parts(names: Sequence[str], number: str) -> dict[str, Column]:
+    """What a cell keeps of its rows for the aggregates, but for unique counts; parts of cells add up to those of totals."""
+    parts = {"_n": F.count(F.lit(1))}
+    if {"SUM", "AVG"} & set(names):
+        parts["_s"] = F.sum("_number")
+    return parts | {f"_{k.lower()}": (F.min if k == "MIN" else F.max)(number) for k in ("MIN", "MAX") if k in names}
+
+
+def _total(aggregate: str) -> Column:
+    """An aggregate from the parts of cells."""
+    n, s = F.sum("_n"), F.coalesce(F.sum("_s"), F.lit(0.0))
+    return {"COUNT": lambda: n, "SUM": lambda: s, "AVG": lambda: s / n, "MIN": lambda: F.min("_min"), "MAX": lambda: F.max("_max")}[aggregate]()
+
+
+def _cube(rows: DataFrame, *made: Column) -> DataFrame:
+    return rows.cube("row_key", "col_key").agg(F.grouping("row_key").alias("_r"), F.grouping("col_key").alias("_c"), *made)
+
+
 def long(df: DataFrame, spec: PivotSpec) -> DataFrame:
-    """(row_key, col_key, is_row_total, is_col_total, aggregates): a row for each cell and, re-aggregated from rows, each
-    total. Rows without a key have no part in it. Totals of a side are left out if ``spec`` doesn't have them."""
+    """(row_key, col_key, is_row_total, is_col_total, aggregates): a row for each cell and each total. Rows without a key have no
+    part in it. Totals of a side are left out if ``spec`` doesn't have them.
+
+    Rows are aggregated to cells once, and the cube is of the cells; that of unique counts is of the cells' distinct values.
+    """
     rows, numeric = _keyed(df, spec)
-    made = [_aggregate(df, k, spec.value, numeric).alias(n) for k, n in zip(spec.aggregates(), names(spec), strict=True)]
-    cube = rows.cube("row_key", "col_key").agg(F.grouping("row_key").alias("_r"), F.grouping("col_key").alias("_c"), *made)
+    of = dict(zip(names(spec), spec.aggregates(), strict=True))
+    added = {n: k for n, k in of.items() if k != "UNIQUE COUNT"}
+    own = rows.groupBy("row_key", "col_key").agg(*[x.alias(n) for n, x in _parts(list(added.values()), "_number" if numeric else "_text").items()])
+    cube = _cube(own, *[_total(k).alias(n) for n, k in added.items()])
+    if len(added) < len(of):
+        unique = _cube(rows.select("row_key", "col_key", "_text").distinct(), F.count_distinct("_text").alias("unique_count"))
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("row_key", "col_key", "_r", "_c")]
+        cube = cube.alias("a").join(unique.alias("b"), same).select("a.*", "b.unique_count")
     cube = cube.withColumn("is_row_total", F.col("_c") == 1).withColumn("is_col_total", F.col("_r") == 1)
     if not spec.row_totals:
         cube = cube.filter("not is_row_total")
@@ -123,12 +151,15 @@ def cells(df: DataFrame, spec: PivotSpec) -> DataFrame:
 
 def axis(df: DataFrame, spec: PivotSpec, side: str = "row") -> DataFrame:
     """(key, total, place): the keys of a side in its order, by key or by the total of the first aggregate."""
-    rows, numeric = _keyed(df, spec)
-    k, sort = ("row_key", spec.row_sort) if side == "row" else ("col_key", spec.column_sort)
-    totals = rows.groupBy(F.col(k).alias("key")).agg(_aggregate(df, spec.aggregates()[0], spec.value, numeric).alias("total"))
+    return _axis(long(df, replace(spec, row_totals=True, column_totals=True)), spec, side)
+
+
+def _axis(table: DataFrame, spec: PivotSpec, side: str) -> DataFrame:
+    """The axis from a long table with all totals: a side's are its keys."""
+    k, sort, total = ("row_key", spec.row_sort, "is_row_total and not is_col_total") if side == "row" else ("col_key", spec.column_sort, "is_col_total and not is_row_total")
+    totals = table.filter(total).select(F.col(k).alias("key"), F.col(names(spec)[0]).alias("total"))
     by, down = sort.split("_")
-    first = F.col("key" if by == "KEY" else "total")
-    return numbered(totals, [(first, down == "DESC"), F.col("key")], "place")
+    return numbered(totals, [(F.col("key" if by == "KEY" else "total"), down == "DESC"), F.col("key")], "place")
 
 
 def wide(df: DataFrame, spec: PivotSpec, keys: Sequence[str] | None = None) -> DataFrame:
@@ -136,15 +167,17 @@ def wide(df: DataFrame, spec: PivotSpec, keys: Sequence[str] | None = None) -> D
 
     ``keys`` fixes the columns; without it the column keys are read first, and more than ``WIDEST`` of them are an error: the
     long form has no such bound. Cells that don't exist are 0 for COUNT, SUM and AVG and null for MIN and MAX. The row order
-    is ``row_place``.
+    is ``row_place``. ``df`` is read once: cells and totals are written, and the axes are the totals.
     """
+    table = written(long(df, replace(spec, row_totals=True, column_totals=True)), "pivot")
     if keys is None:
-        keys = [r["key"] for r in axis(df, spec, "column").orderBy("place").limit(WIDEST + 1).collect()]
+        keys = [r["key"] for r in _axis(table, spec, "column").orderBy("place").limit(WIDEST + 1).collect()]
         if len(keys) > WIDEST:
             raise ValueError(f"more than {WIDEST} column keys: take long() or cells()")
     columns = [*keys, *([TOTAL] if spec.row_totals else [])]
-    table = long(df, spec)
-    out = table.groupBy("row_key", "is_col_total").pivot("col_key", columns).agg(*[F.first(n).alias(n) for n in names(spec)])
+    shown = table if spec.row_totals else table.filter("not is_row_total")
+    shown = shown if spec.column_totals else shown.filter("not is_col_total")
+    out = shown.groupBy("row_key", "is_col_total").pivot("col_key", columns).agg(*[F.first(n).alias(n) for n in names(spec)])
     single = len(names(spec)) == 1
     zero = {"count": F.lit(0), "sum": F.lit(0.0), "avg": F.lit(0.0), "unique_count": F.lit(0)}
     made = []
@@ -152,8 +185,8 @@ def wide(df: DataFrame, spec: PivotSpec, keys: Sequence[str] | None = None) -> D
         for n, agg in zip(names(spec), spec.aggregates(), strict=True):
             cell = quoted(c if single else f"{c}_{n}")
             made.append((F.coalesce(cell, zero[n]) if n in zero else cell).alias(c if single else f"{c}_{agg.replace(' ', '_')}"))
-    places = axis(df, spec).select(F.col("key").alias("row_key"), "place")
-    out = out.join(places, "row_key", "left")
+    places = _axis(table, spec, "row").select(F.col("key").alias("row_key"), F.lit(False).alias("is_col_total"), "place")
+    out = out.join(places, ["row_key", "is_col_total"], "left")
     return out.select("row_key", F.coalesce("place", F.lit(1 << 62)).alias("row_place"), *made)
 
 
