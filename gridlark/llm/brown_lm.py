@@ -11,8 +11,8 @@ the class of a bucket of word endings. The clustered vocabulary grows with the c
    word's neighbours by class and puts it where they are likeliest, given the class table of the sweep before (Uszkoreit and
    Brants 2008 move words in parallel likewise). Sweeps end when the mutual information no longer rises; the best stays.
 
-Of the vocabulary, nine bytes a clustered word (a 64-bit hash and its class) are held on the driver and in each task, the
-counts stay in Spark tables. Two clustered words would share a class unasked only if their hashes were equal.
+Of the vocabulary, nine bytes a clustered word (a 64-bit hash and its class; ``VOCABULARY`` words at most) are held on the driver
+and in each task, the counts stay in Spark tables. Two clustered words would share a class unasked only if their hashes were equal.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ from gridlark.llm.tables import crc_mod, fold, slices, written
 COMMON, HEADS, TAILS, CLASSES = 200_000, 512, 512, 64
 #: Occurrences from which on a word is assigned by its own neighbours; sweeps over all words at most.
 LEAST, SWEEPS = 3, 4
+#: Words that are assigned by their own neighbours at most, which bounds what is sent to all tasks: the commonest of them.
+VOCABULARY = 1 << 22
 #: Nats a pair of neighbours by which a sweep must raise the mutual information for another to follow.
 RISE = 0.02
 #: The end of a text, as a token: no word can be a blank.
@@ -171,8 +173,9 @@ def sent_to_all(df: DataFrame, value):
     return df.sparkSession.sparkContext.broadcast(value)
 
 
-def vocabulary(counts: DataFrame, least: int = LEAST) -> tuple[Units, np.ndarray]:
-    """The units of ``counts``, and of each unit its row in the driver's exchange: a head's, or that of its ending."""
+def vocabulary(counts: DataFrame, least: int = LEAST, most: int = VOCABULARY) -> tuple[Units, np.ndarray]:
+    """The units of ``counts``, and of each unit its row in the driver's exchange: a head's, or that of its ending. Words with
+    ``least`` occurrences are units; where there are more than ``most`` of them, the rarest of these are in their endings' buckets."""
     word = F.col("word") != F.lit(bytearray(END))
     best = [bytes(r["word"]) for r in counts.filter(word).orderBy(F.desc("n"), "word").limit(HEADS - 1).collect()]
     heads = digests([*best, END])
@@ -182,7 +185,7 @@ def vocabulary(counts: DataFrame, least: int = LEAST) -> tuple[Units, np.ndarray
             words = b.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array(digests(words)), pa.array([ending(w) for w in words], pa.int32())], names=["hash", "ending"])
 
-    rest = counts.filter(word & (F.col("n") >= least)).select("word").mapInArrow(hashed, "hash long, ending int").toArrow()
+    rest = commonest(counts.filter(word & (F.col("n") >= least)), most).select("word").mapInArrow(hashed, "hash long, ending int").toArrow()
     hashes, at = np.unique(np.concatenate([heads, rest.column("hash").to_numpy()]), return_index=True)
     row = np.concatenate([np.arange(len(best)), [HEADS - 1], HEADS + rest.column("ending").to_numpy()])[at]
     return Units(hashes), np.concatenate([row, HEADS + np.arange(TAILS)]).astype(np.int32)

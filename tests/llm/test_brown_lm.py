@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from gridlark.llm import brown_lm
-from gridlark.llm.tables import fold
+from gridlark.llm.tables import fold, written
 
 DOCS = "doc_id long, text string, n long, word string"
 
@@ -165,3 +165,41 @@ def test_scores_by_hand(spark):
             want += step(a, b)
         want += sum(math.log10((times[w] + 0.5) / (tokens[of[w]] + 0.5 * (types[of[w]] + 1))) for w in fold(t))
         assert abs(got[i] - want) < 1e-6, t
+
+
+def test_a_sweep_by_hand(spark):
+    """Neighbours by class, the class table and each unit's best class, made again in plain Python."""
+    r, classes = random.Random(4), 6
+    texts = [" ".join(f"w{int(r.random() ** 2 * 700)}" for _ in range(r.randrange(0, 60))) for _ in range(250)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    units, row = brown_lm.vocabulary(brown_lm.word_counts(df))
+    end = int(units.of([brown_lm.END])[0])
+    of = np.array([r.randrange(classes - 1) for _ in row], np.uint8)
+    of[end] = classes - 1
+    moving = row >= brown_lm.HEADS
+    assert moving.sum() > 100
+    pairs = written(brown_lm.unit_pairs(df, units), "pairs")
+    own = Counter(p for t in texts for c in [[end, *units.of(fold(t)).tolist(), end]] for p in zip(c, c[1:], strict=False))
+    between = np.zeros((classes, classes))
+    for (a, b), n in own.items():
+        between[of[a], of[b]] += n
+    assert (brown_lm.group_bigrams(pairs, of, classes) == between).all()
+    link = lambda c, d: math.log((between[c, d] + 0.5) / (sum(between[c]) + 0.5 * classes) / (sum(between[:, d]) + 0.5 * classes))
+    gain = {}
+    for (a, b), n in own.items():
+        for c in range(classes - 1):
+            if moving[a]:
+                gain[a, c] = gain.get((a, c), 0.0) + n * link(c, of[b])
+            if moving[b]:
+                gain[b, c] = gain.get((b, c), 0.0) + n * link(of[a], c)
+    found = brown_lm.best_classes(brown_lm.neighbours(pairs, of, moving, classes), between).to_pylist()
+    assert {x["unit"] for x in found} == {u for u, _ in gain}
+    for x in found:
+        assert gain[x["unit"], x["of"]] >= max(gain[x["unit"], c] for c in range(classes - 1)) - 1e-9
+
+
+def test_the_vocabulary_is_bounded(spark):
+    df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(2000) for _ in range(3 + (i % 4) ** 3)),)], "text string")
+    counts = brown_lm.word_counts(df)
+    every, few = brown_lm.vocabulary(counts)[1], brown_lm.vocabulary(counts, most=600)[1]
+    assert len(every) == 2000 + 1 + brown_lm.TAILS > len(few) and (few >= brown_lm.HEADS).sum() - brown_lm.TAILS <= 600
