@@ -46,6 +46,8 @@ from gridlark.llm.tables import fold, fresh, keyed, slices, written
 PERCENT, EXTRA = 80, 5
 #: Documents in a hub's block, and shingles in a home, on average. Queries aren't held: they pass by.
 BLOCK, HOME = 64, 1 << 20
+#: Queries that a task answers for a home at most, on average.
+ASKERS = 4096
 #: By how much a class of sizes may exceed its least size, in percent.
 CLASS = 10
 #: Rounds of hubs at most, before homes are asked. More would only save work.
@@ -378,11 +380,10 @@ def homes_of(lists: DataFrame) -> DataFrame:
     A component of at least ``BLOCK`` documents has homes of its own. Smaller ones live with others of their longest list, so
     that a list of documents that don't link has few homes, not one for each of them.
     """
-    longest = F.max_by("shingle", F.struct("size", "shingle"))
-    comps = lists.groupBy("comp").agg(longest.alias("with"), F.count_distinct("doc").alias("many"))
-    comps = comps.select("comp", F.when(F.col("many") >= BLOCK, F.xxhash64(F.lit("comp"), "comp")).otherwise(F.xxhash64(F.lit("list"), "with")).alias("group"), "many")
-    docs = lists.groupBy("doc").agg(F.first("comp").alias("comp"), F.first("n").alias("n"))
-    docs = looked_up(written(docs, "ngram-docs"), written(comps, "ngram-groups"), "comp", "comp", "many", "inner").drop("many")
+    docs = lists.groupBy("doc").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.max(F.struct("size", "shingle")).alias("longest"))
+    comps = docs.groupBy("comp").agg(F.count(F.lit(1)).alias("many"), F.max("longest").alias("with"))
+    group = F.when(F.col("many") >= BLOCK, F.xxhash64(F.lit("comp"), "comp")).otherwise(F.xxhash64(F.lit("list"), "with.shingle"))
+    docs = docs.join(comps.select("comp", group.alias("group")), "comp").select("doc", "comp", "n", "group")
     return written(parted(written(docs, "ngram-grouped"), "group", F.col("n"), HOME), "ngram-homes")
 
 
@@ -412,7 +413,19 @@ def asked_homes(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between documents of one list and of different components. ``lists``: (shingle, doc, size, comp, n, rest)."""
     lists = written(lists.select("shingle", "doc", "size", "comp", "n", "rest"), "ngram-ends")
     homes = homes_of(lists)
-    return answered(homes, home_queries(lists, homes), sets)
+    return answered(*shared_out(homes, home_queries(lists, homes)), sets)
+
+
+def shared_out(homes: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Homes and queries, with a copy of a home for each ``ASKERS`` queries, so that no task answers more for it being popular.
+    Homes that nobody asks go."""
+    queries = written(queries, "ngram-queries")
+    copies = F.ceil(F.count(F.lit(1)) / ASKERS).alias("copies")
+    copies = written(queries.groupBy("home").agg(copies, F.count(F.lit(1)).alias("times")), "ngram-copies")
+    copy = lambda k: F.xxhash64("home", k).alias("home")
+    homes = homes.join(copies, "home").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    queries = looked_up(queries, copies, "home", "home", "times", "inner")
+    return homes.select(copy("copy"), "doc", "comp"), queries.select(copy(F.pmod(F.xxhash64("doc"), F.col("copies"))), "doc", "comp")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

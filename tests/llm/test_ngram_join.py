@@ -146,6 +146,19 @@ def test_links_of_a_mosaic(spark):
     assert run(spark, data) == brute(data)
 
 
+def test_homes_that_many_ask_have_copies(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ASKERS", 10)
+    homes = spark.createDataFrame([(h, 100 * h + k, 100 * h + k) for h in range(3) for k in range(5)], "home long, doc long, comp long")
+    queries = spark.createDataFrame([(0, d, d) for d in range(1000, 1200)] + [(1, 7, 7)], "home long, doc long, comp long")
+    where, asked = ngram_join.shared_out(homes, queries)
+    per = {r.home: r["count"] for r in asked.groupBy("home").count().collect()}
+    assert sum(per.values()) == 201 and max(per.values()) < 40 and len(per) > 12
+    copies = {}
+    for r in where.collect():
+        copies.setdefault(r.home, set()).add(r.doc)
+    assert set(per) <= set(copies) and sorted(map(sorted, copies.values())) == [list(range(5))] * 20 + [list(range(100, 105))]
+
+
 def test_queries_grow_like_documents_that_share_lists(spark):
     """Documents that don't link, each a component of its own, in lists of half of them each."""
     asked = []
