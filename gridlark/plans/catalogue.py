@@ -830,3 +830,17 @@ def declared_delimiter(spark, d):
     head = spark.range(1).selectExpr("-1 n", "'# %ECSV 1.0\n# delimiter: ''|''\nid|name' line")
     _text_file(region.select(F.col("r_regionkey").alias("n"), F.concat_ws("|", "r_regionkey", "r_name").alias("line")).unionByName(head), "n", path)
     return readers.read(spark, path)
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN CAST(o_custkey AS DOUBLE) WHEN o_orderkey % 10 = 3 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
+CASE WHEN o_orderkey = 7 THEN NULL WHEN o_orderkey BETWEEN 20 AND 39 THEN 'edit ' || o_orderkey ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey <> 11""")
+def undo_edits(spark, d):
+    """Edits of many cells and of single ones, a deleted row, and the last two edits undone."""
+    orders = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    some = lambda k, value: orders.filter(F.col("o_orderkey") % 10 == k).select(F.col("o_orderkey").alias("key"), value.alias("value"))
+    log = edit.EditLog(orders, "o_orderkey").set_all(some(3, F.col("o_totalprice") + 1), "o_totalprice").set_all(some(0, F.lit(-1.0)), "o_totalprice")
+    log = log.set_all(some(0, F.col("o_custkey").cast("double")), "o_totalprice").delete(11).set(7, "o_orderstatus", "x").set(7, "o_orderstatus", None)
+    for k in range(20, 40):
+        log = log.set(k, "o_orderstatus", f"edit {k}")
+    log = log.delete(12).set_all(some(3, F.lit(0.0)), "o_totalprice").undo(2)
+    return log.df().select("o_orderkey", "o_totalprice", "o_orderstatus")

@@ -1,12 +1,13 @@
 import datetime as dt
 import os
+import random
 
 import pytest
 
 from pyspark.sql import functions as F
 
 from gridlark import streaming
-from gridlark.operators import dedup, pivot, profile, sorting, stats
+from gridlark.operators import dedup, edit, pivot, profile, sorting, stats
 from gridlark.operators.pivot import PivotSpec
 from gridlark.plans.view import View
 from gridlark.sources import readers, writers
@@ -209,3 +210,33 @@ def test_orders_that_are_needed_and_names_with_commas(spark):
         dedup.dedup(df, ["id"], "last")
     with pytest.raises(ValueError, match="first or last"):
         dedup.dedup(df, ["id"], "any", "id")
+
+
+def test_edit_log(spark):
+    """A thousand edits against a dict, versions back and forth, and a plan no deeper than that of one edit."""
+    r = random.Random(2)
+    base = [(i, i * 1.5, f"t{i}", None) for i in range(60)]
+    df = spark.createDataFrame(base, "id long, v double, `a, b` string, _key string")
+    log, states = edit.EditLog(df, "id"), [{x[0]: list(x) for x in base}]
+    for k in range(1000):
+        now, i = {a: list(b) for a, b in states[-1].items()}, r.randrange(70)
+        if r.random() < 0.01:
+            log = log.delete(i)
+            now.pop(i, None)
+        else:
+            column, value = r.choice([("v", float(k)), ("a, b", f"e{k}"), ("a, b", None), ("V", None), ("_key", "k")])
+            log = log.set(i, column, value)
+            if i in now:
+                now[i][["id", "v", "a, b", "_key"].index(column.lower())] = value
+        states.append(now)
+    rows = lambda log: {x[0]: list(x) for x in log.df().collect()}
+    assert rows(log) == states[-1] and log.df().columns == df.columns and log.df().dtypes == df.dtypes
+    for v in (0, 1, 500, 999):
+        assert rows(log.at(v)) == states[v]
+    assert rows(log.undo(3).redo(2)) == states[-2] and rows(log.undo(2000)) == states[0] and rows(log.redo(5)) == states[-1]
+    assert rows(log.undo(300).delete(5).undo()) == states[700] and log.undo(300).delete(5).redo(9).version == 701
+    nodes = lambda log: [x.strip(" +-:").split(" ")[0] for x in log.df()._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    one = edit.EditLog(df, "id").set(1, "v", 2).set(1, "a, b", "x").set(2, "_key", "y")
+    assert nodes(log) == nodes(one)
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        edit.EditLog(df, "id").set(1, "v", "no number").df().collect()
