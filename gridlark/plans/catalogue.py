@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlark import streaming
 from gridlark.functions import numbers
 from gridlark.functions.columns import quoted
 from gridlark.functions.dates import formatted
@@ -844,3 +845,31 @@ def undo_edits(spark, d):
         log = log.set(k, "o_orderstatus", f"edit {k}")
     log = log.delete(12).set_all(some(3, F.lit(0.0)), "o_totalprice").undo(2)
     return log.df().select("o_orderkey", "o_totalprice", "o_orderstatus")
+
+
+_PROFILED = "UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS nulls, '{kind}' AS type, {f"CAST(min({c}) AS DOUBLE)" if kind == "number" else "CAST(NULL AS DOUBLE)"} AS min,
+    {f"CAST(max({c}) AS DOUBLE)" if kind == "number" else "NULL"} AS max, {f"round(avg({c}), 4)" if kind == "number" else "NULL"} AS mean, {f"round(stddev_samp({c}), 4)" if kind == "number" else "NULL"} AS stddev, true AS near FROM customer """
+    for c, kind in (("c_custkey", "number"), ("c_name", "string"), ("c_nationkey", "number"), ("c_acctbal", "number"), ("c_mktsegment", "string"))
+)
+
+
+@query(_PROFILED)
+def profile_of_parts(spark, d):
+    """A profile by sketches, of three parts; ``near``: the distinct values are estimated to five percent."""
+    customer = t(spark, d, "customer")
+    found = profile.parts(customer.filter("c_custkey % 3 = 0")).unionByName(profile.parts(customer.filter("c_custkey % 3 = 1"))).unionByName(profile.parts(customer.filter("c_custkey % 3 = 2")))
+    out = profile.merged(found).alias("a").join(profile.profile(customer).select("column", F.col("n_unique").alias("exact")), "column")
+    near = F.abs(F.col("n_unique") - F.col("exact")) <= 0.05 * F.col("exact")
+    return rounded(out.select("column", "rows", "nulls", "type", "min", "max", "mean", "stddev", near.alias("near")), mean=4, stddev=4)
+
+
+@query("SELECT event_type AS value, count(*) AS count FROM events GROUP BY 1")
+def reloaded_frequencies(spark, d):
+    """The frequencies of a folder to which files are added; only new ones are read."""
+    events, folder, kept, state = t(spark, d, "events").select("event_id", "event_type"), *(new_path(spark, x) for x in ("arrivals", "counts", "state"))
+    for part in range(3):
+        events.filter(F.col("event_id") % 3 == part).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(events.schema).parquet(folder)
+        streaming.reload(stream, lambda new: stats.frequencies(new, "event_type").drop("pct"), kept, state)
+    return streaming.reloaded(spark, kept).groupBy("value").agg(F.sum("count").alias("count"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.functions.columns import quoted, required
@@ -26,3 +28,18 @@ def windowed(stream: DataFrame, time: str, value: str, length: str = "1 day", la
     rows = stream.withColumn("_time", quoted(at).cast("timestamp")).withWatermark("_time", lateness)
     out = rows.groupBy(F.window("_time", length)).agg(F.count(F.lit(1)).alias("count"), F.sum(number(stream, required(stream, value))).alias("sum"))
     return out.select(F.col("window.start").alias("start"), "count", "sum")
+
+
+def reload(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
+    """Takes up what is new in a folder since the last call: ``partial`` of each batch of new files is written to ``path``, and
+    what earlier calls have read isn't read again. A batch that is repeated after a failure replaces its own part."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        partial(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.trigger(availableNow=True).foreachBatch(add).option("checkpointLocation", checkpoint).start().awaitTermination()
+
+
+def reloaded(spark: SparkSession, path: str) -> DataFrame:
+    """The parts that ``reload`` has written, to be merged: counts by a sum, profiles by ``profile.merged``."""
+    return spark.read.parquet(path).drop("batch")

@@ -1,9 +1,11 @@
 import datetime as dt
 import os
 import random
+from functools import reduce
 
 import pytest
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark import streaming
@@ -240,3 +242,33 @@ def test_edit_log(spark):
     assert nodes(log) == nodes(one)
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         edit.EditLog(df, "id").set(1, "v", "no number").df().collect()
+
+
+def test_profiles_of_parts(spark):
+    """Parts with a large common offset, blanks, dates and nothing but blanks; any cut gives the whole table's profile."""
+    rows = [(i, 1e9 + i % 7, f"v{i % 500}" if i % 5 else " ", f"2024-0{1 + i % 9}-01", None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, x double, s string, day string, none string")
+    want = {r.column: r for r in profile.profile(df).collect()}
+    for cut in ([df], [df.filter("id < 10"), df.filter("id >= 10"), df.filter("id < 0")]):
+        got = {r.column: r for r in profile.merged(reduce(DataFrame.unionByName, map(profile.parts, cut))).collect()}
+        assert got.keys() == want.keys()
+        for c, r in got.items():
+            assert (r.rows, r.nulls, r.type, r.min, r.max) == (want[c].rows, want[c].nulls, want[c].type, want[c].min, want[c].max)
+            assert (r.stddev is None) == (want[c].stddev is None) and (r.stddev is None or abs(r.stddev - want[c].stddev) < 1e-6 and abs(r["mean"] - want[c]["mean"]) < 1e-3)
+            assert abs(r.n_unique - want[c].n_unique) <= 0.05 * want[c].n_unique
+
+
+def test_only_new_files_are_read(spark, tmp_path):
+    folder, kept, state, read = tmp_path / "in", str(tmp_path / "kept"), str(tmp_path / "state"), []
+    folder.mkdir()
+    for k, text in enumerate(("a\nb\n", "a\n", "c\nc\n")):
+        (folder / f"{k}.txt").write_text(text)
+
+        def partial(new):
+            read.append(new.count())
+            return stats.frequencies(new, "value").drop("pct")
+
+        streaming.reload(spark.readStream.text(str(folder)), partial, kept, state)
+        streaming.reload(spark.readStream.text(str(folder)), partial, kept, state)
+    found = streaming.reloaded(spark, kept).groupBy("value").agg(F.sum("count").alias("n"))
+    assert read == [2, 1, 2] and {(r.value, r.n) for r in found.collect()} == {("a", 2), ("b", 1), ("c", 2)}
