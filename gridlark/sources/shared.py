@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Of each application, the places it was given and hasn't cleared.
+_PATHS: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``. On a local master one of our own serves where it is unset; on a cluster, where
     each machine would have another, that is an error."""
@@ -25,11 +29,27 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A place in the shared folder that nothing else has, and that goes when the session's JVM ends."""
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}-{name}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    folder, where = _folder(spark, path)
+    folder.deleteOnExit(where)
+    _PATHS.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
+def _folder(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def cleared(spark: SparkSession) -> int:
+    """Deletes all tables that this application has written to the shared folder so far, and says how many there were. For
+    sessions that run long, between their jobs: DataFrames that read one of these tables can't be used any more."""
+    paths = _PATHS.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        folder, where = _folder(spark, path)
+        folder.delete(where, True)
+    return len(paths)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts its lineage and outlives lost executors."""
     path = new_path(df.sparkSession, name)

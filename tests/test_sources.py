@@ -12,7 +12,7 @@ from gridlark import streaming
 from gridlark.operators import dedup, edit, pivot, profile, sorting, stats
 from gridlark.operators.pivot import PivotSpec
 from gridlark.plans.view import View
-from gridlark.sources import readers, writers
+from gridlark.sources import readers, shared, writers
 
 
 def put(path, text):
@@ -272,3 +272,11 @@ def test_only_new_files_are_read(spark, tmp_path):
         streaming.reload(spark.readStream.text(str(folder)), partial, kept, state)
     found = streaming.reloaded(spark, kept).groupBy("value").agg(F.sum("count").alias("n"))
     assert read == [2, 1, 2] and {(r.value, r.n) for r in found.collect()} == {("a", 2), ("b", 1), ("c", 2)}
+
+
+def test_shared_tables_can_be_cleared(spark):
+    made = shared.written(spark.range(5).toDF("id"), "few")
+    path = made.inputFiles()[0].removeprefix("file:").rpartition("/")[0]
+    assert made.count() == 5 and os.path.isdir(path)
+    assert shared.cleared(spark) >= 1 and not os.path.exists(path) and shared.cleared(spark) == 0
+    assert shared.written(spark.range(2).toDF("id"), "few").count() == 2
