@@ -1,7 +1,7 @@
 """Positions, ranks, running totals and percentiles over a whole table, without sorting it in one task.
 
 Rows are dealt out by ranges of the order, shuffled once and sorted there; totals of the ranges, a row each, then shift what was
-counted within them. Rows are counted first, whatever the files' sizes say; up to ``ROWS`` of them are one range, so one window.
+counted within them. Rows are counted first, whatever the files' sizes say; up to ``ALONE`` of them are one range, so one window.
 For more, a sample of the order's columns says where ranges end: two jobs, which read these columns alone.
 The rest is lazy: the ends are a literal of the plan, which finds the same ranges whenever the table is read, so nothing of it is
 written or cached, and only the columns that are asked for are shuffled.
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from gridlark.functions.columns import quoted
 
-#: Rows of a range on average, sampled rows of each, and ranges at most.
-ROWS, SAMPLED, RANGES = 1 << 17, 16, 1 << 13
+#: Rows of a range on average, sampled rows of each, and ranges at most; rows up to which a window alone is quicker.
+ROWS, SAMPLED, RANGES, ALONE = 1 << 17, 16, 1 << 13, 1 << 20
 #: A column, or a column and whether it descends. Nulls are the smallest. Columns are no sort orders themselves.
 Level = Column | tuple[Column, bool]
 _EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
@@ -38,14 +38,15 @@ class Ranges:
     """``df`` dealt out by ranges of an order. ``rows``: with the order's columns in ``keys`` and, if there are several ranges
     (``many``), the number of its range in ``_range``, which ascends in the order. ``by``: the sort over ``keys``."""
 
-    def __init__(self, df: DataFrame, order: Sequence[Level], rows: int = ROWS, counted: DataFrame | None = None) -> None:
-        """``counted``: another table that has at least as many rows and is cheaper to count; then a range has ``rows`` of its."""
+    def __init__(self, df: DataFrame, order: Sequence[Level], rows: int | None = None, counted: DataFrame | None = None) -> None:
+        """More than ``rows`` rows are dealt out, in ranges of so many; by default more than ``ALONE``, in ranges of ``ROWS``.
+        ``counted``: another table that has at least as many rows and is cheaper to count; then a range has ``rows`` of its."""
         columns, down = zip(*(x if isinstance(x, tuple) else (x, False) for x in order), strict=True)
         self.keys = [f"_by{i}" for i in range(len(columns))]
         self.by = [F.desc(k) if d else F.asc(k) for k, d in zip(self.keys, down, strict=True)]
         self.rows = df.withColumns(dict(zip(self.keys, columns, strict=True)))
         n = (df if counted is None else counted).count()
-        parts = min(n // rows + 1, RANGES)
+        parts = min(n // (rows or ROWS) + 1, RANGES) if n > (rows or ALONE) else 1
         self.many = parts > 1
         if not self.many:
             return
@@ -71,7 +72,7 @@ def _before(*by: Column | str) -> Window:
     return Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def numbered(df: DataFrame, order: Sequence[Level], name: str = "pos", rows: int = ROWS) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[Level], name: str = "pos", rows: int | None = None) -> DataFrame:
     """``df`` with each row's position in ``order``, from 1. The order should have no ties."""
     dealt = Ranges(df, order, rows)
     own = [quoted(c) for c in df.columns if c != name]
@@ -82,7 +83,7 @@ def numbered(df: DataFrame, order: Sequence[Level], name: str = "pos", rows: int
     return out.select(*own, (F.col("_at") + F.col("_shift")).cast("long").alias(name))
 
 
-def running(df: DataFrame, order: Sequence[Level], value: Column, name: str, rows: int = ROWS, counted: DataFrame | None = None) -> DataFrame:
+def running(df: DataFrame, order: Sequence[Level], value: Column, name: str, rows: int | None = ROWS, counted: DataFrame | None = None) -> DataFrame:
     """``df`` with the total of ``value`` over the rows before each row. ``counted``: see ``Ranges``."""
     dealt = Ranges(df.withColumn("_value", value), order, rows, counted)
     own = [quoted(c) for c in df.columns if c != name]
@@ -94,7 +95,7 @@ def running(df: DataFrame, order: Sequence[Level], value: Column, name: str, row
     return out.select(*own, (F.col("_within") + F.col("_shift")).alias(name))
 
 
-def ranked(df: DataFrame, value: Column, name: str, base: DataFrame | None = None, of: Column | None = None, rows: int = ROWS) -> DataFrame:
+def ranked(df: DataFrame, value: Column, name: str, base: DataFrame | None = None, of: Column | None = None, rows: int | None = None) -> DataFrame:
     """``df`` with the competition rank (1, 2, 2, 4) of ``value``, largest first; 0 for null. With ``base``, the rank among
     its values ``of``, and 0 for values that it doesn't have.
 
@@ -108,7 +109,7 @@ def ranked(df: DataFrame, value: Column, name: str, base: DataFrame | None = Non
     return out.select(*[quoted(c) for c in df.columns if c != name], F.coalesce(F.col("_larger") + 1, F.lit(0)).cast("double").alias(name))
 
 
-def quantiles(df: DataFrame, value: Column, shares: Sequence[float], by: Sequence[Column] = (), rows: int = ROWS) -> DataFrame:
+def quantiles(df: DataFrame, value: Column, shares: Sequence[float], by: Sequence[Column] = (), rows: int | None = None) -> DataFrame:
     """(``_key0``.., q) for each group of ``by``, or for all rows: the values at ``shares``, from 0 to 1, of the way through the
     group, between neighbours in proportion; null where the group has no value.
 

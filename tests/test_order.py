@@ -83,7 +83,7 @@ def test_one_shuffle_of_the_columns_that_are_asked_for(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(300_000).selectExpr("id", "id % 977 v", "repeat('x', 50) pad").write.parquet(path)
     before = set(os.listdir(shared_dir(spark)))
-    made = numbered(spark.read.parquet(path), [(F.col("v"), True), F.col("id")])
+    made = numbered(spark.read.parquet(path), [(F.col("v"), True), F.col("id")], rows=ROWS)
     plan = made.select("id", "pos")._jdf.queryExecution().executedPlan().toString()
     assert "pad" not in plan and plan.count("hashpartitioning(_range") == 2 and "rangepartitioning" not in plan  # its rows, and totals of ranges
     assert made.count() == 300_000 and set(os.listdir(shared_dir(spark))) == before
