@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_, or_
+from itertools import groupby
+from operator import and_, itemgetter, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,12 +26,12 @@ Level = Column | tuple[Column, bool]
 _EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
-def _not_before(keys: Sequence[str], down: Sequence[bool], end: Column) -> Column:
-    """Whether a row's keys are at or behind those of ``end`` in the order."""
-    out = F.lit(True)
-    for k, d in reversed(list(zip(keys, down, strict=True))):
-        a, b = (end[k], F.col(k)) if d else (F.col(k), end[k])
-        out = F.coalesce(a > b, a.isNotNull() & b.isNull()) | (F.col(k).eqNullSafe(end[k]) & out)
+def _not_before(groups: Sequence[str], down: Sequence[bool], end: Column) -> Column:
+    """Whether a row's keys are at or behind those of ``end`` in the order. Structs compare field by field, nulls smallest."""
+    *first, (last, d) = zip(groups, down, strict=True)
+    out = end[last] >= F.col(last) if d else F.col(last) >= end[last]
+    for g, d in reversed(first):
+        out = (end[g] > F.col(g) if d else F.col(g) > end[g]) | ((F.col(g) == end[g]) & out)
     return out
 
 
@@ -50,15 +51,26 @@ class Ranges:
         self.many = parts > 1
         if not self.many:
             return
-        drawn = self.rows.select(*self.keys).filter(F.rand(len(self.keys)) < SAMPLED * parts / n)
+        # Keys one after another in the same direction are one struct: a step of the search compares once for each change of direction.
+        runs = [list(run) for _, run in groupby(zip(self.keys, down, strict=True), key=itemgetter(1))]
+        groups = {f"_bys{i}": F.struct(*[k for k, _ in run]) for i, run in enumerate(runs)}
+        keyed = [g.alias(name) for name, g in groups.items()]
+        drawn = df.filter(F.rand(len(self.keys)) < SAMPLED * parts / n).select(*[c.alias(k) for k, c in zip(self.keys, columns, strict=True)])
         drawn = drawn.withColumn("_nth", F.row_number().over(Window.orderBy(*self.by)))  # SAMPLED rows a range
-        ends = F.array_sort(F.collect_list(F.struct("_nth", *self.keys)))
-        text, size = drawn.filter(F.col("_nth") % SAMPLED == 0).agg(F.to_json(ends, _EXACT), F.count(F.lit(1))).first()
-        kind = ", ".join(f"{k}: {t}" for k, t in self.rows.select(*self.keys).dtypes)
-        ends = F.from_json(F.lit(text), f"array<struct<{kind}>>", _EXACT)
-        steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, size.bit_length())))])
-        halve = lambda at, step: F.when((at + step <= size) & _not_before(self.keys, down, F.get(ends, at + step - 1)), at + step).otherwise(at)
-        self.rows = self.rows.withColumn("_range", F.aggregate(steps, F.lit(0), halve))
+        ends = F.array_sort(F.collect_list(F.struct("_nth", F.to_json(F.struct(*keyed), _EXACT).alias("end"))))
+        ends = [e["end"] for e in drawn.filter(F.col("_nth") % SAMPLED == 0).agg(ends).first()[0]]
+        kinds = dict(self.rows.select(*keyed).dtypes)
+        kind = ", ".join(f"{name}: {t}" for name, t in kinds.items())
+        # A binary search, a column for each step: of the ends that are left, all rows of a node are held against the middle one.
+        # As columns the steps are compiled; a higher-order function would not be.
+        dealt, at = self.rows.withColumns({name: g.cast(kinds[name]) for name, g in groups.items()}), F.lit(0)
+        for step in reversed(range(len(ends).bit_length())):
+            middles = F.from_json(F.lit(f"[{','.join(ends[(1 << step) - 1 :: 2 << step])}]"), f"array<struct<{kind}>>", _EXACT)
+            behind = _not_before(list(groups), [run[0][1] for run in runs], F.get(middles, at))
+            dealt, at = dealt.withColumn("_range", at * 2 + F.when(behind, 1).otherwise(0)), F.col("_range")
+        # Exploded, so that joins by the range take it as it is: else Spark puts the steps into one another when it plans filters
+        # for a join's keys, which doubles them again and again.
+        self.rows = dealt.withColumn("_range", F.explode(F.array(at))).drop(*groups)
 
     def shifts(self, totals: DataFrame, value: str) -> DataFrame:
         """(_range, _shift): what ``totals`` (_range, ``value``) sums up to before each range."""

@@ -89,6 +89,17 @@ def test_one_shuffle_of_the_columns_that_are_asked_for(spark, tmp_path):
     assert made.count() == 300_000 and set(os.listdir(shared_dir(spark))) == before
 
 
+def test_ranges_are_found_once_a_row_by_compiled_steps(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(100_000).selectExpr("id", "nullif(id * 7919 % 977, 5) v", "concat('x', id % 3) s").write.parquet(path)
+    order = [F.lower("s"), (F.col("v"), True), F.col("id")]
+    made = numbered(spark.read.parquet(path), order, rows=40)  # 2,501 ranges, so twelve steps
+    plan = made.select("id", "pos")._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan and "Filter " not in plan  # a filter would look for each row's range once more
+    want = spark.read.parquet(path).orderBy(F.lower("s"), F.desc("v"), "id").select("id").collect()
+    assert {r.id: r.pos for r in made.collect()} == {r.id: k + 1 for k, r in enumerate(want)}
+
+
 def test_ends_of_all_kinds(spark):
     """Ranges of dates, times, decimals, doubles that are no numbers, binary cells and text with quotes ascend in the order."""
     rows = spark.range(2000).selectExpr("id", "date_add(date'1969-12-30', cast(id * 7919 % 2003 as int)) d", "timestamp_micros(id * 7919777 - 5000000) t", "cast(timestamp_micros(id * 7919777 % 90001) as timestamp_ntz) n",
