@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlark.functions.columns import text
+from gridlark.functions.columns import quoted, text
 from gridlark.functions.numbers import number
 
 
@@ -19,10 +19,21 @@ def _long(df: DataFrame) -> DataFrame:
     return rows.withColumn("filled", F.trim("cell") != "").withColumn("is_date", F.col("cell").rlike(_DATE))
 
 
+#: Cells of a task that keeps the distinct ones.
+CELLS = 1 << 18
+
+
+def _dealt(df: DataFrame, cells: int = CELLS) -> DataFrame:
+    """``df`` in tasks of about ``cells`` cells, whatever the files' sizes say, so that the distinct ones of a task are bounded.
+    Equal rows are kept apart by the task that reads them."""
+    parts = -(-df.count() * len(df.columns) // cells)
+    return df.repartition(parts, *[quoted(c) for c in df.columns], F.spark_partition_id()) if parts > 1 else df
+
+
 def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """(column, rows, nulls, null_pct, type, n_unique, min, max, mean, stddev) of each column; numbers only where the type is
     number. ``approximate``: estimate the distinct values."""
-    rows = _long(df)
+    rows = _long(df if approximate else _dealt(df))
     value = F.when(F.col("filled"), F.col("cell"))
     distinct = F.approx_count_distinct(value) if approximate else F.count_distinct(value)
     filled, numbers, dates = F.count_if("filled"), F.count("x"), F.count_if(F.col("filled") & F.col("is_date"))
@@ -82,7 +93,9 @@ def outlier_counts(df: DataFrame, sigmas: float = 3.0) -> DataFrame:
 
 def top_values(df: DataFrame, k: int = 5, columns: list[str] | None = None) -> DataFrame:
     """(column, place, value, count): the k commonest values of each column, the smaller of equals first."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), text(df, c).alias("value")) for c in columns or df.columns])
+    columns = columns or df.columns
+    df = _dealt(df.select(*[quoted(c) for c in columns]))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), text(df, c).alias("value")) for c in columns])
     rows = df.select(F.explode(cells).alias("c")).select("c.*").filter(F.trim("value") != "")  # one scan, however many columns
     counts = rows.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
     place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), F.asc("value")))
